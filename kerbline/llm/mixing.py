@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .common import stored
 
 MAX_REPEATS = 3
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 1_000
 """Aimed-at rows in a bucket of a source: a hot source gets more buckets, not larger ones."""
 
 CURRICULUM: dict[int, Sequence[tuple[float, float]]] = {
