@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 
 from .common import slabs
 
-SLAB_TEXT = 16 << 20
+SLAB_TEXT = 8 << 20
 """Bytes of text whose distinct pieces are merged together."""
 KEPT_CHUNKS = 120_000
 """Encoded chunks that a worker keeps from one slab for the next."""
@@ -22,15 +22,26 @@ REPLAY_BYTES = 3 << 20
 NEVER = np.int32(2**31 - 1)
 
 
+def token_list(ranks: dict[bytes, int]) -> list[bytes]:
+    """Tokens by id; ids without a token are empty."""
+    out = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
+
+
+def bytes_of(tokens: list[bytes], ids: bytes) -> bytes:
+    """The bytes that little-endian uint32 ids stand for."""
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
 class Vocabulary:
     """Ranks of a byte-level BPE, every pair of tokens that joins to a token, and the split pattern."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.find = regex.compile(pattern).findall
-        self.tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.tokens[rank] = token
+        self.tokens = token_list(ranks)
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = {}
         for token, rank in ranks.items():
@@ -49,7 +60,10 @@ class Vocabulary:
     @classmethod
     def read(cls, path: str, pattern: str) -> Vocabulary:
         with open(path, "rb") as f:
-            return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
+            return cls(parse_ranks(f.read()), pattern)
+
+    def bytes_of(self, ids: bytes) -> bytes:
+        return bytes_of(self.tokens, ids)
 
     def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         keys = a.astype(np.int64) << 32 | b
@@ -200,13 +214,22 @@ class Encoder:
                 whole[i] = find(text)
             elif " " + first not in known:  # no other chunk has a space
                 new.add(" " + first)
-        split = {c: find(c[1:] if c[0] == " " else " " + c) for c in new}
+        single: list[str] = []  # most chunks: Latin letters, which with the space before them are one piece
+        split: dict[str, list[str]] = {}
+        for c in new:
+            if c.isalpha() and (c.isascii() or max(c) < "\u0250"):
+                single.append(c)
+            else:
+                split[c] = find(c[1:] if c[0] == " " else " " + c)
+        del new
         pieces = {p for ps in split.values() for p in ps}
         pieces.update(*whole.values())
+        pieces.update([" " + c for c in single])
         ids = encode_pieces(self.v, pieces)
+        del pieces
+        known.update(zip(single, [ids[" " + c] for c in single], strict=True))
         for c, ps in split.items():
             known[c] = ids[ps[0]] if len(ps) == 1 else b"".join(map(ids.__getitem__, ps))
-        del split, pieces
         out = []
         for i, text in enumerate(texts):
             if i in whole:
@@ -220,25 +243,26 @@ class Encoder:
 _loaded: dict[tuple, Encoder] = {}
 
 
-def _encoder(ranks: dict[bytes, int], pattern: str, key: str) -> Encoder:
-    """One encoder a worker process and vocabulary."""
-    at = (key, pattern, len(ranks))
+def _encoder(data: bytes, pattern: str) -> Encoder:
+    """The encoder of a vocabulary file's content: one in a worker process."""
+    at = (hash(data), len(data), pattern)
     if at not in _loaded:
         _loaded.clear()
-        _loaded[at] = Encoder(Vocabulary(ranks, pattern))
+        _loaded[at] = Encoder(Vocabulary(parse_ranks(data), pattern))
     return _loaded[at]
 
 
+def parse_ranks(data: bytes) -> dict[bytes, int]:
+    """Lines of a base64 token and its rank."""
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
+
+
 def _shared_ranks(df: DataFrame, path: str):
     """The vocabulary file as a broadcast: its size is fixed (about 1 MB), whatever the corpus."""
     with open(path, "rb") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def _parsed(data: bytes) -> dict[bytes, int]:
-    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines())}
-
-
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """docs with out_col: the text's token ids as little-endian unsigned 32-bit integers.
 
@@ -249,9 +273,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
     shared = _shared_ranks(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = f"{path}:{hash(shared.value)}"
-        held = next((e for at, e in _loaded.items() if at[:2] == (key, pattern)), None)
-        encoder = held or _encoder(_parsed(shared.value), pattern, key)
+        encoder = _encoder(shared.value, pattern)
         for slab in slabs(batches, text_col, SLAB_TEXT):
             texts = [t or "" for t in slab.column(text_col).to_pylist()]
             ids = pa.array(encoder.encode(texts), pa.binary())
@@ -261,15 +283,31 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
     return docs.mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """encode and decode in one pass: docs with ids_col and, decoded from it, out_col. Both columns are new; see encode."""
+    shared = _shared_ranks(docs, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(shared.value, pattern)
+        for slab in slabs(batches, text_col, SLAB_TEXT):
+            ids = encoder.encode([t or "" for t in slab.column(text_col).to_pylist()])
+            for a in range(0, len(ids), 256):
+                part = ids[a : a + 256]
+                new = [pa.array(part, pa.binary()), pa.array([encoder.v.bytes_of(x) for x in part], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*slab.slice(a, 256).columns, *new], names=[*slab.schema.names, ids_col, out_col])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{ids_col}` binary, `{out_col}` binary"
+    return docs.mapInArrow(run, schema)
+
+
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """tokens with out_col: the bytes that ids stand for; null ids give null."""
     shared = _shared_ranks(tokens, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = {b: a for a, b in _parsed(shared.value).items()}
-        find = [vocabulary.get(i, b"") for i in range(max(vocabulary) + 1)].__getitem__
+        tokens_of = token_list(parse_ranks(shared.value))
         for slab in slabs(batches, ids_col, 4 << 20):
-            raw = [None if x is None else b"".join(map(find, np.frombuffer(x, "<u4").tolist())) for x in slab.column(ids_col).to_pylist()]
+            raw = [None if x is None else bytes_of(tokens_of, x) for x in slab.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*slab.columns, pa.array(raw, pa.binary())], names=[*slab.schema.names, out_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema) + f", `{out_col}` binary"

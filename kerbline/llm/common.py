@@ -80,10 +80,11 @@ def _tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
     """64-bit hashes of the words of all texts, and offsets: words of text i are at [offsets[i], offsets[i + 1]).
 
-    A word is a run of bytes other than space and \\t to \\r. Case is kept.
+    A word is a run of bytes other than space and \\t to \\r. Case is kept. For each length in prefixes an array follows with
+    hashes of the words' first bytes, no more than that many.
     """
     blob = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     ends = np.cumsum([len(t) + 1 for t in texts])
@@ -91,9 +92,21 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     turns = np.flatnonzero(space[1:] != space[:-1]) + 1
     if len(space) and not space[0]:
         turns = np.concatenate(([0], turns))
-    spans = turns.reshape(-1, 2)
+    first, last = turns.reshape(-1, 2).T
     power, inverse = _tables(len(blob) + 1)
-    prefix = np.zeros(len(blob) + 1, np.uint64)
-    np.cumsum((blob.astype(np.uint64) + np.uint64(1)) * power[: len(blob)], out=prefix[1:])
-    hashes = mix64((prefix[spans[:, 1]] - prefix[spans[:, 0]]) * inverse[spans[:, 0]])
-    return hashes, np.concatenate(([0], np.searchsorted(spans[:, 0], ends)))
+    running = np.zeros(len(blob) + 1, np.uint64)
+    np.cumsum((blob.astype(np.uint64) + np.uint64(1)) * power[: len(blob)], out=running[1:])
+
+    def hashed(end: np.ndarray) -> np.ndarray:
+        return mix64((running[end] - running[first]) * inverse[first])
+
+    offsets = np.concatenate(([0], np.searchsorted(first, ends)))
+    return hashed(last), offsets, *(hashed(np.minimum(first + n, last)) ^ np.uint64(n) for n in prefixes)
+
+
+_LETTERS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
+
+
+def plain_words(text: str | None) -> bytes:
+    """The text in lower case with ASCII other than letters and digits as spaces, for word_hashes."""
+    return (text or "").lower().encode().translate(_LETTERS)

@@ -7,13 +7,24 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, mixing, neardup, secrets, sharding, topk
+from . import bpe, html_extract, mixing, neardup, quality, secrets, sharding, topk, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.with_length(html_extract.extract_main_text(pages))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, read(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", quality.is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(read(spark, sf_dir, "embeddings"), k=20, every=20)
 
@@ -24,6 +35,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.withColumn("first_time", first).orderBy(F.col("first_time").asc_nulls_last(), "doc_id").select("doc_id", "size", "source_size", "target", "taken", "first_time")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.severity(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", F.col("tox_score").alias("score"), F.col("tox_severity").alias("severity"), F.col("tox_grade").alias("grade"), F.col("toxic").cast("int").alias("toxic"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.balanced_shards(read(spark, sf_dir, "documents"), 24)
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -36,8 +53,7 @@ def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    tokens = bpe.encode(docs, path, public_tokenizers.PATTERN).drop("text")
-    back = bpe.decode(tokens, path)
+    back = bpe.round_trip(docs, path, public_tokenizers.PATTERN)
     return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -52,8 +68,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html": op1_html,
+    "op2_quality": op2_quality,
     "op3_topk": op3_topk,
     "op4_mixing": op4_mixing,
+    "op5_toxicity": op5_toxicity,
     "op6_sharding": op6_sharding,
     "op7_neardup": op7_neardup,
     "op9_bpe": op9_bpe,
