@@ -35,8 +35,8 @@ NEXT, PROXIMITY = 1.5, 0.6
 """Capacities: of neighbours in page order at DOM distance 0, and its decay for each step of distance."""
 SIBLING = 0.5
 """Capacity between a block and the last one before it in the same parent, if another block is between them."""
-WHOLE_SHARE = 0.6
-"""A hint in a class or id is ignored if its element holds more of the page's open text than this."""
+WHOLE_SHARE, WHOLE_BLOCKS = 0.6, 5
+"""A hint in a class or id is ignored if its element wraps the page: it holds more of the open text than this and as many blocks."""
 
 
 @dataclass
@@ -48,6 +48,7 @@ class Element:
     praised: bool = False
     depth: int = 0
     text: int = 0
+    blocks: int = 0
 
 
 @dataclass
@@ -231,10 +232,11 @@ def label(found: list[Block]) -> list[bool]:
             total += len(b.text)
             for e in chain:
                 e.text += len(b.text)
+                e.blocks += 1
     excess = []
     for b, chain in zip(found, chains, strict=True):
         tags = [e.tag for e in chain]
-        if any(e.barred or (e.hinted and e.text <= WHOLE_SHARE * total) for e in chain):
+        if any(e.barred or (e.hinted and (e.text <= WHOLE_SHARE * total or e.blocks < WHOLE_BLOCKS)) for e in chain):
             excess.append(-math.inf)
             continue
         words = b.text.count(" ") + 1
