@@ -224,3 +224,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b", "n_shingles"], "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), own))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def without_duplicates(docs: DataFrame) -> DataFrame:
+    """The documents that near_duplicates keeps, with their own columns.
+
+    Of rows with one id, the one with the least text hash stays (equal rows: one of them); rows with a null id all stay.
+    """
+    kept = near_duplicates(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
+    few = kept.count() <= BROADCAST_IDS
+    rows = docs.join(F.broadcast(kept) if few else kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    repeated = rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    repeated = stored(repeated)
+    single = rows.join(repeated, "doc_id", "left_anti")
+    several = rows.join(repeated, "doc_id", "left_semi").withColumn("turn", F.xxhash64("text"))
+    first = several.groupBy("doc_id").agg(F.min_by(F.struct(*(F.col(c).alias(c) for c in docs.columns)), "turn").alias("row")).select("row.*")
+    return single.select(*docs.columns).union(first).union(docs.filter("doc_id is null"))
