@@ -11,23 +11,28 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 CAPACITY, REFILL_PER_S = 3.0, 1 / 3600
 
 
+def _watched(events: DataFrame, late: str | None) -> DataFrame:
+    """A stream gets a watermark (which needs a time with a zone); a table stays as it is."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming and late else events
+
+
 def windowed(events: DataFrame, size: str, slide: str | None = None, late: str | None = "1 hour") -> DataFrame:
     """(start, end, event_type, n, total): tumbling or sliding counts and sums. On a stream, rows later than `late` are dropped by the watermark."""
-    rows = events.withWatermark("ts", late) if events.isStreaming and late else events
+    rows = _watched(events, late)
     out = rows.groupBy(F.window("ts", size, slide) if slide else F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return out.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str, late: str | None = "1 hour") -> DataFrame:
     """(user_id, start, end, n): runs of a user's events less than gap apart."""
-    rows = events.withWatermark("ts", late) if events.isStreaming and late else events
+    rows = _watched(events, late)
     out = rows.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
     return out.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
 def histogram(events: DataFrame, size: str, bounds: list[float], late: str | None = "1 hour") -> DataFrame:
     """(start, le, n): cumulative counts of values at most each bound, by tumbling window."""
-    rows = events.withWatermark("ts", late) if events.isStreaming and late else events
+    rows = _watched(events, late)
     counts = [F.count_if(F.col("value") <= b).alias(f"b{i}") for i, b in enumerate(bounds)]
     out = rows.groupBy(F.window("ts", size)).agg(*counts)
     pairs = F.explode(F.array(*(F.struct(F.lit(float(b)).alias("le"), F.col(f"b{i}").alias("n")) for i, b in enumerate(bounds))))
