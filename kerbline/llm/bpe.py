@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import slabs
+from .common import mapped
 
 SLAB_TEXT = 8 << 20
 """Bytes of text whose distinct pieces are merged together."""
@@ -252,6 +253,11 @@ def _encoder(data: bytes, pattern: str) -> Encoder:
     return _loaded[at]
 
 
+@lru_cache(maxsize=1)
+def _tokens(data: bytes) -> list[bytes]:
+    return token_list(parse_ranks(data))
+
+
 def parse_ranks(data: bytes) -> dict[bytes, int]:
     """Lines of a base64 token and its rank."""
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
@@ -268,47 +274,30 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
 
     Each task merges the vocabulary of a slab (SLAB_TEXT bytes) of its documents together; no data move between
     tasks. A null or empty text has no ids. Very long texts form a slab of their own. Other columns pass through;
-    out_col must not be one of them.
+    one that is named out_col is replaced.
     """
     shared = _shared_ranks(docs, path)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared.value, pattern)
-        for slab in slabs(batches, text_col, SLAB_TEXT):
-            texts = [t or "" for t in slab.column(text_col).to_pylist()]
-            ids = pa.array(encoder.encode(texts), pa.binary())
-            yield pa.RecordBatch.from_arrays([*slab.columns, ids], names=[*slab.schema.names, out_col])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{out_col}` binary"
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, text_col, f"`{out_col}` binary", lambda slab: [pa.array(_encoder(shared.value, pattern).encode([t or "" for t in slab.column(text_col).to_pylist()]), pa.binary())], limit=SLAB_TEXT)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """encode and decode in one pass: docs with ids_col and, decoded from it, out_col. Both columns are new; see encode."""
+    """encode and decode in one pass: docs with ids_col and, decoded from it, out_col in place of the text; see encode."""
     shared = _shared_ranks(docs, path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compute(slab: pa.RecordBatch) -> list[pa.Array]:
         encoder = _encoder(shared.value, pattern)
-        for slab in slabs(batches, text_col, SLAB_TEXT):
-            ids = encoder.encode([t or "" for t in slab.column(text_col).to_pylist()])
-            for a in range(0, len(ids), 256):
-                part = ids[a : a + 256]
-                new = [pa.array(part, pa.binary()), pa.array([encoder.v.bytes_of(x) for x in part], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*slab.slice(a, 256).columns, *new], names=[*slab.schema.names, ids_col, out_col])
+        ids = encoder.encode([t or "" for t in slab.column(text_col).to_pylist()])
+        return [pa.array(ids, pa.binary()), pa.array(map(encoder.v.bytes_of, ids), pa.binary())]
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{ids_col}` binary, `{out_col}` binary"
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, text_col, f"`{ids_col}` binary, `{out_col}` binary", compute, drop=(text_col,), limit=SLAB_TEXT)
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """tokens with out_col: the bytes that ids stand for; null ids give null."""
     shared = _shared_ranks(tokens, path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens_of = token_list(parse_ranks(shared.value))
-        for slab in slabs(batches, ids_col, 4 << 20):
-            raw = [None if x is None else bytes_of(tokens_of, x) for x in slab.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*slab.columns, pa.array(raw, pa.binary())], names=[*slab.schema.names, out_col])
+    def compute(slab: pa.RecordBatch) -> list[pa.Array]:
+        held = _tokens(shared.value)
+        return [pa.array([None if x is None else bytes_of(held, x) for x in slab.column(ids_col).to_pylist()], pa.binary())]
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema) + f", `{out_col}` binary"
-    return tokens.mapInArrow(run, schema)
+    return mapped(tokens, ids_col, f"`{out_col}` binary", compute, limit=4 << 20)

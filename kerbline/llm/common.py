@@ -2,42 +2,19 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Collection, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, types as T
 
-SLAB_BYTES = 1 << 20
-"""Text handled at once inside a task; a longer text is a slab of its own."""
+from ..storage import shared_dir, stored
 
+__all__ = ["SLAB_BYTES", "mapped", "mix64", "plain_words", "shared_dir", "slabs", "stored", "word_hashes"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Only a local-mode session without the setting gets a folder of its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    os.makedirs("/tmp/checkpoints", exist_ok=True)
-    path = "file://" + tempfile.mkdtemp(dir="/tmp/checkpoints")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder and read back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/kerbline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+SLAB_BYTES = 1 << 20
+"""Text handled at once inside a task; a longer text is a slab of its own."""
 
 
 def slabs(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLAB_BYTES) -> Iterator[pa.RecordBatch]:
@@ -52,6 +29,21 @@ def slabs(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLAB_BYTE
             yield batch.slice(a, b - a)
 
 
+def mapped(df: DataFrame, column: str, new: str, compute: Callable[[pa.RecordBatch], list[pa.Array]], drop: Collection[str] = (), limit: int = SLAB_BYTES) -> DataFrame:
+    """df with the columns that new declares (DDL), computed a slab at a time.
+
+    Columns in drop go, and so does any column of df with a new one's name: the new one takes its place at the end.
+    """
+    fields = T.StructType.fromDDL(new)
+    names = [c for c in df.columns if c not in drop and c not in fields.names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for slab in slabs(batches, column, limit):
+            yield pa.RecordBatch.from_arrays([*(slab.column(c) for c in names), *compute(slab)], names=[*names, *fields.names])
+
+    return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in names), *fields]))
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit words."""
     h = h ^ (h >> np.uint64(32))

@@ -6,13 +6,12 @@ import html
 import math
 import re
 from collections import deque
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slabs
+from .common import mapped
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+(?:>|\Z)""", re.DOTALL)
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
@@ -273,16 +272,9 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", out_col: str = "
     content (navigation, footers, asides, forms, hidden ones, classes of adverts, notices, comments) tie it to the sink.
     Blocks next to each other and children of one parent are joined by edges, stronger the nearer they stand in the tree; the minimum
     cut labels all blocks at once. The whole page is used; null, empty and textless pages give an empty text. One map over the rows.
+    A column of pages that is named out_col is replaced.
     """
-    names = [c for c in pages.columns if c != html_col]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for slab in slabs(batches, html_col, 4 << 20):
-            texts = pa.array([main_text(x) for x in slab.column(html_col).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*(slab.column(c) for c in names), texts], names=[*names, out_col])
-
-    schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in names) + f", `{out_col}` string"
-    return pages.mapInArrow(run, schema)
+    return mapped(pages, html_col, f"`{out_col}` string", lambda slab: [pa.array([main_text(x) for x in slab.column(html_col).to_pylist()], pa.string())], drop=(html_col,), limit=4 << 20)
 
 
 def with_length(extracted: DataFrame) -> DataFrame:

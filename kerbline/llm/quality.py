@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import slabs, word_hashes
+from .common import mapped, slabs, word_hashes
 
 MAX_TRAIN = 20_000
 """Labelled rows that a model is fitted on, at most: those of the least hash."""
@@ -216,14 +216,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
 def score(docs: DataFrame, model: Gam, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """docs with score (0 to 1) and predicted (1 if score >= threshold) in place of the text.
 
-    The model is some 10 kB, whatever the corpus. A null text scores like an empty one. One map over the rows.
+    The model is some 10 kB, whatever the corpus. A null text scores like an empty one. Columns of docs with these names are
+    replaced. One map over the rows.
     """
-    names = [c for c in docs.columns if c != text_col]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for slab in slabs(batches, text_col):
-            s = model.score(text_features(slab.column(text_col).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*(slab.column(c) for c in names), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+    def compute(slab: pa.RecordBatch) -> list[pa.Array]:
+        s = model.score(text_features(slab.column(text_col).to_pylist()))
+        return [pa.array(s), pa.array((s >= threshold).astype(np.int32))]
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + ", score double, predicted int"
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, text_col, "score double, predicted int", compute, drop=(text_col,))

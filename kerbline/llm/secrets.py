@@ -11,7 +11,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import slabs
+from .common import mapped
 
 KINDS = ("assign", "access", "hex", "named")
 BASE_KINDS = KINDS[:3]
@@ -125,15 +125,10 @@ def find_secrets(docs: DataFrame, text_col: str = "text", out_col: str = "secret
     Kinds assign, access and hex are fixed patterns; named are literals that reach a target with a sensitive name by
     assignment, mapping entry, keyword argument or a constant of another name. A span of kind named inside one
     of the others isn't reported. Null and empty texts have no spans. One map over the rows, nothing moves.
+    A column of docs that is named out_col is replaced.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for slab in slabs(batches, text_col, 4 << 20):
-            found = [[s._asdict() for s in scan(t)] if t else [] for t in slab.column(text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*slab.columns, pa.array(found, _TYPE)], names=[*slab.schema.names, out_col])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{out_col}` {SPANS}"
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, text_col, f"`{out_col}` {SPANS}", lambda slab: [pa.array([[s._asdict() for s in scan(t)] if t else [] for t in slab.column(text_col).to_pylist()], _TYPE)], limit=4 << 20)
 
 
 def joined(spans: Column) -> Column:
@@ -155,13 +150,7 @@ def masked(text: str, mask: str = "[SECRET]") -> str:
 
 def mask_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """docs (with text and n_chars) with secrets masked and n_chars counted anew; null texts stay as they are."""
-    names = docs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for slab in slabs(batches, "text", 4 << 20):
-            texts = [t and masked(t, mask) for t in slab.column("text").to_pylist()]
-            new = {"text": pa.array(texts, pa.string())}
-            yield pa.RecordBatch.from_arrays([new.get(c, slab.column(c)) for c in names], names=names)
-
-    out = docs.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars"))) if "n_chars" in names else out
+    out = mapped(docs, "text", "text string", lambda slab: [pa.array([t and masked(t, mask) for t in slab.column("text").to_pylist()], pa.string())], limit=4 << 20)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
+    return out.select(*docs.columns)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import plain_words, slabs, word_hashes
+from .common import mapped, plain_words, slabs, word_hashes
 from .quality import training_rows
 
 MAX_TRAIN = 20_000
@@ -20,16 +20,16 @@ MAX_FEATURES = 4096
 MIN_CHI2, MIN_LIFT = 20.0, 3.0
 """A feature is kept if its presence and the label depend on each other at least this much and it is that much commoner in toxic texts."""
 GRADES = 4
-"""Severity 0 (not toxic) to 3: toxic training texts are graded by terciles of their share of telling words."""
-STEPS, STEP, RIDGE = 400, 0.1, 1e-3
-THRESHOLD = 0.5
+"""Severity 0 (not toxic) to 3: toxic training texts are graded by terciles of their number of telling features."""
+STEPS, STEP, RIDGE = 400, 0.1, 1e-4
+LEAST_CUT = 0.02
+"""A document is toxic if its score reaches the cut that is best on the training texts (by F1), but never below this."""
 
 
-def _present(texts: list[str | None], keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, feature, occurrences) of all features in whole texts, or of those in the sorted keys, and words of each text."""
+def _present(texts: list[str | None], keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, feature) of all features in whole texts, or of those in the sorted keys (then their places there), once each."""
     words, offsets, *parts = word_hashes([plain_words(t) for t in texts], PREFIXES)
-    n = np.diff(offsets)
-    text = np.tile(np.repeat(np.arange(len(texts)), n), 1 + len(PREFIXES))
+    text = np.tile(np.repeat(np.arange(len(texts)), np.diff(offsets)), 1 + len(PREFIXES))
     feature = np.concatenate((words, *parts))
     if keys is not None:
         at = np.searchsorted(keys, feature)
@@ -40,8 +40,7 @@ def _present(texts: list[str | None], keys: np.ndarray | None = None) -> tuple[n
     text, feature = text[order], feature[order]
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (feature[1:] != feature[:-1])
-    at = np.flatnonzero(new)
-    return text[at], feature[at], np.diff(np.append(at, len(text))), n
+    return text[new], feature[new]
 
 
 @dataclass
@@ -51,10 +50,11 @@ class Ordinal:
     keys: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
+    cut: float = 0.5
 
     def above(self, texts: list[str | None]) -> np.ndarray:
         """P(grade > k) of each text, for each threshold."""
-        text, feature, _, _ = _present(texts, self.keys)
+        text, feature = _present(texts, self.keys)
         z = np.bincount(text, self.weights[feature.astype(np.int64)], len(texts))
         return _sigmoid(z[:, None] - self.thresholds[None, :])
 
@@ -89,19 +89,32 @@ def fit(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, n_features: int
     return w, t
 
 
+def best_cut(score: np.ndarray, toxic: np.ndarray) -> float:
+    """The score at which F1 is highest, in the middle (on the log-odds scale) of the gap to the next lower score."""
+    order = np.argsort(-score, kind="stable")
+    s, hits = score[order], np.cumsum(toxic[order])
+    last = np.append(s[1:] != s[:-1], True)[: len(s)]
+    f1 = np.where(last, 2 * hits / (np.arange(1, len(s) + 1) + max(1, toxic.sum())), -1.0)
+    if not len(s) or not toxic.any():
+        return 0.5
+    at = int(f1.argmax())
+    below = s[at + 1] if at + 1 < len(s) else 1e-6
+    z = [np.log(p / (1 - p)) for p in np.clip((s[at], below), 1e-6, 1 - 1e-6)]
+    return float(np.clip(_sigmoid(np.array(sum(z) / 2)), LEAST_CUT, 0.5))
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_TRAIN) -> Ordinal:
     """Chooses features and fits a model on at most max_rows labelled documents.
 
     Texts with each feature are counted by label in the cluster; at most MAX_FEATURES features and, for the fit, their places in
     max_rows texts reach the driver. Without toxic labels there are no features and nothing is rejected.
     """
-    # Rows of documents and labels that occur once in the sample may be many: everything below is bounded by max_rows texts.
     rows = training_rows(docs, labels, label, max_rows, held_out=False)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for slab in slabs(batches, "text"):
             y = np.asarray(slab.column("y"))
-            text, feature, _, n = _present(slab.column("text").to_pylist())
+            text, feature = _present(slab.column("text").to_pylist())
             toxic = y[text] > 0
             keys, at = np.unique(feature, return_inverse=True)
             yes, no = (np.bincount(at, toxic == side, len(keys)).astype(np.int64) for side in (True, False))
@@ -121,40 +134,39 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for slab in slabs(batches, "text"):
-            text, feature, times, n = _present(slab.column("text").to_pylist(), keys)
+            text, feature = _present(slab.column("text").to_pylist(), keys)
             cuts = np.searchsorted(text, np.arange(slab.num_rows + 1)).tolist()
             f = [feature[x:y].astype(np.int64).tolist() for x, y in zip(cuts, cuts[1:], strict=False)]
-            share = np.bincount(text, times, slab.num_rows) / np.maximum(n, 1)
-            yield pa.RecordBatch.from_arrays([slab.column("y"), pa.array(f, pa.list_(pa.int64())), pa.array(share, pa.float64())], names=["y", "features", "share"])
+            yield pa.RecordBatch.from_arrays([slab.column("y"), pa.array(f, pa.list_(pa.int64()))], names=["y", "features"])
 
-    got = rows.mapInArrow(places, "y int, features array<long>, share double").limit(2 * max_rows).toArrow()
-    y, share, lists = (np.asarray(got.column("y").to_pylist(), int), np.asarray(got.column("share").to_pylist(), float), got.column("features").to_pylist())
+    got = rows.mapInArrow(places, "y int, features array<long>").limit(2 * max_rows).toArrow()
+    found = sorted(zip(got.column("y").to_pylist(), got.column("features").to_pylist(), strict=True))  # the fit doesn't depend on the order of rows
+    y, lists = np.array([f[0] for f in found], int), [f[1] for f in found]
+    n = np.array([len(x) for x in lists], int)
     toxic = y > 0
-    cuts = np.quantile(share[toxic], [1 / 3, 2 / 3]) if toxic.any() else np.zeros(2)
-    grade = np.where(toxic, 1 + np.searchsorted(cuts, share, side="right"), 0)
-    row = np.repeat(np.arange(len(y)), [len(x) for x in lists])
+    cuts = np.quantile(n[toxic], [1 / 3, 2 / 3]) if toxic.any() else np.zeros(2)
+    grade = np.where(toxic, 1 + np.searchsorted(cuts, n, side="right"), 0)
+    row = np.repeat(np.arange(len(y)), n)
     feature = np.array([f for x in lists for f in x], np.int64)
-    return Ordinal(keys, *fit(row, feature, grade, len(keys)))
+    weights, thresholds = fit(row, feature, grade, len(keys))
+    return Ordinal(keys, weights, thresholds, best_cut(_sigmoid(np.bincount(row, weights[feature], len(y)) - thresholds[0]), toxic))
 
 
 def severity(docs: DataFrame, model: Ordinal, text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """docs with tox_score (probability of any grade above 0), tox_severity (expected grade, 0 to 3), tox_grade (likeliest) and
-    toxic (tox_score >= THRESHOLD).
+    toxic (tox_score >= the model's cut).
 
-    Features are looked up in whole texts. Null and empty texts have none and score as the base rate. One map over the
+    Features are looked up in whole texts. Null and empty texts have none and score as the base rate. Columns of docs with these
+    names are replaced. One map over the
     rows; the model has MAX_FEATURES keys at most.
     """
-    names = [c for c in docs.columns if keep_text or c != text_col]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for slab in slabs(batches, text_col):
-            above = model.above(slab.column(text_col).to_pylist())
-            steps = -np.diff(np.concatenate((np.ones((len(above), 1)), above, np.zeros((len(above), 1))), axis=1), axis=1)
-            new = [pa.array(above[:, 0]), pa.array(above.sum(1)), pa.array(steps.argmax(1).astype(np.int32)), pa.array(above[:, 0] >= THRESHOLD)]
-            yield pa.RecordBatch.from_arrays([*(slab.column(c) for c in names), *new], names=[*names, "tox_score", "tox_severity", "tox_grade", "toxic"])
+    def compute(slab: pa.RecordBatch) -> list[pa.Array]:
+        above = model.above(slab.column(text_col).to_pylist())
+        steps = -np.diff(np.concatenate((np.ones((len(above), 1)), above, np.zeros((len(above), 1))), axis=1), axis=1)
+        return [pa.array(above[:, 0]), pa.array(above.sum(1)), pa.array(steps.argmax(1).astype(np.int32)), pa.array(above[:, 0] >= model.cut)]
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + ", tox_score double, tox_severity double, tox_grade int, toxic boolean"
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, text_col, "tox_score double, tox_severity double, tox_grade int, toxic boolean", compute, drop=() if keep_text else (text_col,))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
