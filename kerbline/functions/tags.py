@@ -31,7 +31,7 @@ def lookup(values: Mapping[str, str], key: Column, default: str | None = None) -
 
 def all_values(raw: Column) -> Column:
     """Distinct lower-case values of a tag that may hold several, joined by semicolons, in order."""
-    parts = F.transform(F.split(F.lower(raw), ";"), F.trim)
+    parts = F.transform(F.split(F.lower(raw), ";"), lambda v: F.trim(v))
     return F.coalesce(F.array_distinct(F.filter(parts, lambda v: v != "")), F.array().cast("array<string>"))
 
 
