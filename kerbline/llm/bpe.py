@@ -14,11 +14,9 @@ from pyspark.sql import DataFrame
 
 from .common import mapped
 
-SLAB_TEXT = 8 << 20
+SLAB_TEXT = 6 << 20
 """Bytes of text whose distinct pieces are merged together."""
-KEPT_CHUNKS = 120_000
-"""Encoded chunks that a worker keeps from one slab for the next."""
-REPLAY_BYTES = 3 << 20
+REPLAY_BYTES = 1 << 20
 """Bytes of distinct pieces in one replay."""
 NEVER = np.int32(2**31 - 1)
 
@@ -191,19 +189,15 @@ class Encoder:
 
     def __init__(self, v: Vocabulary):
         self.v = v
-        self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > KEPT_CHUNKS:
-            self.known.clear()
-        find, known = self.v.find, self.known
+        find, known = self.v.find, {}
         new: set[str] = set()
         odd: set[str] = set()
         whole: dict[int, list[str]] = {}
         for i, text in enumerate(texts):
             first, *rest = text.split(" ")
             chunks = set(rest)
-            chunks.difference_update(known)
             for c in chunks.difference(new):
                 if c in odd:
                     continue
@@ -213,7 +207,7 @@ class Encoder:
                     new.add(c)
             if not text or text[0].isspace() or text[-1].isspace() or (odd and not odd.isdisjoint(chunks)) or (rest and first[-1:].isspace()):
                 whole[i] = find(text)
-            elif " " + first not in known:  # no other chunk has a space
+            else:  # no other chunk has a space
                 new.add(" " + first)
         single: list[str] = []  # most chunks: Latin letters, which with the space before them are one piece
         split: dict[str, list[str]] = {}

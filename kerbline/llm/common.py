@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Callable, Collection, Iterable, Iterator
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, types as T
 
 from ..storage import shared_dir, stored
 
-__all__ = ["SLAB_BYTES", "mapped", "mix64", "plain_words", "shared_dir", "slabs", "stored", "word_hashes"]
+__all__ = ["SLAB_BYTES", "mapped", "mix64", "plain_words", "shared_dir", "slabs", "stored", "tidy", "word_hashes"]
 
 SLAB_BYTES = 1 << 20
 """Text handled at once inside a task; a longer text is a slab of its own."""
@@ -29,6 +31,27 @@ def slabs(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLAB_BYTE
             yield batch.slice(a, b - a)
 
 
+@functools.lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    """glibc's malloc_trim, or nothing elsewhere."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which at its end hands its worker's free memory back: workers outlive tasks, and one executor has one a core."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _powers.clear()
+            pa.default_memory_pool().release_unused()
+            _trim()(0)
+
+    return tidied
+
+
 def mapped(df: DataFrame, column: str, new: str, compute: Callable[[pa.RecordBatch], list[pa.Array]], drop: Collection[str] = (), limit: int = SLAB_BYTES) -> DataFrame:
     """df with the columns that new declares (DDL), computed a slab at a time.
 
@@ -41,7 +64,7 @@ def mapped(df: DataFrame, column: str, new: str, compute: Callable[[pa.RecordBat
         for slab in slabs(batches, column, limit):
             yield pa.RecordBatch.from_arrays([*(slab.column(c) for c in names), *compute(slab)], names=[*names, *fields.names])
 
-    return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in names), *fields]))
+    return df.mapInArrow(tidy(run), T.StructType([*(df.schema[c] for c in names), *fields]))
 
 
 def mix64(h: np.ndarray) -> np.ndarray:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import mix64, plain_words, slabs, stored, word_hashes
+from .common import mix64, plain_words, slabs, stored, tidy, word_hashes
 
 BAND = (0.001, 0.05)
 """Terms count whose share of documents is in this band: inverse document frequencies from log 20 to log 1000."""
@@ -61,7 +61,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> np.ndarray:
     """Sorted hashes of the terms of the band, counted over all documents."""
     n_docs = docs.count()
-    counts = stored(docs.select("text").mapInArrow(_counts, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= MIN_DOCS))
+    counts = stored(docs.select("text").mapInArrow(tidy(_counts), "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= MIN_DOCS))
     incidences = counts.agg(F.sum("docs")).first()[0] or 0
     least = max(MIN_DOCS, band[0] * n_docs, incidences / MAX_LEXICON)
     most = max(MIN_DOCS, band[1] * n_docs)
@@ -180,7 +180,7 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND, id_col: str
         if held:
             yield edge("last", part, *held)
 
-    done = stored(ranged.mapInArrow(run, OUT + ", part int, edge string, text string"))
+    done = stored(ranged.mapInArrow(tidy(run), OUT + ", part int, edge string, text string"))
     first = done.filter("edge = 'first'").select(F.col("part").alias("at"), F.col("text").alias("next_text"))
     # One small row for each partition.
     turn = W.orderBy("part")
@@ -192,4 +192,4 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND, id_col: str
             for doc_id, a, b in zip(*(slab.column(c).to_pylist() for c in ("doc_id", "text", "next_text")), strict=True):
                 yield pa.RecordBatch.from_arrays(_compared([doc_id, None], [a, b], shared.value), names=_NAMES)
 
-    return done.filter("edge is null").select(*_NAMES).union(last.select("doc_id", "text", "next_text").mapInArrow(join_edges, OUT))
+    return done.filter("edge is null").select(*_NAMES).union(last.select("doc_id", "text", "next_text").mapInArrow(tidy(join_edges), OUT))

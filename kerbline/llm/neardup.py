@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix64, slabs, stored, word_hashes
+from .common import mix64, slabs, stored, tidy, word_hashes
 
 WORDS = 5
 CHUNKS, CHUNK_SYMBOLS, ERRORS = 10, 4, 1
@@ -185,7 +185,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links nothing and is kept, its component_id is null. An empty table gives no rows. Other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = stored(texts.mapInArrow(_signatures, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>"))
+    signed = stored(texts.mapInArrow(tidy(_signatures), "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>"))
     classes = stored(signed.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")))
     reps = signed.filter("n_shingles > 0").join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_a", "set_b", "n_shingles"])
     keyed = reps.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
@@ -196,12 +196,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = stored(buckets.filter("rep != first").select(F.greatest("rep", "first").alias("x"), F.least("rep", "first").alias("y")).distinct())
     ids = stored(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
     few = ids.count() <= BROADCAST_IDS
-    sets = stored(texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary").dropDuplicates(["doc_id"]))
+    sets = stored(texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(tidy(_sets), "doc_id long, shingles binary").dropDuplicates(["doc_id"]))
 
     def of(side: str) -> DataFrame:
         return sets.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"set_{side}"))
 
-    links = stored(pairs.join(of("x"), "x").join(of("y"), "y").select("x", "y", "set_x", "set_y").mapInArrow(_linked, "x long, y long"))
+    links = stored(pairs.join(of("x"), "x").join(of("y"), "y").select("x", "y", "set_x", "set_y").mapInArrow(tidy(_linked), "x long, y long"))
     roots = connected(links)
     # Buckets of two have had their only comparison.
     open_ = buckets.filter("n > 2").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("class"))

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import mapped, slabs, word_hashes
+from .common import mapped, slabs, tidy, word_hashes
 
 MAX_TRAIN = 20_000
 """Labelled rows that a model is fitted on, at most: those of the least hash."""
@@ -206,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
             x = text_features(slab.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([slab.column("y"), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
 
-    rows = training_rows(docs, labels, label, max_rows).mapInArrow(run, "y int, x array<double>").limit(2 * max_rows).toArrow()
+    rows = training_rows(docs, labels, label, max_rows).mapInArrow(tidy(run), "y int, x array<double>").limit(2 * max_rows).toArrow()
     x = np.array(rows.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     y = np.array(rows.column("y").to_pylist(), float)
     order = np.lexsort((*x.T, y))  # the fit doesn't depend on the order of rows

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mapped, plain_words, slabs, word_hashes
+from .common import mapped, plain_words, slabs, tidy, word_hashes
 from .quality import training_rows
 
 MAX_TRAIN = 20_000
@@ -122,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
             keys, yes, no = np.append(keys.astype(np.int64), 0), np.append(yes, (y > 0).sum()), np.append(no, (y == 0).sum())
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(yes), pa.array(no)], names=["feature", "yes", "no"])
 
-    counts = rows.mapInArrow(count, "feature long, yes long, no long").groupBy("feature").agg(F.sum("yes").cast("double").alias("yes"), F.sum("no").cast("double").alias("no"))
+    counts = rows.mapInArrow(tidy(count), "feature long, yes long, no long").groupBy("feature").agg(F.sum("yes").cast("double").alias("yes"), F.sum("no").cast("double").alias("no"))
     counts = counts.filter("feature = 0 or yes >= 2")
     totals = rows.agg(F.sum(F.when(F.col("y") > 0, 1.0).otherwise(0.0)).alias("all_yes"), F.sum(F.when(F.col("y") > 0, 0.0).otherwise(1.0)).alias("all_no"))
     a, b, c, d = F.col("yes"), F.col("no"), F.col("all_yes") - F.col("yes"), F.col("all_no") - F.col("no")
@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
             f = [feature[x:y].astype(np.int64).tolist() for x, y in zip(cuts, cuts[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([slab.column("y"), pa.array(f, pa.list_(pa.int64()))], names=["y", "features"])
 
-    got = rows.mapInArrow(places, "y int, features array<long>").limit(2 * max_rows).toArrow()
+    got = rows.mapInArrow(tidy(places), "y int, features array<long>").limit(2 * max_rows).toArrow()
     found = sorted(zip(got.column("y").to_pylist(), got.column("features").to_pylist(), strict=True))  # the fit doesn't depend on the order of rows
     y, lists = np.array([f[0] for f in found], int), [f[1] for f in found]
     n = np.array([len(x) for x in lists], int)
