@@ -16,6 +16,8 @@ from .common import mapped
 
 SLAB_TEXT = 6 << 20
 """Bytes of text whose distinct pieces are merged together."""
+KEPT_CHUNKS, KEPT_LENGTH = 40_000, 9
+"""A worker keeps encodings of short chunks, the commonest, from slab to slab until it has this many."""
 REPLAY_BYTES = 1 << 20
 """Bytes of distinct pieces in one replay."""
 NEVER = np.int32(2**31 - 1)
@@ -189,16 +191,17 @@ class Encoder:
 
     def __init__(self, v: Vocabulary):
         self.v = v
+        self.kept: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        find, known = self.v.find, {}
+        find, known = self.v.find, self.kept.copy()
         new: set[str] = set()
         odd: set[str] = set()
         whole: dict[int, list[str]] = {}
         for i, text in enumerate(texts):
             first, *rest = text.split(" ")
             chunks = set(rest)
-            for c in chunks.difference(new):
+            for c in chunks.difference(new).difference(known):
                 if c in odd:
                     continue
                 if not c or c[0].isspace() or c[-1].isspace():
@@ -207,7 +210,7 @@ class Encoder:
                     new.add(c)
             if not text or text[0].isspace() or text[-1].isspace() or (odd and not odd.isdisjoint(chunks)) or (rest and first[-1:].isspace()):
                 whole[i] = find(text)
-            else:  # no other chunk has a space
+            elif " " + first not in known:  # no other chunk has a space
                 new.add(" " + first)
         single: list[str] = []  # most chunks: Latin letters, which with the space before them are one piece
         split: dict[str, list[str]] = {}
@@ -225,6 +228,8 @@ class Encoder:
         known.update(zip(single, [ids[" " + c] for c in single], strict=True))
         for c, ps in split.items():
             known[c] = ids[ps[0]] if len(ps) == 1 else b"".join(map(ids.__getitem__, ps))
+        if len(self.kept) < KEPT_CHUNKS:
+            self.kept.update((c, known[c]) for c in single if len(c) <= KEPT_LENGTH)
         out = []
         for i, text in enumerate(texts):
             if i in whole:

@@ -120,7 +120,7 @@ def words_of_copy(k: Column, size: str = "mix_size") -> Column:
 
 def position(k: Column, curriculum: Mapping[int, Sequence[tuple[float, float]]] = CURRICULUM) -> Column:
     """Training time of the k-th copy's first word."""
-    return training_time((k * F.col("source_size") + F.col("mix_offset")) / F.col("mix_take"), F.col("mix_weight"), curriculum)
+    return training_time(F.try_divide(k * F.col("source_size") + F.col("mix_offset"), F.col("mix_take")), F.col("mix_weight"), curriculum)
 
 
 def training_order(plan: DataFrame, max_repeats: int = MAX_REPEATS, curriculum: Mapping[int, Sequence[tuple[float, float]]] = CURRICULUM) -> DataFrame:

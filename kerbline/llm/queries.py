@@ -84,4 +84,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": op10_secrets,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_topk": """with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) v from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id query_id, b.vec_id, list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))::bigint score from v a join v b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id)
+select query_id, rank::int rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s) where rank <= 20""",
+    "op4_mixing": r"""with d as (select doc_id, source, coalesce(len(regexp_extract_all("text", '[^\x20\x09-\x0D]+')), 0)::bigint size, ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':17'), 1, 15))::bigint k from documents),
+s as (select source, sum(size)::bigint source_size, (row_number() over (order by source nulls last) - 1) % 3 + 1 w from d group by source),
+c as (select *, 3 * source_size cap, (sum(source_size) over ())::bigint total, row_number() over (order by (3 * source_size) / w, source nulls last) nth from s),
+l as (select *, (total - coalesce(sum(cap) over (order by nth rows between unbounded preceding and 1 preceding), 0))::bigint / (sum(w) over (order by nth rows between current row and unbounded following))::bigint lev from c),
+f as (select *, min(nth) filter (cap > lev * w) over () fo from l),
+g as (select *, max(lev) filter (nth = fo) over () lv from f),
+t as (select source s, w, source_size, case when fo is null or nth < fo then cap::double else lv * w end target from g),
+p as (select *, (sum(size) over (partition by source order by k, doc_id, size rows unbounded preceding) - size)::bigint o, floor(target + 0.5)::bigint n from d join t on d.source is not distinct from t.s),
+q as (select *, greatest(0, least(size, n - o)) + greatest(0, least(size, n - source_size - o)) + greatest(0, least(size, n - 2 * source_size - o)) taken, o / nullif(n, 0) y from p)
+select doc_id, size, source_size, target, taken, case when taken > 0 then case w when 1 then (sqrt(2.25::double - 2 * y) - 1.5::double) / -1 when 2 then y else case when y >= 0.375 then 0.5::double + (sqrt(1 + 2 * (y - 0.375::double)) - 1) else sqrt(0.25::double + 2 * y) - 0.5::double end end end first_time from q""",
+    "op7_neardup": r"""with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+h as (select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end h from w),
+x as materialized (select doc_id, len(h) n, unnest(h) g from h),
+l as materialized (select a.doc_id a, b.doc_id b from x a join x b on a.g = b.g and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+r(doc_id, reach) as (select doc_id, doc_id from h union select r.doc_id, l.b from r join l on l.a = r.reach),
+c as (select doc_id, min(reach) component_id from r group by doc_id)
+select doc_id, len(h)::bigint n_shingles, component_id, doc_id = component_id kept from h join c using (doc_id)""",
+}
+"""The other operators learn, parse, encode or hash in ways that SQL can't express; tests/llm compares them with brute force."""
