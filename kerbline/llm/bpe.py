@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from .common import mapped
 
-SLAB_TEXT = 6 << 20
+SLAB_TEXT = 4 << 20
 """Bytes of text whose distinct pieces are merged together."""
 KEPT_CHUNKS, KEPT_LENGTH = 40_000, 9
 """A worker keeps encodings of short chunks, the commonest, from slab to slab until it has this many."""
