@@ -17,31 +17,37 @@ def _rank_order(w):
 def exact_hits(queries: DataFrame, places: DataFrame) -> DataFrame:
     """(query_id, place_id, ..., tier): code, whole text, code beginning, initialism, text beginning, or all terms.
 
-    The first term is an equi-join key on the places' words and their beginnings, so a query meets only places that have it.
+    Distinct query texts meet distinct searchable contents on a word or word beginning (an equi-join on the query's first term); queries
+    and places are joined to the matches.
     """
+    content = ["search_text", "codes", "initialisms"]
     terms = F.filter(F.split("search_text", " "), lambda w: w != "")
     starts = F.flatten(F.transform(terms, lambda w: F.transform(F.sequence(F.lit(1), F.char_length(w)), lambda n: F.substr(w, F.lit(1), n))))
-    keys = F.array_distinct(F.concat(starts, F.transform(F.coalesce("codes", F.array().cast("array<string>")), F.lower), F.coalesce("initialisms", F.array().cast("array<string>"))))
-    index = places.withColumn("term", F.explode(keys))
-    asked = queries.withColumn("terms", tx.terms(F.col("text"))).filter(F.size("terms") > 0).withColumn("term", F.get("terms", F.lit(0)))
-    rows = asked.join(index, "term")
+    none = F.array().cast("array<string>")
+    filled = places.withColumns({"codes": F.coalesce("codes", none), "initialisms": F.coalesce("initialisms", none)})
+    codes = F.transform("codes", lambda c: F.lower(c))
+    index = filled.select(*content).distinct().withColumn("term", F.explode(F.array_distinct(F.concat(starts, codes, "initialisms"))))
+    asked = queries.select("text").distinct().withColumn("terms", tx.terms(F.col("text"))).filter(F.size("terms") > 0).withColumn("term", F.get("terms", F.lit(0)))
     small = tx.compact(F.col("text"))
-    codes = F.transform(F.coalesce("codes", F.array().cast("array<string>")), F.lower)
     tier = (
         F.when(F.array_contains(codes, small), 0).when(F.col("search_text") == F.col("text"), 1)
-        .when(F.exists(codes, lambda c: F.startswith(c, small)), 2).when(F.array_contains(F.coalesce("initialisms", F.array().cast("array<string>")), small), 3)
+        .when(F.exists(codes, lambda c: F.startswith(c, small)), 2).when(F.array_contains("initialisms", small), 3)
         .when(F.startswith("search_text", "text"), 4).when(tx.matches_terms(F.col("search_text"), F.col("terms")), 5)
     )
-    return rows.withColumn("tier", tier).filter("tier is not null").drop("term", "terms")
+    found = asked.join(index, "term").withColumn("tier", tier).filter("tier is not null").select("text", *content, "tier")
+    return queries.join(found, "text").join(filled, content)
 
 
 def fuzzy_hits(queries: DataFrame, places: DataFrame, least: float = FUZZY_LEAST) -> DataFrame:
-    """(query_id, place_id, ..., tier 9): places that share enough trigrams. Candidates meet on trigrams, counted before texts are compared."""
-    q = queries.withColumn("trigrams", tx.trigrams(F.col("text")))
-    p = places.withColumn("p_trigrams", tx.trigrams(F.col("search_text")))
-    shared = q.select("query_id", F.size("trigrams").alias("nq"), F.explode("trigrams").alias("t")).join(p.select("place_id", F.size("p_trigrams").alias("np"), F.explode("p_trigrams").alias("t")), "t")
-    near = shared.groupBy("query_id", "place_id", "nq", "np").agg(F.count("*").alias("c")).filter(F.col("c") >= least * (F.col("nq") + F.col("np") - F.col("c")))
-    return near.select("query_id", "place_id").join(queries, "query_id").join(places, "place_id").withColumn("tier", F.lit(9))
+    """(query_id, place_id, ..., tier 9): places that share enough trigrams.
+
+    Distinct texts of both sides meet on trigrams, which are counted before anything else of them is joined back.
+    """
+    q = queries.select("text").distinct().withColumn("trigrams", tx.trigrams(F.col("text")))
+    p = places.select("search_text").distinct().withColumn("p_trigrams", tx.trigrams(F.col("search_text")))
+    shared = q.select("text", F.size("trigrams").alias("nq"), F.explode("trigrams").alias("t")).join(p.select("search_text", F.size("p_trigrams").alias("np"), F.explode("p_trigrams").alias("t")), "t")
+    near = shared.groupBy("text", "search_text", "nq", "np").agg(F.count("*").alias("c")).filter(F.col("c") >= least * (F.col("nq") + F.col("np") - F.col("c")))
+    return near.select("text", "search_text").join(queries, "text").join(places, "search_text").withColumn("tier", F.lit(9))
 
 
 def search(queries: DataFrame, places: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -50,12 +56,16 @@ def search(queries: DataFrame, places: DataFrame, limit: int = LIMIT) -> DataFra
     places: place_id, kind, label, category, search_text, codes, initialisms. The fuzzy pass runs only for queries that the exact one
     leaves empty; of places with one kind, label and category the best ranked stays.
     """
+    # Places that only differ in their id rank as one: the least id.
+    places = places.groupBy("kind", "label", "category", "search_text", "codes", "initialisms").agg(F.min("place_id").alias("place_id"))
     exact = exact_hits(queries, places)
     rest = queries.join(exact.select("query_id").distinct(), "query_id", "left_anti")
     hits = exact.unionByName(fuzzy_hits(rest, places).select(*exact.columns))
     number_first = F.col("text").rlike("^[0-9]")
     kind = F.when(F.col("kind") == "address", F.when(number_first, 0).otherwise(2)).when(F.col("kind") == "place", F.when(number_first, 1).otherwise(0)).otherwise(F.when(number_first, 2).otherwise(1))
-    hits = hits.withColumns({"kind_rank": kind, "similarity": tx.similarity(F.col("text"), F.col("search_text")), "label_length": F.char_length("label")})
+    # Texts repeat over many hits, so each pair of texts is compared once.
+    pairs = hits.select("text", "search_text").distinct().withColumn("similarity", tx.similarity(F.col("text"), F.col("search_text")))
+    hits = hits.join(pairs, ["text", "search_text"]).withColumns({"kind_rank": kind, "label_length": F.char_length("label")})
     one = hits.withColumn("_i", F.row_number().over(_rank_order(W.partitionBy("query_id", "kind", "label", "category")))).filter("_i = 1")
     ranked = one.withColumn("rank", F.row_number().over(_rank_order(W.partitionBy("query_id")))).filter(F.col("rank") <= limit)
     return ranked.select("query_id", "rank", "place_id", "label", "tier", F.round("similarity", 6).alias("similarity"))
