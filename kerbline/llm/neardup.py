@@ -208,7 +208,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = stored(open_)
     members = open_.groupBy("key", "class").agg(F.count("*").alias("m"))
     split = members.groupBy("key").agg(F.sum("m").alias("n"), F.count("*").alias("classes"), F.max(F.struct("m", "class")).alias("major")).filter("classes > 1")
-    split = split.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.col("major.class").alias("major"))
+    # Stored, so that the join below has nothing but exchanges under it and skewed keys can be split.
+    split = stored(split.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.col("major.class").alias("major")))
     rows = open_.join(split, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
