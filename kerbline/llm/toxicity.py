@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mapped, plain_words, slabs, tidy, word_hashes
+from .common import mapped, plain_words, slabs, stored, tidy, word_hashes
 from .quality import training_rows
 
 MAX_TRAIN = 20_000
@@ -123,12 +123,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(yes), pa.array(no)], names=["feature", "yes", "no"])
 
     counts = rows.mapInArrow(tidy(count), "feature long, yes long, no long").groupBy("feature").agg(F.sum("yes").cast("double").alias("yes"), F.sum("no").cast("double").alias("no"))
-    counts = counts.filter("feature = 0 or yes >= 2")
-    totals = rows.agg(F.sum(F.when(F.col("y") > 0, 1.0).otherwise(0.0)).alias("all_yes"), F.sum(F.when(F.col("y") > 0, 0.0).otherwise(1.0)).alias("all_no"))
-    a, b, c, d = F.col("yes"), F.col("no"), F.col("all_yes") - F.col("yes"), F.col("all_no") - F.col("no")
+    counts = stored(counts.filter("feature = 0 or yes >= 2"))
+    all_yes, all_no = counts.filter("feature = 0").agg(F.coalesce(F.sum("yes"), F.lit(0.0)), F.coalesce(F.sum("no"), F.lit(0.0))).first()
+    a, b, c, d = F.col("yes"), F.col("no"), all_yes - F.col("yes"), all_no - F.col("no")
     chi2 = (a + b + c + d) * (a * d - b * c) * (a * d - b * c) / F.greatest(F.lit(1e-9), (a + b) * (c + d) * (a + c) * (b + d))
-    lift = (a / (a + c)) / ((b + 0.5) / (b + d + 1))
-    chosen = counts.filter("feature != 0").crossJoin(F.broadcast(totals)).withColumn("chi2", chi2).filter((F.col("chi2") >= MIN_CHI2) & (lift >= MIN_LIFT) & (F.col("all_yes") > 0))
+    lift = F.try_divide(a, a + c) / ((b + 0.5) / (b + d + 1))
+    chosen = counts.filter("feature != 0").withColumn("chi2", chi2).filter((F.col("chi2") >= MIN_CHI2) & (lift >= MIN_LIFT))
     keys = np.array([r[0] for r in chosen.orderBy(F.col("chi2").desc(), "feature").limit(MAX_FEATURES).select("feature").collect()], np.int64)
     keys = np.sort(keys.astype(np.uint64))
 
