@@ -117,3 +117,53 @@ def outcome(base: Column, other: Column, recost: Column, tolerance: float = 0.01
         F.when(base.isNull() & other.isNull(), "no_route").when(base.isNull(), "opened").when(other.isNull(), "closed")
         .when(recost.isNull(), "rerouted_blocked").when(other < recost - tolerance, "rerouted").when(F.abs(recost - base) > tolerance, "same_path_new_cost").otherwise("unchanged")
     )
+
+
+def contracted(segments: DataFrame, attributes: list[str]) -> DataFrame:
+    """(chain_id, segments, length_m, attributes): runs of segments through nodes of degree two, joined where all attributes are equal.
+
+    chain_id is the chain's least segment_id. Two segments share a chain if they meet alone at a node and don't differ; chains are the connected parts
+    of those links, so a long street takes a logarithmic number of rounds.
+    """
+    same = F.xxhash64(*(F.coalesce(F.col(a).cast("string"), F.lit("\0")) for a in attributes))
+    ends = segments.select("segment_id", same.alias("_h"), F.explode(F.array("src", "dst")).alias("node"))
+    at = ends.groupBy("node").agg(F.count("*").alias("n"), F.min("segment_id").alias("u"), F.max("segment_id").alias("v"), F.min("_h").alias("a"), F.max("_h").alias("b"))
+    links = at.filter("n = 2 and u != v and a = b").select("u", "v")
+    roots = connected_parts(links, "u", "v").select(F.col("node").alias("segment_id"), "root")
+    rows = segments.join(roots, "segment_id", "left").withColumn("chain_id", F.coalesce("root", "segment_id"))
+    return rows.groupBy("chain_id").agg(F.count("*").alias("segments"), F.sum("length_m").alias("length_m"), *(F.first(a).alias(a) for a in attributes))
+
+
+def relocated(choices: DataFrame, parts: DataFrame) -> DataFrame:
+    """(request, origin, destination, part): a snap of both ends in one part, at least one of them the nearest of its end.
+
+    choices: (request, side 'origin' or 'destination', node, d, far): snaps of a request's end, d from it and far from the other end;
+    parts: (node, part), 0 the largest. A snap that is at least as near the other end as its own is no choice unless it is its end's
+    nearest. The least sum of distances over the nearest snaps' is tried last: the larger part wins first.
+    """
+    w = W.partitionBy("request", "side").orderBy("d", "node")
+    ranked = choices.withColumn("_i", F.row_number().over(w)).filter((F.col("_i") == 1) | (F.col("far") > F.col("d"))).join(parts.select("node", "part"), "node")
+    best = ranked.groupBy("request", "side", "part").agg(F.min(F.struct("d", "node", "_i")).alias("s"))
+    a = best.filter("side = 'origin'").select("request", "part", F.col("s").alias("a"))
+    b = best.filter("side = 'destination'").select("request", "part", F.col("s").alias("b"))
+    both = a.join(b, ["request", "part"]).filter("a._i = 1 or b._i = 1")
+    order = F.struct(F.when((F.col("a._i") == 1) & (F.col("b._i") == 1), 0).otherwise(1).alias("moved"), "part", (F.col("a.d") + F.col("b.d")).alias("sum"))
+    won = both.groupBy("request").agg(F.min_by(F.struct(F.col("a.node").alias("origin"), F.col("b.node").alias("destination"), "part"), order).alias("m"))
+    return won.select("request", "m.*")
+
+
+def named_stretches(pieces: DataFrame, near: float) -> DataFrame:
+    """(piece_id, stretch): pieces of one name that share a node or have points within near of each other; pieces: (piece_id, name, x, y, nodes)."""
+    shared = pieces.select("piece_id", "name", F.explode("nodes").alias("node"))
+    first = shared.groupBy("name", "node").agg(F.min("piece_id").alias("u"))
+    by_node = shared.join(first, ["name", "node"]).filter("piece_id != u").select("u", F.col("piece_id").alias("v"))
+    # The first piece of each cell stands for the cell, so crowded cells give no pairs among themselves; a cell's diagonal is near.
+    size = near / 2 ** 0.5
+    cells = pieces.withColumns({"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)}).select("piece_id", "name", "x", "y", "cx", "cy")
+    head = cells.groupBy("name", "cx", "cy").agg(F.min("piece_id").alias("u"))
+    inside = cells.join(head, ["name", "cx", "cy"]).filter("piece_id != u").select("u", F.col("piece_id").alias("v"))
+    steps = F.explode(F.array(*(F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-2, -1, 0, 1, 2) for j in (-2, -1, 0, 1, 2) if i or j)))
+    a = cells.select("piece_id", "name", "x", "y", steps.alias("c")).select(F.col("piece_id").alias("u"), "name", F.col("x").alias("ux"), F.col("y").alias("uy"), "c.cx", "c.cy")
+    across = a.join(cells, ["name", "cx", "cy"]).filter((F.hypot(F.col("x") - F.col("ux"), F.col("y") - F.col("uy")) <= near) & (F.col("u") < F.col("piece_id"))).select("u", F.col("piece_id").alias("v"))
+    roots = connected_parts(by_node.union(inside).union(across), "u", "v").select(F.col("node").alias("piece_id"), "root")
+    return pieces.select("piece_id").join(roots, "piece_id", "left").select("piece_id", F.coalesce("root", "piece_id").alias("stretch"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .study_oracles import STUDY_ORACLES
+
 
 def _relaxed(name: str, edges: str, rounds: int = 24) -> str:
     """CTEs of all cheapest costs over an edge table (profile, s, d, c), a round of relaxation each."""
@@ -93,4 +95,4 @@ select case when list_sort(t) = list_sort(g) then 'exact' when tp > 0 then 'part
     "tumbling_events": "select time_bucket(interval 1 day, ts) as start, event_type, count(*) n, round(sum(value), 4) total from events group by all",
     "sliding_events": "select d as start, event_type, count(*) n from (select unnest([time_bucket(interval 1 day, ts), time_bucket(interval 1 day, ts) - interval 1 day]) d, event_type from events) group by all",
     "event_sessions": "with g as (select *, case when ts - lag(ts) over w < interval 6 hours then 0 else 1 end s from events window w as (partition by user_id order by ts)), h as (select *, sum(s) over (partition by user_id order by ts, event_id rows unbounded preceding) k from g) select user_id, min(ts) as start, count(*) n from h group by user_id, k",
-}
+} | STUDY_ORACLES

@@ -12,6 +12,7 @@ from ..operators import aggregates, conflate, graph, joins, places, spatial, sta
 from ..sources.network import segments
 from ..sources.tables import TABLES, table
 from ..streaming import events as streams
+from .study_queries import STUDY_QUERIES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -346,4 +347,4 @@ QUERIES: dict[str, Query] = {
         way_segments, connected_components, component_sizes, content_hash_rows, content_hash_table, stratified_hash_sample, sample_allocation, wilson_prf, confusion_agreement, grid_tune,
         bootstrap_interval, set_outcomes, schema_contract, table_rows, conflation, geodesic_check, tumbling_events, sliding_events, event_sessions, token_bucket,
     )
-}
+} | STUDY_QUERIES
