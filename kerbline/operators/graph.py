@@ -32,9 +32,10 @@ def connected_parts(edges: DataFrame, u: str = "src", v: str = "dst") -> DataFra
     seen = None
     while True:
         both = links.select(F.col("v").alias("n"), F.col("u").alias("m")).union(links.select(F.col("u").alias("n"), F.col("v").alias("m")))
-        least = both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("least"))
-        large = both.join(least, "n").filter("m > n").select(F.col("m").alias("v"), F.col("least").alias("u")).distinct()
-        low = large.groupBy("v").agg(F.min("u").alias("least"))
+        # Stored minima leave nothing but exchanges under the joins, so that a hub's rows can be split.
+        least = stored(both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("least")))
+        large = stored(both.join(least, "n").filter("m > n").select(F.col("m").alias("v"), F.col("least").alias("u")).distinct())
+        low = stored(large.groupBy("v").agg(F.min("u").alias("least")))
         ends = F.explode(F.array(F.struct("v", F.col("least").alias("u")), F.struct(F.col("u").alias("v"), F.col("least").alias("u"))))
         links = stored(large.join(low, "v").select(ends.alias("e")).select("e.*").filter("u < v").distinct())
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
