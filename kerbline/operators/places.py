@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as tx
 
@@ -14,28 +14,44 @@ def _rank_order(w):
     return w.orderBy("tier", "kind_rank", F.col("similarity").desc(), "label_length", "place_id")
 
 
+def with_code(queries: DataFrame) -> DataFrame:
+    """queries with code, the text as a code is written: their own, or the compacted text where they have none."""
+    small = tx.compact(F.col("text"))
+    return queries.withColumn("code", F.coalesce("code", small) if "code" in queries.columns else small)
+
+
 def exact_hits(queries: DataFrame, places: DataFrame) -> DataFrame:
     """(query_id, place_id, ..., tier): code, whole text, code beginning, initialism, text beginning, or all terms.
 
-    Distinct query texts meet distinct searchable contents on a word or word beginning (an equi-join on the query's first term); queries
-    and places are joined to the matches.
+    Distinct query texts meet distinct searchable contents by two equi-joins in one: the first term on word beginnings, and the text as a
+    code is written (column code of queries, else the compacted text) on codes, their beginnings of two or more characters and initialisms.
+    Queries and places are joined to the distinct matches.
     """
     content = ["search_text", "codes", "initialisms"]
     terms = F.filter(F.split("search_text", " "), lambda w: w != "")
-    starts = F.flatten(F.transform(terms, lambda w: F.transform(F.sequence(F.lit(1), F.char_length(w)), lambda n: F.substr(w, F.lit(1), n))))
+
+    def starts(words: Column, least: int) -> Column:
+        of = lambda w: F.when(F.char_length(w) >= least, F.transform(F.sequence(F.lit(least), F.char_length(w)), lambda n: F.substr(w, F.lit(1), n))).otherwise(F.array(w))
+        return F.flatten(F.transform(F.filter(words, lambda w: w.isNotNull()), of))
+
+    def keys(kind: str, words: Column) -> Column:
+        return F.transform(words, lambda w: F.concat(F.lit(kind), w))
+
     none = F.array().cast("array<string>")
+    queries = with_code(queries)
     filled = places.withColumns({"codes": F.coalesce("codes", none), "initialisms": F.coalesce("initialisms", none)})
     codes = F.transform("codes", lambda c: F.lower(c))
-    index = filled.select(*content).distinct().withColumn("term", F.explode(F.array_distinct(F.concat(starts, codes, "initialisms"))))
-    asked = queries.select("text").distinct().withColumn("terms", tx.terms(F.col("text"))).filter(F.size("terms") > 0).withColumn("term", F.get("terms", F.lit(0)))
-    small = tx.compact(F.col("text"))
+    index = filled.select(*content).distinct().withColumn("key", F.explode(F.array_distinct(F.concat(keys("t", starts(terms, 1)), keys("c", starts(codes, 2)), keys("c", F.col("initialisms"))))))
+    asked = queries.select("text", "code").distinct().withColumn("terms", tx.terms(F.col("text"))).filter(F.size("terms") > 0)
+    asked = asked.withColumns({"query": F.array_join("terms", " "), "key": F.explode(F.array(F.concat(F.lit("t"), F.get("terms", F.lit(0))), F.concat(F.lit("c"), F.col("code"))))})
+    small = F.col("code")
     tier = (
-        F.when(F.array_contains(codes, small), 0).when(F.col("search_text") == F.col("text"), 1)
-        .when(F.exists(codes, lambda c: F.startswith(c, small)), 2).when(F.array_contains("initialisms", small), 3)
-        .when(F.startswith("search_text", "text"), 4).when(tx.matches_terms(F.col("search_text"), F.col("terms")), 5)
+        F.when(F.array_contains(codes, small), 0).when(F.col("search_text") == F.col("query"), 1)
+        .when((F.char_length(small) >= 2) & F.exists(codes, lambda c: F.startswith(c, small)), 2).when(F.array_contains("initialisms", small), 3)
+        .when(F.startswith("search_text", "query"), 4).when(tx.matches_terms(F.col("search_text"), F.col("terms")), 5)
     )
-    found = asked.join(index, "term").withColumn("tier", tier).filter("tier is not null").select("text", *content, "tier")
-    return queries.join(found, "text").join(filled, content)
+    found = asked.join(index, "key").withColumn("tier", tier).filter("tier is not null").select("text", "code", *content, "tier").distinct()
+    return queries.join(found, ["text", "code"]).drop("code").join(filled, content)
 
 
 def fuzzy_hits(queries: DataFrame, places: DataFrame, least: float = FUZZY_LEAST) -> DataFrame:
@@ -51,7 +67,8 @@ def fuzzy_hits(queries: DataFrame, places: DataFrame, least: float = FUZZY_LEAST
 
 
 def search(queries: DataFrame, places: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(query_id, rank, place_id, label, tier, similarity) for queries (query_id, text, already normalised).
+    """(query_id, rank, place_id, label, tier, similarity) for queries (query_id, text, already normalised; optionally
+    code, the text as typed in small letters and digits only, with no abbreviation expanded).
 
     places: place_id, kind, label, category, search_text, codes, initialisms. The fuzzy pass runs only for queries that the exact one
     leaves empty; of places with one kind, label and category the best ranked stays.

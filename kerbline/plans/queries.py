@@ -162,7 +162,8 @@ def ranked_search(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part")
     index = p.select(F.col("p_partkey").alias("place_id"), F.lit("place").alias("kind"), F.col("p_name").alias("label"), F.col("p_type").alias("category"), text.normalise(F.col("p_name")).alias("search_text"), F.array(F.regexp_replace("p_brand", "[^0-9A-Za-z]", "")).alias("codes"), F.array().cast("array<string>").alias("initialisms"))
     asked = p.filter("p_partkey % 20 = 1").select(F.col("p_partkey").alias("query_id"), F.expr("case p_partkey % 3 when 0 then p_name when 1 then substr(p_name, 1, 6) else reverse(p_name) end").alias("q"))
-    return places.search(asked.select("query_id", text.normalise(F.col("q")).alias("text")).filter("text != ''"), index)
+    typed = text.compact(text.plain_text(text.fold_accents(F.col("q"))))
+    return places.search(asked.select("query_id", text.normalise(F.col("q")).alias("text"), typed.alias("code")).filter("text != ''"), index)
 
 
 def _points(spark: SparkSession, sf: str) -> DataFrame:
