@@ -78,6 +78,31 @@ def similarity(first: Column, second: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
 
 
+def _best_extent(first: str, second: str) -> float:
+    def pieces(text: str) -> list[str]:
+        return [w[i : i + 3] for w in (f"  {x} " for x in text.split(" ") if x) for i in range(len(w) - 2)]
+
+    wanted, line = set(pieces(first)), pieces(second)
+    ends = [i for i, p in enumerate(line) if p in wanted]  # the best extent begins and ends with shared trigrams
+    best = 0.0
+    for k, i in enumerate(ends):
+        seen: set[str] = set()
+        shared, done = 0, i
+        for j in ends[k:]:
+            new = set(line[done : j + 1]) - seen
+            seen |= new
+            shared += len(new & wanted)
+            done = j + 1
+            best = max(best, shared / (len(wanted) + len(seen) - shared))
+    return best
+
+
+@F.pandas_udf(T.DoubleType())
+def word_similarity(first: pd.Series, second: pd.Series) -> pd.Series:
+    """Greatest similarity of the first text's trigrams to those of any contiguous extent of the second's, in order."""
+    return pd.Series([None if a is None or b is None else _best_extent(a, b) for a, b in zip(first, second, strict=True)], dtype="float64")
+
+
 def same_street(first: Column, second: Column) -> Column:
     """Equal word sets after expansion; null if either name has no word."""
     a, b = (F.array_sort(terms(expanded(plain_text(c)))) for c in (first, second))

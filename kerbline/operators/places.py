@@ -6,12 +6,26 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as tx
 
-FUZZY_LEAST = 0.3
+FUZZY_LEAST = 0.6
+"""Least word similarity of the fuzzy pass: the default of pg_trgm's <% operator."""
 LIMIT = 8
+FUZZY_TIER = 9
+# Stops named after what they serve, and features that are rarely where somebody means to go.
+TRANSIT = ("transit stop", "transit station", "transit platform", "bus station", "station", "halt", "tram stop")
+INCIDENTAL = (
+    "artwork", "atm", "bench", "bicycle parking", "charging station", "clock", "drinking water", "information", "motorcycle parking", "parcel locker", "parking", "parking entrance", "parking space",
+    "post box", "recycling", "shelter", "taxi", "telephone", "toilets", "vending machine", "waste basket",
+)
 
 
 def _rank_order(w):
-    return w.orderBy("tier", "kind_rank", F.col("similarity").desc(), "label_length", "place_id")
+    fuzzy = F.when(F.col("tier") == FUZZY_TIER, F.col("similarity"))  # comes first in the fuzzy pass, fourth in the exact one
+    return w.orderBy("tier", fuzzy.desc(), "kind_rank", "category_rank", F.col("similarity").desc(), "text_length", "place_id")
+
+
+def category_rank(category: Column) -> Column:
+    """0 for a place someone is likely going to, 1 for transit, 2 for incidentals."""
+    return F.when(category.isin(*INCIDENTAL), 2).when(category.isin(*TRANSIT), 1).otherwise(0)
 
 
 def with_code(queries: DataFrame) -> DataFrame:
@@ -21,7 +35,8 @@ def with_code(queries: DataFrame) -> DataFrame:
 
 
 def exact_hits(queries: DataFrame, places: DataFrame) -> DataFrame:
-    """(query_id, place_id, ..., tier): code, whole text, code beginning, initialism, text beginning, or all terms.
+    """(query_id, place_id, ..., tier): 0 code, 1 whole text, 2 code beginning, 3 initialism, 4 text beginning, 5 and 6 whole text and text
+    beginning of transit, 7 the rest. Tiers 1 to 4 are for categories of rank 0.
 
     Distinct query texts meet distinct searchable contents by two equi-joins in one: the first term on word beginnings, and the text as a
     code is written (column code of queries, else the compacted text) on codes, their beginnings of two or more characters and initialisms.
@@ -45,25 +60,33 @@ def exact_hits(queries: DataFrame, places: DataFrame) -> DataFrame:
     asked = queries.select("text", "code").distinct().withColumn("terms", tx.terms(F.col("text"))).filter(F.size("terms") > 0)
     asked = asked.withColumns({"query": F.array_join("terms", " "), "key": F.explode(F.array(F.concat(F.lit("t"), F.get("terms", F.lit(0))), F.concat(F.lit("c"), F.col("code"))))})
     small = F.col("code")
+    # How texts match doesn't depend on the category, so it is found once for all places with one content; the tier is given afterwards.
+    how = {
+        "by_code": F.array_contains(codes, small), "by_start": (F.char_length(small) >= 2) & F.exists(codes, lambda c: F.startswith(c, small)), "by_initials": F.array_contains("initialisms", small),
+        "whole": F.col("search_text") == F.col("query"), "begins": F.startswith("search_text", "query"), "by_terms": tx.matches_terms(F.col("search_text"), F.col("terms")),
+    }
+    flags = [F.coalesce(c, F.lit(False)).alias(k) for k, c in how.items()]
+    found = asked.join(index, "key").select("text", "code", *content, *flags).filter("by_code or by_start or by_initials or by_terms").distinct()
+    rank = category_rank(F.col("category"))
     tier = (
-        F.when(F.array_contains(codes, small), 0).when(F.col("search_text") == F.col("query"), 1)
-        .when((F.char_length(small) >= 2) & F.exists(codes, lambda c: F.startswith(c, small)), 2).when(F.array_contains("initialisms", small), 3)
-        .when(F.startswith("search_text", "query"), 4).when(tx.matches_terms(F.col("search_text"), F.col("terms")), 5)
+        F.when(F.col("by_code"), 0).when((rank == 0) & F.col("whole"), 1).when((rank == 0) & F.col("by_start"), 2).when((rank == 0) & F.col("by_initials"), 3)
+        .when((rank == 0) & F.col("begins"), 4).when((rank == 1) & F.col("whole"), 5).when((rank == 1) & F.col("begins"), 6).otherwise(7)
     )
-    found = asked.join(index, "key").withColumn("tier", tier).filter("tier is not null").select("text", "code", *content, "tier").distinct()
-    return queries.join(found, ["text", "code"]).drop("code").join(filled, content)
+    return queries.join(found, ["text", "code"]).drop("code").join(filled, content).withColumn("tier", tier).drop(*how)
 
 
 def fuzzy_hits(queries: DataFrame, places: DataFrame, least: float = FUZZY_LEAST) -> DataFrame:
-    """(query_id, place_id, ..., tier 9): places that share enough trigrams.
+    """(query_id, place_id, ..., tier 9): places whose text has the query's word similarity at least.
 
-    Distinct texts of both sides meet on trigrams, which are counted before anything else of them is joined back.
+    Distinct texts of both sides meet on trigrams, which are counted before anything else of them is joined back. The share of the
+    query's trigrams that a text has is an upper bound of its word similarity, so what is under it is dropped before texts are compared.
     """
-    q = queries.select("text").distinct().withColumn("trigrams", tx.trigrams(F.col("text")))
+    q = queries.select("text").distinct().withColumn("query", F.array_join(tx.terms(F.col("text")), " ")).withColumn("trigrams", tx.trigrams(F.col("query")))
     p = places.select("search_text").distinct().withColumn("p_trigrams", tx.trigrams(F.col("search_text")))
-    shared = q.select("text", F.size("trigrams").alias("nq"), F.explode("trigrams").alias("t")).join(p.select("search_text", F.size("p_trigrams").alias("np"), F.explode("p_trigrams").alias("t")), "t")
-    near = shared.groupBy("text", "search_text", "nq", "np").agg(F.count("*").alias("c")).filter(F.col("c") >= least * (F.col("nq") + F.col("np") - F.col("c")))
-    return near.select("text", "search_text").join(queries, "text").join(places, "search_text").withColumn("tier", F.lit(9))
+    shared = q.select("text", "query", F.size("trigrams").alias("nq"), F.explode("trigrams").alias("t")).join(p.select("search_text", F.explode("p_trigrams").alias("t")), "t")
+    near = shared.groupBy("text", "query", "search_text", "nq").agg(F.count("*").alias("c")).filter(F.col("c") >= least * F.col("nq") - 1e-9)
+    near = near.select("text", "search_text", tx.word_similarity(F.col("query"), F.col("search_text")).alias("_s")).filter(F.col("_s") >= least - 1e-9)
+    return near.select("text", "search_text").join(queries, "text").join(places, "search_text").withColumn("tier", F.lit(FUZZY_TIER))
 
 
 def search(queries: DataFrame, places: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -71,7 +94,8 @@ def search(queries: DataFrame, places: DataFrame, limit: int = LIMIT) -> DataFra
     code, the text as typed in small letters and digits only, with no abbreviation expanded).
 
     places: place_id, kind, label, category, search_text, codes, initialisms. The fuzzy pass runs only for queries that the exact one
-    leaves empty; of places with one kind, label and category the best ranked stays.
+    leaves empty; of places with one kind, label and category the best ranked stays. similarity is that of whole texts, in the fuzzy
+    pass word similarity.
     """
     # Places that only differ in their id rank as one: the least id.
     places = places.groupBy("kind", "label", "category", "search_text", "codes", "initialisms").agg(F.min("place_id").alias("place_id"))
@@ -80,9 +104,14 @@ def search(queries: DataFrame, places: DataFrame, limit: int = LIMIT) -> DataFra
     hits = exact.unionByName(fuzzy_hits(rest, places).select(*exact.columns))
     number_first = F.col("text").rlike("^[0-9]")
     kind = F.when(F.col("kind") == "address", F.when(number_first, 0).otherwise(2)).when(F.col("kind") == "place", F.when(number_first, 1).otherwise(0)).otherwise(F.when(number_first, 2).otherwise(1))
-    # Texts repeat over many hits, so each pair of texts is compared once.
-    pairs = hits.select("text", "search_text").distinct().withColumn("similarity", tx.similarity(F.col("text"), F.col("search_text")))
-    hits = hits.join(pairs, ["text", "search_text"]).withColumns({"kind_rank": kind, "label_length": F.char_length("label")})
+    # Texts repeat over many hits, so each pair of texts is compared once. A text's hits are all exact or all fuzzy.
+    pairs = hits.select("text", "search_text", (F.col("tier") == FUZZY_TIER).alias("fuzzy")).distinct()
+    query = F.array_join(tx.terms(F.col("text")), " ")
+    exact_pairs = pairs.filter("not fuzzy").withColumn("similarity", tx.similarity(query, F.col("search_text")))
+    fuzzy_pairs = pairs.filter("fuzzy").withColumn("similarity", tx.word_similarity(query, F.col("search_text")))
+    pairs = exact_pairs.union(fuzzy_pairs)
+    hits = hits.withColumn("fuzzy", F.col("tier") == FUZZY_TIER).join(pairs, ["text", "search_text", "fuzzy"])
+    hits = hits.withColumns({"kind_rank": kind, "category_rank": category_rank(F.col("category")), "text_length": F.char_length("search_text")})
     one = hits.withColumn("_i", F.row_number().over(_rank_order(W.partitionBy("query_id", "kind", "label", "category")))).filter("_i = 1")
     ranked = one.withColumn("rank", F.row_number().over(_rank_order(W.partitionBy("query_id")))).filter(F.col("rank") <= limit)
     return ranked.select("query_id", "rank", "place_id", "label", "tier", F.round("similarity", 6).alias("similarity"))
