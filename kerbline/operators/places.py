@@ -89,6 +89,23 @@ def fuzzy_hits(queries: DataFrame, places: DataFrame, least: float = FUZZY_LEAST
     return near.select("text", "search_text").join(queries, "text").join(places, "search_text").withColumn("tier", F.lit(FUZZY_TIER))
 
 
+def most_similar(queries: DataFrame, places: DataFrame) -> DataFrame:
+    """(query_id, place_id, similarity): for each query (query_id, text) the place (place_id, search_text) of another id whose text is the most
+    similar; ties go to the least id, and so does a query that shares no trigram with any.
+
+    Distinct texts meet on trigrams; a text that shares none has similarity 0, so the least ids stand for all of those.
+    """
+    q = queries.select("text").distinct().withColumn("trigrams", tx.trigrams(F.col("text")))
+    p = places.select("search_text").distinct().withColumn("trigrams", tx.trigrams(F.col("search_text")))
+    shared = q.select("text", F.size("trigrams").alias("nq"), F.explode("trigrams").alias("t")).join(p.select("search_text", F.size("trigrams").alias("np"), F.explode("trigrams").alias("t")), "t")
+    near = shared.groupBy("text", "search_text", "nq", "np").agg(F.count("*").alias("c")).select("text", "search_text", (F.col("c") / (F.col("nq") + F.col("np") - F.col("c"))).alias("similarity"))
+    found = queries.join(near, "text").join(places, "search_text").select("query_id", "place_id", "similarity")
+    least = places.select("place_id").orderBy("place_id").limit(2)
+    none = queries.select("query_id").crossJoin(F.broadcast(least)).withColumn("similarity", F.lit(0.0))
+    best = F.min(F.struct((-F.col("similarity")).alias("neg"), F.col("place_id").alias("id"))).alias("best")
+    return found.union(none).filter("query_id != place_id").groupBy("query_id").agg(best).select("query_id", F.col("best.id").alias("place_id"), (-F.col("best.neg")).alias("similarity"))
+
+
 def search(queries: DataFrame, places: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(query_id, rank, place_id, label, tier, similarity) for queries (query_id, text, already normalised; optionally
     code, the text as typed in small letters and digits only, with no abbreviation expanded).

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from .. import schemas
 from ..functions import cost, fields, geo, tags, text
@@ -119,17 +119,32 @@ def outcome_differences(spark: SparkSession, sf: str) -> DataFrame:
     return joins.differences(after, before, ["c_custkey"], ["c_mktsegment", "c_nationkey"])
 
 
+def _cardinality(links: DataFrame) -> DataFrame:
+    return joins.cardinality(links.select("l_orderkey", "l_partkey"), "l_orderkey", "l_partkey").groupBy("cardinality").agg(F.count("*").alias("links"))
+
+
 def link_cardinality(spark: SparkSession, sf: str) -> DataFrame:
-    links = table(spark, sf, "lineitem").filter("l_quantity >= 49").select("l_orderkey", "l_partkey")
-    return joins.cardinality(links, "l_orderkey", "l_partkey").groupBy("cardinality").agg(F.count("*").alias("links"))
+    return _cardinality(table(spark, sf, "lineitem").filter("l_quantity >= 49"))
 
 
-def as_of_value(spark: SparkSession, sf: str) -> DataFrame:
+def link_cardinality_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _cardinality(table(spark, sf, "lineitem"))
+
+
+def _as_of(spark: SparkSession, sf: str, asked: DataFrame) -> DataFrame:
     seen = table(spark, sf, "events").groupBy("user_id", "ts").agg(F.max("event_type").alias("event_type"))
-    asked = table(spark, sf, "events").filter("event_id % 10 = 0").select("event_id", "user_id", (F.col("ts") + F.expr("interval 1 hour")).alias("at"))
+    asked = asked.select("event_id", "user_id", (F.col("ts") + F.expr("interval 1 hour")).alias("at"))
     return joins.as_of(asked, seen, "user_id", "at", "event_type", "ts").select("event_id", "event_type")
 
 
+def as_of_value(spark: SparkSession, sf: str) -> DataFrame:
+    return _as_of(spark, sf, table(spark, sf, "events").filter("event_id % 10 = 0"))
+
+
+def as_of_value_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _as_of(spark, sf, table(spark, sf, "events"))
+
+
 def first_rule_stratum(spark: SparkSession, sf: str) -> DataFrame:
     rules = {"large": F.col("p_size") > 40, "dear": F.col("p_retailprice") > 1500, "small": F.col("p_size") < 10}
     return table(spark, sf, "part").withColumn("stratum", fields.first_rule(rules, "rest")).groupBy("stratum").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
@@ -151,17 +166,24 @@ def text_normalise(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", plain.alias("t")).select("doc_id", F.md5(F.col("t").cast("binary")).alias("digest"), F.size(F.split("t", " ")).cast("long").alias("words"))
 
 
+def _trigram_similarity(spark: SparkSession, sf: str, asked: str) -> DataFrame:
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("place_id"), F.lower("p_name").alias("search_text"))
+    best = places.most_similar(p.filter(asked).select(F.col("place_id").alias("query_id"), F.col("search_text").alias("text")), p)
+    return best.select(F.col("query_id").alias("query"), F.col("place_id").alias("p_partkey"), F.round("similarity", 6).alias("similarity"))
+
+
 def trigram_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part").select("p_partkey", F.lower("p_name").alias("name"))
-    q = p.filter("p_partkey <= 5").select(F.col("p_partkey").alias("query"), F.col("name").alias("asked"))
-    pairs = p.crossJoin(F.broadcast(q)).withColumn("similarity", text.similarity(F.col("asked"), F.col("name")))
-    return aggregates.best_of(pairs.filter("p_partkey != query"), ["query"], [F.col("similarity").desc(), F.col("p_partkey")]).select("query", "p_partkey", F.round("similarity", 6).alias("similarity"))
+    return _trigram_similarity(spark, sf, "place_id <= 5")
+
+
+def trigram_similarity_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _trigram_similarity(spark, sf, "place_id % 100 = 0")
 
 
 def ranked_search(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part")
     index = p.select(F.col("p_partkey").alias("place_id"), F.lit("place").alias("kind"), F.col("p_name").alias("label"), F.col("p_type").alias("category"), text.normalise(F.col("p_name")).alias("search_text"), F.array(F.regexp_replace("p_brand", "[^0-9A-Za-z]", "")).alias("codes"), F.array().cast("array<string>").alias("initialisms"))
-    asked = p.filter("p_partkey % 20 = 1").select(F.col("p_partkey").alias("query_id"), F.expr("case p_partkey % 3 when 0 then p_name when 1 then substr(p_name, 1, 6) else reverse(p_name) end").alias("q"))
+    asked = p.filter("p_partkey % 20 = 1 or p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.expr("case p_partkey % 3 when 0 then p_name when 1 then substr(p_name, 1, 6) else reverse(p_name) end").alias("q"))
     typed = text.compact(text.plain_text(text.fold_accents(F.col("q"))))
     return places.search(asked.select("query_id", text.normalise(F.col("q")).alias("text"), typed.alias("code")).filter("text != ''"), index)
 
@@ -181,6 +203,15 @@ def grid_knn(spark: SparkSession, sf: str) -> DataFrame:
     return near.select("vec_id", "target", F.round("d", 6).alias("d"), F.col("rank").cast("long").alias("rank"))
 
 
+def grid_knn_whole(spark: SparkSession, sf: str) -> DataFrame:
+    p = _points(spark, sf).select("vec_id", "x", "y")
+    # A point is among its own nearest, or so many others are at no distance that it doesn't matter: one more is taken and it is left out.
+    near = spatial.nearest(p, p.withColumnRenamed("vec_id", "target"), 0.05, "vec_id", "target", k=4).filter("vec_id != target")
+    w = W.partitionBy("vec_id").orderBy("rank")
+    near = near.withColumn("rank", F.row_number().over(w)).filter("rank <= 3")
+    return near.select("vec_id", "target", F.round("d", 6).alias("d"), F.col("rank").cast("long").alias("rank"))
+
+
 def dwithin_counts(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.density(_points(spark, sf).select("vec_id", "x", "y"), 0.03, "vec_id")
 
@@ -347,5 +378,6 @@ QUERIES: dict[str, Query] = {
         ranked_search, dedupe_grid, grid_knn, dwithin_counts, directed_hausdorff, interval_merge, interval_overlap_share, island_traversals, cumulative_position, value_introduced, unit_share,
         way_segments, connected_components, component_sizes, content_hash_rows, content_hash_table, stratified_hash_sample, sample_allocation, wilson_prf, confusion_agreement, grid_tune,
         bootstrap_interval, set_outcomes, schema_contract, table_rows, conflation, geodesic_check, tumbling_events, sliding_events, event_sessions, token_bucket,
+        link_cardinality_whole, as_of_value_whole, trigram_similarity_whole, grid_knn_whole,
     )
 } | STUDY_QUERIES
