@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -30,9 +31,19 @@ THRESHOLD = 1.0
 """Least name score plus literal score of a reported literal."""
 
 _LITERAL = r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"""
-_BINDING = re.compile(rf"""(?P<name>[A-Za-z_$][\w$.-]*)["'`\]]{{0,2}}[\x20\t]*(?::[\x20\t]*[A-Za-z_][\w.\[\]]*[\x20\t]*=|:=|=>|=(?![=~])|:(?![:/=]))[\x20\t]*(?P<value>{_LITERAL}|[^\s"'`,;(){{}}\[\]<>&|]+)""")
+_BINDING = re.compile(rf"""(?P<name>[A-Za-z_$][\w$.-]*)["'`\]]{{0,2}}[\x20\t]*(?::[\x20\t]*[A-Za-z_][\w.\[\]]*[\x20\t]*=|:=|=>|=(?![=~])|:(?![:/=]))[\x20\t]*(?P<value>{_LITERAL}|\$\{{[A-Za-z_][^}}\s]*\}}|[^\s"'`,;(){{}}\[\]<>&|]+)""")
 _MORE = re.compile(rf"""[\x20\t]*(?:\+|\.\.?)?[\x20\t]*(?P<value>{_LITERAL})""")
+# Values that a line doesn't hold: what stands between the separator and the value, and the name before it.
+_OPEN = re.compile(r"""(?::=|=>|=(?![=~])|:(?![:/=]))[\x20\t]*(?:(?P<block>[|>][+-]?[0-9]?[+-]?)[\x20\t]*(?:\#[^\n]*)?\r?\n|(?P<gap>[\s(\[\\]*)[rbfuRBFU]{0,2}(?P<mark>\"{3}|'{3}|["'`]?(?=-----BEGIN\x20)|["'`]))""")
+_OPEN_NAME = re.compile(r"""([A-Za-z_$][\w$.-]*)["'`\]]{0,2}[\x20\t]*(?::[\x20\t]*[A-Za-z_][\w.\[\]]*[\x20\t]*)?\Z""")
+_NEXT = re.compile(rf"""\s*[+.,]?\s*(?P<value>{_LITERAL})""")
+_LINE = re.compile(r"([\x20\t]*)([^\n]*)(?:\n|\Z)")
+_PEM_END = re.compile(r"-----END [^\n-]*-----")
+_PEM_MARKS = re.compile(r"-----(?:BEGIN|END) [^\n-]*-----")
+_REFERENCE = re.compile(r"\$\{([A-Za-z_]\w*)(?::?[-=?+][^}]*)?\}|\$([A-Za-z_]\w*)")
 _NAME = re.compile(r"[A-Za-z_$][\w$.-]*\Z")
+NAME_REACH = 200
+"""Characters before a separator in which the name of an open assignment is looked for."""
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
@@ -54,7 +65,9 @@ def name_score(name: str) -> float:
 
 
 def literal_score(text: str, quoted: bool) -> float:
-    """0 (placeholder, prose, too short) to 1: character entropy and mix of classes."""
+    """0 (placeholder, prose, too short) to 1: character entropy and mix of classes. Lines count as one, without the marks of a PEM key."""
+    if "\n" in text or "-----" in text:
+        text = "".join(line.strip() for line in _PEM_MARKS.sub("", text).replace("\\n", "\n").split("\n"))
     if len(text) < 6 or PLACEHOLDER.match(text) or any(c.isspace() for c in text):
         return 0.0
     counts = Counter(text)
@@ -88,6 +101,77 @@ def bindings(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
                 m = quoted and _MORE.match(text, pos, line_end)
 
 
+def open_bindings(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
+    """The pairs whose value isn't a literal on the separator's line: on later lines, in brackets, in triple quotes or backticks, block scalars, PEM keys."""
+    for m in _OPEN.finditer(text):
+        line_start = text.rfind("\n", 0, m.start()) + 1
+        found = _OPEN_NAME.search(text, max(line_start, m.start() - NAME_REACH), m.start())
+        if not found:
+            continue
+        name, a = found[1], m.end()
+        if m["block"]:
+            indent = len(text[line_start : m.start()]) - len(text[line_start : m.start()].lstrip())
+            b = a
+            while b < len(text) and (line := _LINE.match(text, b)) and (not line[2].strip() or len(line[1]) > indent):
+                b = line.end()
+        elif text.startswith("-----BEGIN ", a):
+            end = _PEM_END.search(text, a)
+            b = end.end() if end else a
+        elif len(m["mark"]) == 3 or m["mark"] == "`":
+            b = text.find(m["mark"], a)
+        else:
+            if "\n" not in m["gap"] and not set(m["gap"]) & set("(["):
+                continue  # a literal on the line, see bindings
+            pos = a - 1
+            while more := (_NEXT.match(text, pos) if pos >= a else _MORE.match(text, pos)):
+                x, y = more.span("value")
+                yield name, text[x + 1 : y - 1], x + 1, y - 1, True
+                pos = y
+                if not set(m["gap"]) & set("(["):
+                    break
+            continue
+        value = text[a : max(a, b)]
+        a, b = a + len(value) - len(value.lstrip()), a + len(value.rstrip())
+        if a < b:
+            yield name, text[a:b], a, b, True
+
+
+def resolved(pairs: list[tuple[str, str, int, int, bool]]) -> list[tuple[str, str, int, int, bool]]:
+    """The pair that each one's value comes from: itself, or the constant that it names, through any number of names.
+
+    $, ${} and qualifiers don't belong to the name. Of several constants of a name the last before its use counts, or else the first after it.
+    """
+    known: dict[str, list[int]] = {}
+    for i, (name, value, *_) in enumerate(pairs):
+        if value:
+            for n in {name, name.rpartition(".")[2]}:
+                known.setdefault(n, []).append(i)
+
+    def source(i: int) -> int:
+        _, value, _, _, quoted = pairs[i]
+        m = _REFERENCE.fullmatch(value)
+        name = (m[1] or m[2]) if m else value if not quoted and _NAME.match(value) else ""
+        at = known.get(name) or known.get(name.rpartition(".")[2])
+        if not name or not at:
+            return i
+        k = bisect_left(at, i)
+        if k:
+            return at[k - 1]
+        return next((j for j in at[:2] if j != i), i)
+
+    roots: list[int] = [-1] * len(pairs)
+    for i in range(len(pairs)):
+        path, on_path, j = [], set(), i
+        while roots[j] < 0 and j not in on_path:
+            path.append(j)
+            on_path.add(j)
+            j = source(j)
+        root = roots[j] if roots[j] >= 0 else path[-1]
+        for x in path:
+            roots[x] = root
+    return [pairs[r] for r in roots]
+
+
 def pair_name(m: re.Match) -> str:
     return m.groupdict().get("name") or ""
 
@@ -102,12 +186,9 @@ def scan(text: str) -> list[Span]:
         out += [Span("access", *m.span(), "", 1.0) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [Span("hex", *m.span(), "", 1.0) for m in HEX.finditer(text)]
     if marks:
-        constants: dict[str, tuple[str, int, int, bool]] = {}
         named: dict[tuple[int, int], Span] = {}
-        for name, value, a, b, quoted in bindings(text):
-            if not quoted and _NAME.match(value) and value in constants:  # propagate a constant to its new name
-                value, a, b, quoted = constants[value]
-            constants[name] = (value, a, b, quoted)
+        pairs = sorted([*bindings(text), *open_bindings(text)], key=lambda p: p[2:4])
+        for (name, *_), (_, value, a, b, quoted) in zip(pairs, resolved(pairs), strict=True):
             n, v = name_score(name), literal_score(value, quoted)
             if n and v and n + v >= THRESHOLD and n + v > getattr(named.get((a, b)), "score", 0.0):
                 named[a, b] = Span("named", a, b, name, n + v)
