@@ -313,7 +313,7 @@ def grid_tune(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bootstrap_interval(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.bootstrap(table(spark, sf, "labels"), "quality", draws=200)
+    return stats.bootstrap(table(spark, sf, "labels"), "quality", draws=2000)
 
 
 def set_outcomes(spark: SparkSession, sf: str) -> DataFrame:
