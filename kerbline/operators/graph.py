@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.tags import reversed_conveying
-from ..storage import stored
+from ..storage import settled, stored
 
 MAX_ROUNDS = 10_000
 
@@ -21,28 +21,37 @@ def directed(segments: DataFrame) -> DataFrame:
     return ahead.unionByName(segments.filter("foot_backward").withColumns(turned))
 
 
-def connected_parts(edges: DataFrame, u: str = "src", v: str = "dst") -> DataFrame:
-    """(node, root): the least node of each weakly connected part.
+def _star_round(links: DataFrame) -> DataFrame:
+    """A node's larger neighbours moved to its least neighbour, then its smaller ones moved likewise."""
+    both = links.select(F.col("v").alias("n"), F.col("u").alias("m")).union(links.select(F.col("u").alias("n"), F.col("v").alias("m")))
+    # Stored minima leave nothing but exchanges under the joins, so that a hub's rows can be split.
+    least = stored(both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("least")))
+    large = stored(both.join(least, "n").filter("m > n").select(F.col("m").alias("v"), F.col("least").alias("u")).distinct())
+    low = stored(large.groupBy("v").agg(F.min("u").alias("least")))
+    ends = F.explode(F.array(F.struct("v", F.col("least").alias("u")), F.struct(F.col("u").alias("v"), F.col("least").alias("u"))))
+    return large.join(low, "v").select(ends.alias("e")).select("e.*").filter("u < v").distinct()
+
+
+def star_roots(links: DataFrame) -> DataFrame:
+    """(node, root): the least node that each node of the links (u, v) reaches, for all nodes but roots.
 
-    Rounds alternate until the edges form stars: a node's larger neighbours move to its least one, then its smaller ones do. Each round is
-    grouped minima joined back, so the number of rounds is logarithmic and no node's neighbours are collected.
+    Rounds of grouped minima joined back alternate until the links form stars, so their number is logarithmic and no node's neighbours are collected.
     """
-    nodes = edges.select(F.explode(F.array(u, v)).alias("node")).distinct()
-    links = stored(edges.select(F.greatest(u, v).alias("v"), F.least(u, v).alias("u")).filter("u < v").distinct())
+    stars = stored(links.select(F.greatest("u", "v").alias("v"), F.least("u", "v").alias("u")).filter("u < v").distinct())
     seen = None
     while True:
-        both = links.select(F.col("v").alias("n"), F.col("u").alias("m")).union(links.select(F.col("u").alias("n"), F.col("v").alias("m")))
-        # Stored minima leave nothing but exchanges under the joins, so that a hub's rows can be split.
-        least = stored(both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("least")))
-        large = stored(both.join(least, "n").filter("m > n").select(F.col("m").alias("v"), F.col("least").alias("u")).distinct())
-        low = stored(large.groupBy("v").agg(F.min("u").alias("least")))
-        ends = F.explode(F.array(F.struct("v", F.col("least").alias("u")), F.struct(F.col("u").alias("v"), F.col("least").alias("u"))))
-        links = stored(large.join(low, "v").select(ends.alias("e")).select("e.*").filter("u < v").distinct())
-        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        stars = settled(lambda links=stars: _star_round(links))
+        now = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
-            break
+            return stars.select(F.col("v").alias("node"), F.col("u").alias("root"))
         seen = now
-    return nodes.join(links.select(F.col("v").alias("node"), F.col("u").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def connected_parts(edges: DataFrame, u: str = "src", v: str = "dst") -> DataFrame:
+    """(node, root): the least node of each weakly connected part, for all nodes of the edges."""
+    nodes = edges.select(F.explode(F.array(u, v)).alias("node")).distinct()
+    roots = settled(lambda: star_roots(edges.select(F.col(u).alias("u"), F.col(v).alias("v"))))
+    return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
 def numbered_parts(parts: DataFrame) -> DataFrame:

@@ -5,29 +5,66 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+"""Paths of the tables that the innermost open settled() has stored."""
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir.
+    """The folder named by spark.checkpoint.dir, or else the context's checkpoint folder.
 
-    Only a local-mode session without the setting gets a folder of its own.
+    Only a local-mode session with neither gets a folder of its own.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if found:
         return found
-    if not spark.sparkContext.master.startswith("local["):
+    if context.master != "local" and not context.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     os.makedirs("/tmp/checkpoints", exist_ok=True)
-    path = "file://" + tempfile.mkdtemp(dir="/tmp/checkpoints")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    context.setCheckpointDir("file://" + tempfile.mkdtemp(dir="/tmp/checkpoints"))
+    return context.getCheckpointDir()
+
+
+def _at(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, and the path as that takes it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder and read back: cuts lineage, survives lost executors."""
+    """df written once to the shared folder and read back: cuts lineage, survives lost executors.
+
+    The table stays until the block of settled() that wrote it ends, or else until the driver does: results are lazy and may read it.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/kerbline-{uuid.uuid4().hex}"
+    own = f"{shared_dir(spark).rstrip('/')}/kerbline-{spark.sparkContext.applicationId}"
+    path = f"{own}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    files, folder = _at(spark, own)
+    files.deleteOnExit(folder)
+    if (written := _written.get()) is not None:
+        written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settled(build: Callable[[], DataFrame]) -> DataFrame:
+    """What build() returns, stored; all tables that it stored on the way are removed, as nothing needs them any more."""
+    outer = _written.get()
+    written: list[str] = []
+    token = _written.set(written)
+    try:
+        out = stored(build())
+        kept = written.pop()
+    finally:
+        _written.reset(token)
+    if outer is not None:
+        outer.append(kept)
+    for path in written:
+        files, folder = _at(out.sparkSession, path)
+        files.delete(folder, True)
+    return out
