@@ -6,6 +6,7 @@ import html
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -71,6 +72,50 @@ def test_html_odd_pages(spark):
     assert html_extract.extract_main_text(rows.limit(0)).count() == 0
 
 
+STORY = "<body><nav><a href=x>Home</a></nav><article><p>It was a long day for all who came to town and they said so.</p>%s<p>Then it ended and all of them went home again that night.</p></article><footer>Bye to all of you here.</footer>"
+
+
+@pytest.mark.parametrize(("extra", "kept"), [
+    ('<p title="The hidden story">A story to keep.</p>', "A story to keep."),
+    ('<div data-id="comments-guide"><p>A guide to keep.</p></div>', "A guide to keep."),
+    ('<p class="promo-code-section">How promo codes work in the shop.</p>', "How promo codes work in the shop."),
+    ('<ul class="related-list"><li>A first related matter</li><li>Second thing</li></ul>', "A first related matter\nSecond thing"),
+    ("<ul><li>Salt</li><li>Pepper</li></ul>", "Salt\nPepper"),
+    ("<object>Fallback text", "Fallback text"),
+    ("<math>x+y</math>", "x+y"),
+    ("<xmp>raw <b> text</xmp>", "raw <b> text"),
+    *((x, "") for x in ("<button>Click", "<svg><text>zz", "<select><option>One<option>Two", "<noscript>", "<video>", "<aside>More about this at length in the other book.</aside>")),
+    *((f'<div class="{c}"><p>Words of somebody else about this, at length.</p></div>', "") for c in ("user-reply", "comments", "ad", "newsletter box", "cookie-policy-banner")),
+    ("<section><article class=comment><p>I think that this is quite wrong, all of it.</p></article></section>", ""),
+])
+def test_html_cases(extra, kept):
+    ends = "It was a long day for all who came to town and they said so.", "Then it ended and all of them went home again that night."
+    assert html_extract.main_text(STORY % extra) == "\n".join(filter(None, (ends[0], kept, ends[1])))
+
+
+def test_html_edges_decide(spark):
+    """Without the smoothness edges, labels of many blocks change and fewer pages come out as their articles."""
+    agree = {True: 0, False: 0}
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    for row in pages:
+        inner = row.html[row.html.index("<article>") : row.html.index("</article>")]
+        parts = [" ".join(html.unescape(re.sub("<[^>]*>", "", p.replace("<br>", " "))).split()) for p in re.split("</?(?:p|h1)>", inner)]
+        found, elements = html_extract.blocks(row.html)
+        cost = html_extract.scores(found, elements)
+        for edges in (True, False):
+            keep = html_extract.minimum_cut(cost, html_extract.smoothness(found) if edges else [])
+            agree[edges] += [b.text for b, k in zip(found, keep, strict=True) if k] == [p for p in parts if p]
+    assert agree[True] == len(pages)
+    assert agree[False] < 0.5 * len(pages)
+
+
+@pytest.mark.parametrize("page", ["<div>x y z " * 50_000, "<div><p>some words here" * 50_000, "<div>" * 50_000 + "</section>" * 50_000, "<a<" * 100_000, "<button>" * 50_000, "<noscript>" * 50_000])
+def test_html_deep_pages_take_seconds(page):
+    began = time.time()
+    html_extract.main_text(page)
+    assert time.time() - began < 15
+
+
 # 2
 
 
