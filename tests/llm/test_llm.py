@@ -467,6 +467,31 @@ def test_assignments_over_lines_and_references():
         secrets.scan(long)
 
 
+V = "s3cr3t!val9"
+
+
+@pytest.mark.parametrize("text", [
+    f'<add key="ClientSecret" value="{V}"/>', f"<passphrase>{V}</passphrase>", f'<property name="db.passphrase">{V}</property>', f'conn.set("db.passphrase", "{V}")', f'db["passphrase"] = "{V}"',
+    f'let passphrase: Option<&str> = Some("{V}")', f'const passphrase: string = "{V}";', f'url = "Server=x;Passphrase={V};Db=1"', f"passphrase: {V}", f"  passphrase: {V} # note", f"PASSPHRASE={V} ./run now",
+    f'it\'s passphrase="{V}" isn\'t', f'"passphrase" => "{V}",', f"passphrase =\n    '{V}'", f"passphrase: >-\n  {V}\nnext: 1",
+    f'def f():\n    X = "aaaaa1!bb"\n    y = 1\nX = "{V}"\ndef g():\n    passphrase = X\n', f'X = "{V}"\ndef f():\n    X = "hello"\n    use(X)\ndef g():\n    connect(passphrase=X)\n',
+])
+def test_named_literals(text):
+    assert [text[s.start : s.end] for s in secrets.scan(text) if s.kind == "named"] == [V]
+
+
+@pytest.mark.parametrize("text", ["login passphrase: tomorrow1 we meet", 'password=os.environ["DB_PASS9"]', 'print("the passphrase is", "hello world")', "https://a.b/c?key=x#y"])
+def test_no_named_literals(text):
+    assert [text[s.start : s.end] for s in secrets.scan(text) if s.kind == "named"] == []
+
+
+@pytest.mark.parametrize("text", ["key: " + "a" * 10_000_000, "key=a" + "=b" * 500_000, 'key "' + '\\"' * 1_000_000, "key=${" * 100_000, "key=(" * 200_000, "key" + ":" * 2_000_000, '<a key="' * 100_000, "key: |\n" * 100_000, 'key = """' * 100_000, "var key=function(a,b){return a?b:{c:'d',e:1}};" * 30_000])
+def test_long_lines_take_seconds(text):
+    began = time.time()
+    secrets.scan(text)
+    assert time.time() - began < 10
+
+
 def test_secrets_odd_rows(spark):
     texts = [*odd_texts(), 'a token = "04dbebab91ab85687d33eeaaf9ac699e" b', "=" * 3000, ":" * 3000, "token=" * 500]
     d = docs(spark, texts).withColumn("secrets", F.lit("mine"))
