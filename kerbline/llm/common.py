@@ -11,9 +11,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, types as T
 
-from ..storage import shared_dir, stored
+from ..storage import settled, shared_dir, stored
 
-__all__ = ["SLAB_BYTES", "mapped", "mix64", "plain_words", "shared_dir", "slabs", "stored", "tidy", "word_hashes"]
+__all__ = ["SLAB_BYTES", "mapped", "mix64", "plain_words", "settled", "shared_dir", "slabs", "stored", "tidy", "word_hashes"]
 
 SLAB_BYTES = 1 << 20
 """Text handled at once inside a task; a longer text is a slab of its own."""
@@ -77,28 +77,38 @@ def mix64(h: np.ndarray) -> np.ndarray:
 
 
 _BASE = 0x9E3779B97F4A7C15
+_PRIME, _PRIME_BASE = (1 << 31) - 1, 1_103_515_245
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _powers: list[np.ndarray] = []
 
 
+def _prime_powers(base: int, size: int) -> np.ndarray:
+    """Powers of base modulo the prime, by doubling."""
+    p = np.ones(1, np.uint64)
+    while len(p) < size:
+        p = np.concatenate((p, p * np.uint64(pow(base, len(p), _PRIME)) % np.uint64(_PRIME)))
+    return p[:size]
+
+
 def _tables(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
+    """Powers of the bases and of their inverses, modulo 2**64 and modulo the prime."""
     if not _powers or len(_powers[0]) < n:
         size = max(n, SLAB_BYTES * 2)
-        inverse = pow(_BASE, -1, 1 << 64)
         _powers[:] = []
-        for b in (_BASE, inverse):
+        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
             p = np.full(size, b, np.uint64)
             p[0] = 1
             _powers.append(np.multiply.accumulate(p))
+        _powers.extend(_prime_powers(b, size) for b in (_PRIME_BASE, pow(_PRIME_BASE, -1, _PRIME)))
     return _powers
 
 
 def word_hashes(texts: list[bytes], prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
     """64-bit hashes of the words of all texts, and offsets: words of text i are at [offsets[i], offsets[i + 1]).
 
-    A word is a run of bytes other than space and \\t to \\r. Case is kept. For each length in prefixes an array follows with
+    A word is a run of bytes other than space and \\t to \\r. Case is kept. Its hash mixes a polynomial of its bytes modulo 2**64 with one
+    modulo a prime, which tells words apart whose pattern makes the first one equal. For each length in prefixes an array follows with
     hashes of the words' first bytes, no more than that many.
     """
     blob = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
@@ -108,12 +118,16 @@ def word_hashes(texts: list[bytes], prefixes: tuple[int, ...] = ()) -> tuple[np.
     if len(space) and not space[0]:
         turns = np.concatenate(([0], turns))
     first, last = turns.reshape(-1, 2).T
-    power, inverse = _tables(len(blob) + 1)
-    running = np.zeros(len(blob) + 1, np.uint64)
-    np.cumsum((blob.astype(np.uint64) + np.uint64(1)) * power[: len(blob)], out=running[1:])
+    power, inverse, prime_power, prime_inverse = _tables(len(blob) + 1)
+    prime = np.uint64(_PRIME)
+    value = blob.astype(np.uint64) + np.uint64(1)
+    running, modular = np.zeros(len(blob) + 1, np.uint64), np.zeros(len(blob) + 1, np.uint64)
+    np.cumsum(value * power[: len(blob)], out=running[1:])
+    np.cumsum(value * prime_power[: len(blob)] % prime, out=modular[1:])
 
     def hashed(end: np.ndarray) -> np.ndarray:
-        return mix64((running[end] - running[first]) * inverse[first])
+        second = (modular[end] - modular[first]) % prime * prime_inverse[first] % prime
+        return mix64(((running[end] - running[first]) * inverse[first]) ^ mix64(second + np.uint64(1)))
 
     offsets = np.concatenate(([0], np.searchsorted(first, ends)))
     return hashed(last), offsets, *(hashed(np.minimum(first + n, last)) ^ np.uint64(n) for n in prefixes)

@@ -14,9 +14,11 @@ from .common import mix64, plain_words, slabs, stored, tidy, word_hashes
 BAND = (0.001, 0.05)
 """Terms count whose share of documents is in this band: inverse document frequencies from log 20 to log 1000."""
 MIN_DOCS = 2
-MAX_LEXICON = 1 << 20
-"""Terms in the lexicon, at most (8 MB). Mean distinct terms a document / BAND[0] bounds it whatever the number of documents; should
-long documents raise that bound over MAX_LEXICON, the band's lower end rises until it holds."""
+TERM_BITS = 27
+"""Terms are known by so many bits of their hash, so a lexicon is a set of 2**27 bits (16 MB), whatever the corpus. Of ten million
+distinct terms 7 % share their bits with another, mostly with one too rare to matter."""
+_CHUNK_BITS = 1 << 15
+"""Bits of each of the pieces in which Spark builds bitmaps."""
 DRAWS = (1, 2, 3, 4, 6, 8, 8, 8, 12, 12)
 """Random lexicon subsets at each level; a subset of level k holds a term with probability 2**-k. For texts of any length some level
 keeps a few of their terms."""
@@ -45,6 +47,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for slab in slabs(batches, "text"):
         words, offsets = word_hashes([plain_words(t) for t in slab.column("text").to_pylist()])
+        words >>= np.uint64(64 - TERM_BITS)
         held.append(np.unique(np.concatenate([np.unique(words[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]), return_counts=True))
         size += len(held[-1][0])
         if size > PENDING:
@@ -59,14 +62,18 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> np.ndarray:
-    """Sorted hashes of the terms of the band, counted over all documents."""
+    """The terms of the band, counted over all documents: a bitmap of 2**TERM_BITS bits, lowest bit first, built in the cluster."""
     n_docs = docs.count()
-    counts = stored(docs.select("text").mapInArrow(tidy(_counts), "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= MIN_DOCS))
-    incidences = counts.agg(F.sum("docs")).first()[0] or 0
-    least = max(MIN_DOCS, band[0] * n_docs, incidences / MAX_LEXICON)
-    most = max(MIN_DOCS, band[1] * n_docs)
-    terms = counts.filter((F.col("docs") >= least) & (F.col("docs") <= most)).select("term").toArrow().column("term").to_numpy()
-    return np.sort(terms.view(np.uint64))
+    counts = docs.select("text").mapInArrow(tidy(_counts), "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
+    inside = counts.filter((F.col("docs") >= max(MIN_DOCS, band[0] * n_docs)) & (F.col("docs") <= max(MIN_DOCS, band[1] * n_docs)))
+    at = F.col("term") + 1  # bitmap positions start from 1
+    chunks = inside.groupBy(F.bitmap_bucket_number(at).alias("chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    out = np.zeros((1 << TERM_BITS) // 8, np.uint8)
+    size = _CHUNK_BITS // 8
+    got = chunks.toArrow()  # 4,096 rows of 4 kB at most
+    for chunk, bits in zip(got.column("chunk").to_pylist(), got.column("bits").to_pylist(), strict=True):
+        out[(chunk - 1) * size : chunk * size] = np.frombuffer(bits, np.uint8)
+    return out
 
 
 def prints(texts: list[str], terms: np.ndarray) -> np.ndarray:
@@ -77,9 +84,8 @@ def prints(texts: list[str], terms: np.ndarray) -> np.ndarray:
     """
     words, offsets = word_hashes([plain_words(t) for t in texts])
     doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    at = np.searchsorted(terms, words)
-    at[at == len(terms)] = 0
-    hit = terms[at] == words if len(terms) else np.zeros(len(words), bool)
+    short = words >> np.uint64(64 - TERM_BITS)
+    hit = (terms[(short >> np.uint64(3)).astype(np.int64)] >> (short & np.uint64(7)).astype(np.uint8)) & 1 > 0
     use = hit | ~np.isin(np.arange(len(texts)), doc[hit])[doc]
     doc, words = doc[use], words[use]
     order = np.lexsort((words, doc))
@@ -141,11 +147,11 @@ def _compared(ids: list, texts: list[str], terms: np.ndarray) -> list[pa.Array]:
 def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint of each whole text and of its edited text (see edited), with their likeness and that to the next document's.
 
-    A first pass counts the documents with each term and keeps the band's terms, a broadcast of MAX_LEXICON hashes at most. Then
+    A first pass counts the documents with each term and keeps the band's terms, a bitmap of fixed size (see TERM_BITS). Then
     texts are range-sorted by doc_id, once; a task meets each document's next one in its sorted partition. Only the first and the
     last document of each partition are left over: they are joined across neighbouring partitions, the last one to the first.
 
-    A null text is empty. Repeated ids follow each other by the text's hash. Null ids come first. A single document is its own
+    A null text is empty. Very long texts are hashed whole, each by itself. Repeated ids follow each other by the text's hash. Null ids come first. A single document is its own
     next. An empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession

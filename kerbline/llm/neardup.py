@@ -6,9 +6,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import mix64, slabs, stored, tidy, word_hashes
+from ..operators.graph import star_roots
+from .common import mix64, settled, slabs, stored, tidy, word_hashes
 
 WORDS = 5
 CHUNKS, CHUNK_SYMBOLS, ERRORS = 10, 4, 1
@@ -18,7 +19,9 @@ of them with 1.5e-6."""
 SYMBOLS = CHUNKS * CHUNK_SYMBOLS
 _SEED = mix64(np.arange(1, 2 * SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 BLOCK = 512
-"""Sets of a bucket compared at once: an upper bound of what a task holds of a bucket, not of the bucket."""
+BLOCK_BYTES = 16 << 20
+"""Sets of a bucket compared at once, by number and by size: bounds of what a task holds of a bucket, not of the bucket. A larger set is a
+block of its own, more or less."""
 BROADCAST_IDS = 1_000_000
 """Ids up to this number are broadcast (8 MB); more are joined by a shuffle."""
 
@@ -36,10 +39,10 @@ def shingle_sets(texts: Iterable[str | None]) -> list[np.ndarray]:
         if b - a >= WORDS:
             out.append(np.unique(rolled[a : b - WORDS + 1]))
         elif b > a:  # one sequence, told from others by its length
-            h = np.uint64(b - a)
+            h = np.array([b - a], np.uint64)
             for w in words[a:b]:
                 h = h * np.uint64(0x9FB21C651E98DF25) + w
-            out.append(mix64(np.array([h])))
+            out.append(mix64(h))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -69,6 +72,11 @@ def index_keys(sets: list[np.ndarray]) -> np.ndarray:
     return np.stack(keys, axis=1)
 
 
+def _digests(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """A 128-bit digest of each set: sums of two mixes of its elements."""
+    return tuple([int(mix64(s ^ np.uint64(k)).sum().astype(np.int64)) for s in sets] for k in (1, 2))
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for slab in slabs(batches, "text"):
         sets = shingle_sets(slab.column("text").to_pylist())
@@ -77,9 +85,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if full:
             for i, row in zip(full, index_keys([sets[i] for i in full]), strict=True):
                 keys[i] = row
-        # A 128-bit digest of the set: sums of two mixes of its elements.
-        a = [int(mix64(s ^ np.uint64(1)).sum().astype(np.int64)) for s in sets]
-        b = [int(mix64(s ^ np.uint64(2)).sum().astype(np.int64)) for s in sets]
+        a, b = _digests(sets)
         yield pa.RecordBatch.from_arrays(
             [slab.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
             names=["doc_id", "n_shingles", "set_a", "set_b", "keys"],
@@ -89,7 +95,9 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for slab in slabs(batches, "text"):
         sets = shingle_sets(slab.column("text").to_pylist())
-        yield pa.RecordBatch.from_arrays([slab.column("doc_id").cast(pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "shingles"])
+        a, b = _digests(sets)
+        columns = [slab.column("doc_id").cast(pa.int64()), *(pa.array(x, pa.int64()) for x in ([len(s) for s in sets], a, b)), pa.array([s.tobytes() for s in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "size", "set_a", "set_b", "shingles"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,25 +153,57 @@ def _linked_blocks(minor: pa.Table, every: pa.Table) -> pa.Table:
     return pa.table({"x": a_id[x[first]], "y": b_id[y[first]]})
 
 
-def connected(links: DataFrame) -> DataFrame:
-    """(node, root): the least node that each node of the links (x, y) reaches, for all nodes but roots.
+def _class_roots(signed: DataFrame, classes: DataFrame, own: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, root) of the classes' representatives that aren't their component's least id: steps 2 and 3 of near_duplicates."""
+    reps = signed.filter("n_shingles > 0").join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_a", "set_b", "n_shingles"])
+    keyed = reps.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key")).distinct()
+    # The order of documents that choose a bucket's first is another one for each chunk.
+    chunk = F.floor(F.shiftright("key", 48) / CHUNK_SYMBOLS)
+    # Stored tables leave nothing but exchanges under the joins, so that hot keys can be split.
+    sizes = stored(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rep", chunk).alias("turn"), "rep")).alias("first")).filter("n > 1"))
+    buckets = stored(keyed.join(sizes.select("key", "n", F.col("first.rep").alias("first")), "key"))
+    pairs = stored(buckets.filter("rep != first").select(F.greatest("rep", "first").alias("x"), F.least("rep", "first").alias("y")).distinct())
+    ids = stored(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
+    few = ids.count() <= BROADCAST_IDS
+    rows = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    # An id that occurs with several texts keeps all their sets.
+    sets = stored(rows.mapInArrow(tidy(_sets), "doc_id long, size long, set_a long, set_b long, shingles binary").dropDuplicates(["doc_id", "set_a", "set_b"]).drop("set_a", "set_b"))
 
-    Alternates two steps until the links form stars: each node's larger neighbours move to its least neighbour, then each
-    node's smaller ones do. Least neighbours are grouped minima, joined back, so a node with many links meets in no task.
-    """
-    links = stored(links.select(F.greatest("x", "y").alias("v"), F.least("x", "y").alias("u")).filter("u < v").distinct())
-    seen = None
-    while True:
-        both = links.select(F.col("v").alias("n"), F.col("u").alias("m")).union(links.select(F.col("u").alias("n"), F.col("v").alias("m")))
-        least = both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("least"))
-        large = both.join(least, "n").filter("m > n").select(F.col("m").alias("v"), F.col("least").alias("u")).distinct()
-        low = large.groupBy("v").agg(F.min("u").alias("least"))
-        small = large.join(low, "v").select(F.explode(F.array(F.struct("v", F.col("least").alias("u")), F.struct(F.col("u").alias("v"), F.col("least").alias("u")))).alias("e")).select("e.*")
-        links = stored(small.filter("u < v").distinct())
-        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == seen:
-            return links.select(F.col("v").alias("node"), F.col("u").alias("root"))
-        seen = now
+    def of(side: str) -> DataFrame:
+        return sets.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"set_{side}"))
+
+    compared = pairs.join(of("x"), "x").join(of("y"), "y").select("x", "y", "set_x", "set_y").mapInArrow(tidy(_linked), "x long, y long")
+    # Classes that share an id are linked by it.
+    shared = own.groupBy("doc_id").agg(F.min("rep").alias("y"), F.max("rep").alias("x")).filter("x > y").select("doc_id", "y")
+    links = stored(compared.union(own.join(shared, "doc_id").filter("rep > y").select(F.col("rep").alias("x"), "y")))
+    roots = star_roots(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
+    # Buckets of two have had their only comparison.
+    open_ = stored(buckets.filter("n > 2").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("class")))
+    members = stored(open_.groupBy("key", "class").agg(F.count("*").alias("m")))
+    split = stored(members.groupBy("key").agg(F.count("*").alias("classes"), F.max(F.struct("m", "class")).alias("major")).filter("classes > 1").select("key", F.col("major.class").alias("major")))
+    mixed = stored(open_.join(split, "key").join(sets.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("size").alias("size")), "rep"))
+    apart = F.col("class") != F.col("major")
+
+    def blocks(rows: Column, size: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil(F.sum(rows) / BLOCK), F.ceil(F.sum(size) * 8 / BLOCK_BYTES)).cast("int")
+
+    plan = stored(mixed.groupBy("key").agg(blocks(F.when(apart, 1).otherwise(0), F.when(apart, F.col("size")).otherwise(0)).alias("minor_blocks"), blocks(F.lit(1), F.col("size")).alias("all_blocks")))
+    rows = mixed.drop("size").join(plan, "key").join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
+
+    def own_block(n: str) -> Column:
+        return F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+
+    def each_block(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    fields = [F.col(c).alias(c) for c in ("key", "rep", "class", "shingles")]  # new columns, as both sides come from rows
+    minor = rows.filter(apart).select(*fields, own_block("minor_blocks").alias("i"), each_block("all_blocks").alias("j"))
+    every = rows.select(*fields, each_block("minor_blocks").alias("i"), own_block("all_blocks").alias("j"))
+    more = minor.groupBy("key", "i", "j").cogroup(every.groupBy("key", "i", "j")).applyInArrow(_linked_blocks, "x long, y long")
+    more = stored(more.distinct())
+    if more.limit(1).count():
+        return star_roots(links.union(more).select(F.col("x").alias("u"), F.col("y").alias("v")))
+    return roots
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,63 +221,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Comparisons are of whole sets of 64-bit shingle hashes. No bucket is capped, gathered in one task or written out as pairs.
 
-    Null or empty texts have no shingles, their own component, and are kept. Rows with one id are one node; a null id
-    links nothing and is kept, its component_id is null. An empty table gives no rows. Other columns are ignored.
+    Null or empty texts have no shingles, their own component, and are kept. Very long texts are hashed whole, each by itself. Rows with one
+    id are one node, also if their texts differ; a null id links nothing and is kept, its component_id is null. An empty table gives no
+    rows. Other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = stored(texts.mapInArrow(tidy(_signatures), "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>"))
-    classes = stored(signed.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")))
-    reps = signed.filter("n_shingles > 0").join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_a", "set_b", "n_shingles"])
-    keyed = reps.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
-    # The order of documents that choose a bucket's first is another one for each chunk.
-    chunk = F.floor(F.shiftright("key", 48) / CHUNK_SYMBOLS)
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rep", chunk).alias("turn"), "rep")).alias("first")).filter("n > 1")
-    buckets = stored(keyed.join(sizes.select("key", "n", F.col("first.rep").alias("first")), "key"))
-    pairs = stored(buckets.filter("rep != first").select(F.greatest("rep", "first").alias("x"), F.least("rep", "first").alias("y")).distinct())
-    ids = stored(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
-    few = ids.count() <= BROADCAST_IDS
-    sets = stored(texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(tidy(_sets), "doc_id long, shingles binary").dropDuplicates(["doc_id"]))
 
-    def of(side: str) -> DataFrame:
-        return sets.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"set_{side}"))
+    def components() -> DataFrame:
+        classes = stored(signed.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")))
+        own = stored(signed.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b", "n_shingles"], "left").select("doc_id", "n_shingles", "rep"))
+        roots = stored(_class_roots(signed, classes, own.filter("doc_id is not null and rep is not null"), texts))
+        of_class = own.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")))
+        return of_class.select("doc_id", "n_shingles", "component_id")
 
-    links = stored(pairs.join(of("x"), "x").join(of("y"), "y").select("x", "y", "set_x", "set_y").mapInArrow(tidy(_linked), "x long, y long"))
-    roots = connected(links)
-    # Buckets of two have had their only comparison.
-    open_ = buckets.filter("n > 2").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("class"))
-    open_ = stored(open_)
-    members = open_.groupBy("key", "class").agg(F.count("*").alias("m"))
-    split = members.groupBy("key").agg(F.sum("m").alias("n"), F.count("*").alias("classes"), F.max(F.struct("m", "class")).alias("major")).filter("classes > 1")
-    # Stored, so that the join below has nothing but exchanges under it and skewed keys can be split.
-    split = stored(split.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.col("major.class").alias("major")))
-    rows = open_.join(split, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    fields = [F.col(c).alias(c) for c in ("key", "rep", "class", "shingles")]  # new columns, as both sides come from rows
-    minor = rows.filter("class != major").select(*fields, F.col("block").alias("i"), others.alias("j"))
-    every = rows.select(*fields, others.alias("i"), F.col("block").alias("j"))
-    more = minor.groupBy("key", "i", "j").cogroup(every.groupBy("key", "i", "j")).applyInArrow(_linked_blocks, "x long, y long")
-    more = stored(more.distinct())
-    if more.limit(1).count():
-        roots = connected(links.union(more))
-    named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("root", "rep").alias("root"))
-    own = F.coalesce("root", "doc_id")
-    out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b", "n_shingles"], "left")
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), own))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = settled(components)
+    return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
     """The documents that near_duplicates keeps, with their own columns.
 
-    Of rows with one id, the one with the least text hash stays (equal rows: one of them); rows with a null id all stay.
+    Of rows with one id, the one with the least text hash stays (equal rows: one of them); rows with a null id all stay. Null and empty texts
+    and very long ones are no exception; an empty table gives none. Extra columns may have any name and type.
     """
-    kept = near_duplicates(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
+    clash = {c: f"docs_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    safe = docs.withColumnsRenamed(clash)
+    kept = settled(lambda: near_duplicates(docs.select("doc_id", "text")).filter("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct())
     few = kept.count() <= BROADCAST_IDS
-    rows = docs.join(F.broadcast(kept) if few else kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    repeated = rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    repeated = stored(repeated)
+    rows = safe.join(F.broadcast(kept) if few else kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    repeated = stored(rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
     single = rows.join(repeated, "doc_id", "left_anti")
     several = rows.join(repeated, "doc_id", "left_semi").withColumn("turn", F.xxhash64("text"))
-    first = several.groupBy("doc_id").agg(F.min_by(F.struct(*(F.col(c).alias(c) for c in docs.columns)), "turn").alias("row")).select("row.*")
-    return single.select(*docs.columns).union(first).union(docs.filter("doc_id is null"))
+    first = several.groupBy("doc_id").agg(F.min_by(F.struct(*(F.col(c).alias(c) for c in safe.columns)), "turn").alias("row")).select("row.*")
+    out = single.select(*safe.columns).union(first).union(safe.filter("doc_id is null"))
+    return out.select(*(F.col(clash.get(c, c)).alias(c) for c in docs.columns))

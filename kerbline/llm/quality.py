@@ -188,25 +188,30 @@ def is_held_out(doc_id: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_TRAIN, held_out: bool = True) -> DataFrame:
     """(doc_id, text, y) of at most max_rows labelled documents, those of the least hash, without held-out ones.
 
-    Ids are chosen from labels alone, so the broadcast has max_rows ids at most and no text moves. A repeated label
-    counts once, with its largest value.
+    Ids are chosen from labels alone, so the broadcast has max_rows ids at most. A repeated label counts once, with its largest value; of
+    repeated documents the text of the least hash does, so there is one row an id.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     if held_out:
         known = known.filter(~is_held_out(F.col("doc_id")))
     chosen = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    known_texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = known_texts.groupBy("doc_id").agg(F.first("y").alias("y"), F.min(F.struct(F.xxhash64("text").alias("turn"), "text")).alias("d"))
+    return one.select("doc_id", "d.text", "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_TRAIN) -> Gam:
-    """A model of label, from the features of at most max_rows documents (a few MB) that the driver gathers."""
+    """A model of label, from the features of at most max_rows documents (a few MB) that the driver gathers.
+
+    The sample is bounded by max_rows labels (see training_rows). Without labelled documents, as in empty tables, the model is a base rate of 0.5.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for slab in slabs(batches, "text"):
             x = text_features(slab.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([slab.column("y"), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
 
-    rows = training_rows(docs, labels, label, max_rows).mapInArrow(tidy(run), "y int, x array<double>").limit(2 * max_rows).toArrow()
+    rows = training_rows(docs, labels, label, max_rows).mapInArrow(tidy(run), "y int, x array<double>").toArrow()
     x = np.array(rows.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     y = np.array(rows.column("y").to_pylist(), float)
     order = np.lexsort((*x.T, y))  # the fit doesn't depend on the order of rows
@@ -216,8 +221,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
 def score(docs: DataFrame, model: Gam, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """docs with score (0 to 1) and predicted (1 if score >= threshold) in place of the text.
 
-    The model is some 10 kB, whatever the corpus. A null text scores like an empty one. Columns of docs with these names are
-    replaced. One map over the rows.
+    The model is some 10 kB, whatever the corpus. A null text scores like an empty one. Very long texts are scored whole. Each row is
+    scored by itself: repeated rows get equal scores, an empty table gives none. Columns of docs with these names are
+    replaced, others stay. One map over the rows.
     """
 
     def compute(slab: pa.RecordBatch) -> list[pa.Array]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +21,9 @@ MAX_FEATURES = 4096
 MIN_CHI2, MIN_LIFT = 20.0, 3.0
 """A feature is kept if its presence and the label depend on each other at least this much and it is that much commoner in toxic texts."""
 GRADES = 4
-"""Severity 0 (not toxic) to 3: toxic training texts are graded by terciles of their number of telling features."""
+"""Severity 0 (not toxic) to 3. Labels only tell toxic texts from others, so toxic training texts are graded by the terciles of their margin
+under binary models that were fitted without them."""
+FOLDS = 3
 STEPS, STEP, RIDGE = 400, 0.1, 1e-4
 LEAST_CUT = 0.02
 """A document is toxic if its score reaches the cut that is best on the training texts (by F1), but never below this."""
@@ -63,13 +66,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, n_features: int) -> tuple[np.ndarray, np.ndarray]:
+def fit(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, n_features: int, k: int = GRADES - 1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds that minimise the cumulative-link loss with a ridge, by accelerated gradient steps.
 
-    row, feature: where the binary features are. Weights don't go below 0, as all features speak for toxicity; increments
+    row, feature: where the binary features are; k: number of thresholds. Weights don't go below 0, as all features speak for toxicity; increments
     between thresholds don't go below 0.1.
     """
-    k = GRADES - 1
     over = (grade[:, None] > np.arange(k)[None, :]).astype(float)
     rate = np.clip(over.mean(0), 1e-3, 1 - 1e-3) if len(grade) else np.full(k, 1e-3)
     w, t = np.zeros(n_features), -np.log(rate / (1 - rate))
@@ -89,6 +91,18 @@ def fit(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, n_features: int
     return w, t
 
 
+def cross_fitted_grades(row: np.ndarray, feature: np.ndarray, toxic: np.ndarray, fold: np.ndarray, n_features: int) -> np.ndarray:
+    """0 for texts that aren't toxic; toxic ones get 1 to GRADES - 1 by the quantiles of their margin under a model of the other folds."""
+    margin = np.zeros(len(toxic))
+    for f in range(FOLDS):
+        use = fold != f
+        inside = use[row]
+        w, t = fit((np.cumsum(use) - 1)[row[inside]], feature[inside], toxic[use].astype(int), n_features, 1)
+        margin[~use] = (np.bincount(row, w[feature], len(toxic)) - t[0])[~use]
+    cuts = np.quantile(margin[toxic], np.arange(1, GRADES - 1) / (GRADES - 1)) if toxic.any() else np.zeros(GRADES - 2)
+    return np.where(toxic, 1 + np.searchsorted(cuts, margin, side="right"), 0)
+
+
 def best_cut(score: np.ndarray, toxic: np.ndarray) -> float:
     """The score at which F1 is highest, in the middle (on the log-odds scale) of the gap to the next lower score."""
     order = np.argsort(-score, kind="stable")
@@ -103,13 +117,14 @@ def best_cut(score: np.ndarray, toxic: np.ndarray) -> float:
     return float(np.clip(_sigmoid(np.array(sum(z) / 2)), LEAST_CUT, 0.5))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_TRAIN) -> Ordinal:
-    """Chooses features and fits a model on at most max_rows labelled documents.
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_TRAIN, held_out: bool = False) -> Ordinal:
+    """Chooses features and fits a model on at most max_rows labelled documents, with held_out without those that quality.is_held_out keeps back.
 
     Texts with each feature are counted by label in the cluster; at most MAX_FEATURES features and, for the fit, their places in
-    max_rows texts reach the driver. Without toxic labels there are no features and nothing is rejected.
+    max_rows texts reach the driver. Without toxic labels, as in empty tables, there are no features and nothing is rejected. Of repeated
+    documents one text counts (see training_rows).
     """
-    rows = training_rows(docs, labels, label, max_rows, held_out=False)
+    rows = stored(training_rows(docs, labels, label, max_rows, held_out))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for slab in slabs(batches, "text"):
@@ -137,40 +152,43 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
             text, feature = _present(slab.column("text").to_pylist(), keys)
             cuts = np.searchsorted(text, np.arange(slab.num_rows + 1)).tolist()
             f = [feature[x:y].astype(np.int64).tolist() for x, y in zip(cuts, cuts[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([slab.column("y"), pa.array(f, pa.list_(pa.int64()))], names=["y", "features"])
+            yield pa.RecordBatch.from_arrays([slab.column("doc_id").cast(pa.int64()), slab.column("y"), pa.array(f, pa.list_(pa.int64()))], names=["doc_id", "y", "features"])
 
-    got = rows.mapInArrow(tidy(places), "y int, features array<long>").limit(2 * max_rows).toArrow()
-    found = sorted(zip(got.column("y").to_pylist(), got.column("features").to_pylist(), strict=True))  # the fit doesn't depend on the order of rows
-    y, lists = np.array([f[0] for f in found], int), [f[1] for f in found]
+    got = rows.mapInArrow(tidy(places), "doc_id long, y int, features array<long>").toArrow()
+    found = sorted(zip(*(got.column(c).to_pylist() for c in ("doc_id", "y", "features")), strict=True))  # the fit doesn't depend on the order of rows
+    fold = np.array([zlib.crc32(str(f[0]).encode()) % FOLDS for f in found], int)
+    y, lists = np.array([f[1] for f in found], int), [f[2] for f in found]
     n = np.array([len(x) for x in lists], int)
     toxic = y > 0
-    cuts = np.quantile(n[toxic], [1 / 3, 2 / 3]) if toxic.any() else np.zeros(2)
-    grade = np.where(toxic, 1 + np.searchsorted(cuts, n, side="right"), 0)
     row = np.repeat(np.arange(len(y)), n)
     feature = np.array([f for x in lists for f in x], np.int64)
+    grade = cross_fitted_grades(row, feature, toxic, fold, len(keys))
     weights, thresholds = fit(row, feature, grade, len(keys))
     return Ordinal(keys, weights, thresholds, best_cut(_sigmoid(np.bincount(row, weights[feature], len(y)) - thresholds[0]), toxic))
 
 
 def severity(docs: DataFrame, model: Ordinal, text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """docs with tox_score (probability of any grade above 0), tox_severity (expected grade, 0 to 3), tox_grade (likeliest) and
-    toxic (tox_score >= the model's cut).
+    """docs with tox_score (probability of any grade above 0), tox_severity (expected grade, 0 to 3), toxic (tox_score >= the model's cut) and tox_grade
+    (0 if not toxic, else the likeliest grade above 0).
 
-    Features are looked up in whole texts. Null and empty texts have none and score as the base rate. Columns of docs with these
-    names are replaced. One map over the
-    rows; the model has MAX_FEATURES keys at most.
+    Features are looked up in whole texts, however long. Null and empty texts have none and score as the base rate. Each row is scored by
+    itself: repeated rows get equal scores, an empty table gives none. Columns of docs with these names are replaced, others stay. One map
+    over the rows; the model has MAX_FEATURES keys at most.
     """
 
     def compute(slab: pa.RecordBatch) -> list[pa.Array]:
         above = model.above(slab.column(text_col).to_pylist())
         steps = -np.diff(np.concatenate((np.ones((len(above), 1)), above, np.zeros((len(above), 1))), axis=1), axis=1)
-        return [pa.array(above[:, 0]), pa.array(above.sum(1)), pa.array(steps.argmax(1).astype(np.int32)), pa.array(above[:, 0] >= model.cut)]
+        toxic = above[:, 0] >= model.cut
+        grade = np.where(toxic, 1 + steps[:, 1:].argmax(1), 0).astype(np.int32)
+        return [pa.array(above[:, 0]), pa.array(above.sum(1)), pa.array(grade), pa.array(toxic)]
 
     return mapped(docs, text_col, "tox_score double, tox_severity double, tox_grade int, toxic boolean", compute, drop=() if keep_text else (text_col,))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the model doesn't find toxic, with their own columns."""
+    """The documents that the model doesn't find toxic, with their own columns: rows with null ids or texts, repeated rows and any extra
+    columns stay as they are; an empty table gives none."""
     clash = {c: f"docs_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
     scored = severity(docs.withColumnsRenamed(clash), train(docs, labels), keep_text=True)
     return scored.filter(~F.col("toxic")).select(*(F.col(clash.get(c, c)).alias(c) for c in docs.columns))

@@ -345,6 +345,28 @@ def test_near_duplicates_odd_rows(spark):
     assert neardup.without_duplicates(d.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_one_id_and_odd_columns(spark):
+    """Texts of one id are one node; columns named turn and kept_id come back as they are; a hub's stragglers are found."""
+    a, b, c = (sentence(random.Random(i), 60) for i in (1, 2, 3))
+    rows = [(5, a, 8, 1), (5, b, 9, 2), (2, a + " zz", 8, 3), (7, b + " zz", 8, 4), (9, c, 8, 5), (3, "", 1, 6)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, turn int, kept_id int")
+    got = sorted((x.doc_id, x.component_id) for x in neardup.near_duplicates(d).collect())
+    assert got == [(2, 2), (3, 3), (5, 2), (5, 2), (7, 2), (9, 9)]
+    kept = neardup.without_duplicates(d)
+    assert kept.columns == d.columns
+    assert sorted((x.doc_id, x.turn, x.kept_id) for x in kept.collect()) == [(2, 8, 3), (3, 1, 6), (9, 8, 5)]
+    twice = neardup.without_duplicates(d.filter("doc_id = 9").unionByName(d.filter("doc_id = 9"))).collect()
+    assert [(x.doc_id, x.turn) for x in twice] == [(9, 8)]
+
+
+def test_words_of_one_pattern_have_their_own_hashes():
+    """The Thue-Morse word of 1,024 letters and its complement have equal polynomials modulo 2**64, whatever the base."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    x, y = neardup.shingle_sets([" ".join([w, *"cdefghij"]) for w in (word, other)])
+    assert len(np.intersect1d(x, y)) == len(x) - 1
+
+
 def test_index_guarantee():
     """Sets at the threshold share a key; with every pair under the signature distance, no key is missed."""
     r = np.random.default_rng(3)
