@@ -88,7 +88,7 @@ def _prime_powers(base: int, size: int) -> np.ndarray:
     p = np.ones(1, np.uint64)
     while len(p) < size:
         p = np.concatenate((p, p * np.uint64(pow(base, len(p), _PRIME)) % np.uint64(_PRIME)))
-    return p[:size]
+    return p[:size].astype(np.uint32)
 
 
 def _tables(n: int) -> list[np.ndarray]:

@@ -12,7 +12,12 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .common import stored
 
 LISTS = 4
-"""Dimension blocks; each is a list of partial scores in the sense of the threshold method."""
+"""Lists of partial scores in the sense of the threshold method: runs of rotated dimensions with equal shares of the energy."""
+ROTATION_ROWS, ROTATION_DIM = 4096, 1024
+"""Vectors, those of the least hash, whose principal axes the lists follow, and their longest length: the rotation is 8 MB at most. It only
+decides how early entries fall below the cutoff: results don't depend on it. Longer vectors keep their own axes."""
+FEW = 0.02
+"""Share of a strip's entries from which on their scores come from one matrix product and not one by one."""
 BLOCK_ROWS = 4096
 QUERY_ROWS = 1024
 STRIP = 128
@@ -58,70 +63,109 @@ def _packed(rows: DataFrame, size: int, extra: bool = False) -> DataFrame:
     return rows.mapInArrow(run, "block long, dim int, ids binary, v binary" + ", cutoff binary" * extra)
 
 
-def _strips(row: dict):
-    """(query ids, cutoffs, partial scores by list, candidate ids) for strips of a block pair's queries.
-
-    A query's own row has no score. Partial scores are float32 or float64 where those hold all sums exactly, else Python integers.
-    """
-    dim = row["dim"]
-    q_ids, c_ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
-    q, c = np.frombuffer(row["q_v"]).reshape(len(q_ids), dim), np.frombuffer(row["v"]).reshape(len(c_ids), dim)
-    cutoffs = np.frombuffer(row["cutoff"]) if "cutoff" in row else np.full(len(q_ids), -np.inf)
-    bound = np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * max(dim, 1)
-    if bound < 2**53:
-        kind = np.float32 if bound < 2**24 else np.float64
-        q, c = q.astype(kind), c.astype(kind)
-    else:
-        q, c = (np.array([[int(x) for x in r] for r in m], object).reshape(m.shape) for m in (q, c))
-    order = np.argsort(c_ids, kind="stable")
-    c_ids, c = c_ids[order], c[order]
-    cuts = np.linspace(0, dim, LISTS + 1).astype(int)
-    for s in range(0, len(q_ids), STRIP):
-        ids = q_ids[s : s + STRIP]
-        parts = [q[s : s + STRIP, a:b] @ c[:, a:b].T for a, b in zip(cuts, cuts[1:], strict=False)]
-        own = c_ids[None, :] == ids[:, None]
-        yield ids, cutoffs[s : s + STRIP], parts, c_ids, own
-
-
-def _local_bounds(k: int):
-    """Phase 1: at each block, the top k of every list; the exact scores of what those name are the block's score list."""
+def rotation(vectors: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(axes, cuts between lists) for the sampled vectors' lengths: principal axes by falling energy."""
+    sample = vectors.filter(F.size("v").between(1, ROTATION_DIM)).orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(ROTATION_ROWS).select("v").toArrow().column("v").to_pylist()
+    out = {}
+    for dim in {len(v) for v in sample}:
+        x = np.array([v for v in sample if len(v) == dim])
+        x /= max(1.0, np.abs(x).max())  # against overflow
+        energy, axes = np.linalg.eigh(x.T @ x)
+        share = np.cumsum(np.maximum(energy[::-1], 0) + 1e-12)
+        inner = 1 + np.searchsorted(share, share[-1] * np.arange(1, LISTS) / LISTS)
+        out[dim] = axes[:, ::-1].copy(), np.concatenate(([0], np.minimum(inner, dim), [dim]))
+    return out
+
+
+class _Pair:
+    """A block of queries and a block of candidates: exact scores, and partial scores in rotated dimensions with their bounds."""
+
+    def __init__(self, row: dict, axes: dict[int, tuple[np.ndarray, np.ndarray]]):
+        dim = row["dim"]
+        self.q_ids, c_ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
+        q, c = np.frombuffer(row["q_v"]).reshape(len(self.q_ids), dim), np.frombuffer(row["v"]).reshape(len(c_ids), dim)
+        self.cutoffs = np.frombuffer(row["cutoff"]) if "cutoff" in row else np.full(len(self.q_ids), -np.inf)
+        order = np.argsort(c_ids, kind="stable")
+        self.c_ids, c = c_ids[order], c[order]
+        turn, self.cuts = axes.get(dim) or (None, np.linspace(0, dim, LISTS + 1).astype(int))
+        # Bounds in floating point are loosened by more than their error.
+        self.loose = 1e-9 * (1 + np.linalg.norm(q, axis=1) * np.linalg.norm(c, axis=1).max(initial=0))
+        self.rq, self.rc = (q, c) if turn is None else (q @ turn, c @ turn)
+        # What the lists after each one can add at most, by the norms of both sides.
+        self.rest = [tuple(np.linalg.norm(x[:, n:], axis=1) for x in (self.rq, self.rc)) for n in self.cuts[1:]]
+        bound = np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * max(dim, 1)
+        if bound < 2**53:
+            kind = np.float32 if bound < 2**24 else np.float64
+            self.q, self.c = q.astype(kind), c.astype(kind)
+        else:
+            self.q, self.c = (np.array([[int(x) for x in r] for r in m], object).reshape(m.shape) for m in (q, c))
+
+    def partial(self, part: slice, n: int) -> np.ndarray:
+        a, b = self.cuts[n : n + 2]
+        return self.rq[part, a:b] @ self.rc[:, a:b].T
+
+    def exact(self, part: slice, at_q: np.ndarray, at_c: np.ndarray) -> np.ndarray:
+        """Exact scores of the entries, sums being exact in the type chosen."""
+        q = self.q[part]
+        if q.dtype != object and len(at_q) > FEW * len(q) * len(self.c):
+            return (q @ self.c.T)[at_q, at_c]
+        out = np.zeros(len(at_q), q.dtype)
+        for i in range(0, len(at_q), 1 << 16):
+            out[i : i + (1 << 16)] = (q[at_q[i : i + (1 << 16)]] * self.c[at_c[i : i + (1 << 16)]]).sum(axis=1)
+        return out
+
+    def strips(self) -> Iterator[slice]:
+        for s in range(0, len(self.q_ids), STRIP):
+            yield slice(s, min(s + STRIP, len(self.q_ids)))
+
+
+def _local_bounds(k: int, axes):
+    """Phase 1: each block's k best of one list, in turn another one for each block; their exact scores are the block's score list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                for ids, _, parts, c_ids, own in _strips(row):
-                    total = sum(parts[1:], parts[0]).astype(np.float64)
-                    total[own] = -np.inf
-                    if len(c_ids) > k + 1:  # one more, as the own row may be among them
-                        named = np.concatenate([np.argpartition(p, len(c_ids) - k - 1, axis=1)[:, -k - 1 :] for p in parts], axis=1)
-                        named.sort(axis=1)
-                        scores = np.take_along_axis(total, named, 1)
-                        scores[:, 1:][named[:, 1:] == named[:, :-1]] = -np.inf
-                    else:
-                        scores = total
+                pair = _Pair(row, axes.value)
+                n_named = min(k + 1, len(pair.c_ids))  # one more, as the own row may be among them
+                for part in pair.strips():
+                    ids = pair.q_ids[part]
+                    named = np.argpartition(pair.partial(part, int(row["bucket"]) % LISTS), len(pair.c_ids) - n_named, axis=1)[:, -n_named:]
+                    at_q = np.repeat(np.arange(len(ids)), n_named)
+                    scores = pair.exact(part, at_q, named.ravel()).astype(np.float64).reshape(named.shape)
+                    scores[pair.c_ids[named] == ids[:, None]] = -np.inf
                     scores = -np.sort(-scores, axis=1)[:, :k]
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([r[np.isfinite(r)].tolist() for r in scores], pa.list_(pa.float64()))], names=["query_id", "scores"])
 
     return run
 
 
-def _sufficient(k: int):
-    """Phases 2 and 3: entries that reach the uniform threshold in some list, then the exact scores of those."""
+def sufficient_entries(pair: _Pair, part: slice) -> tuple[np.ndarray, np.ndarray]:
+    """(query, candidate) places of the entries that can still reach their query's cutoff after the lists but the last."""
+    ids, cutoffs = pair.q_ids[part], pair.cutoffs[part] - pair.loose[part]
+    enough = pair.c_ids[None, :] != ids[:, None]
+    total = np.zeros(enough.shape)
+    for n in range(LISTS - 1):
+        total += pair.partial(part, n)
+        rest_q, rest_c = pair.rest[n]
+        # The uniform threshold of list n: below it an entry can't reach the cutoff, even if the lists after it agree wholly.
+        enough &= total >= cutoffs[:, None] - rest_q[part, None] * rest_c[None, :]
+        if np.count_nonzero(enough) <= FEW * enough.size:
+            break
+    return np.nonzero(enough)
+
+
+def _sufficient(k: int, axes):
+    """Phases 2 and 3: entries that can reach the cutoff, list by list, then the exact scores of those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                for ids, cutoffs, parts, c_ids, own in _strips(row):
-                    least = [p.min(axis=1) for p in parts]
-                    # If every partial score is below its list's least + share, the sum is below the cutoff.
-                    share = (cutoffs - sum(x.astype(np.float64) for x in least)) / LISTS
-                    enough = np.zeros(own.shape, bool)
-                    for p, low in zip(parts, least, strict=True):
-                        enough |= p >= np.floor(low + share)[:, None]
-                    enough &= ~own
-                    at_q, at_c = np.nonzero(enough)
-                    score = sum((p[at_q, at_c] for p in parts[1:]), parts[0][at_q, at_c])
-                    reach = score >= cutoffs[at_q]
+                pair = _Pair(row, axes.value)
+                for part in pair.strips():
+                    ids, c_ids = pair.q_ids[part], pair.c_ids
+                    at_q, at_c = sufficient_entries(pair, part)
+                    score = pair.exact(part, at_q, at_c)
+                    reach = score >= pair.cutoffs[part][at_q]
                     at_q, at_c, score = at_q[reach], at_c[reach], score[reach]
                     order = np.lexsort((c_ids[at_c], -score.astype(np.float64), at_q)) if score.dtype != object else np.array(sorted(range(len(score)), key=lambda i: (at_q[i], -score[i], c_ids[at_c[i]])), int)
                     at_q, at_c, score = at_q[order], at_c[order], score[order]
@@ -138,11 +182,11 @@ def exact_top_k(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "v
 
     Candidates are all other ids; ties go to the smaller id; all are returned if there are fewer than k.
 
-    The component range is cut into LISTS lists and rows into blocks. Phase 1: each block takes the top k of each list and
-    gathers the k best exact scores of what they name; the k-th best of all blocks' lists is a safe cutoff, as that many
-    candidates reach it. Phase 2: the cutoff goes out with each query and blocks collect entries with a partial
-    score of at least (cutoff - the lists' minima) / LISTS above the list's minimum; the others can't reach the
-    cutoff. Phase 3: those entries get exact scores, and what reaches the cutoff meets in a top-k window.
+    Vectors are rotated to their principal axes, whose range is cut into LISTS lists of equal energy, and rows into blocks. Phase 1: each
+    block takes the top k of one list, in turn another one for each block, and scores what it names exactly; the k-th best of all blocks'
+    scores is a safe cutoff, as that many candidates reach it. Phase 2: the cutoff goes out with each query; blocks add list after list and
+    keep the entries that can still reach it, by the norms of what is left. Phase 3: those entries get exact scores, and what reaches the
+    cutoff meets in a top-k window.
 
     Every pair of a block of queries and a block of rows is a row of an equi-join on the row block's bucket: vectors
     move packed, BLOCK_ROWS and QUERY_ROWS bound what a task holds, and nothing is broadcast.
@@ -160,16 +204,18 @@ def exact_top_k(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "v
     n_queries = queries.count()
     parts = max(1, math.ceil(n_queries / QUERY_ROWS))
 
+    axes = spark.sparkContext.broadcast(rotation(vectors))
+
     def pairs(q: DataFrame) -> DataFrame:
         q = q.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumnsRenamed({"ids": "q_ids", "v": "q_v"}).drop("block")
         c = blocks.withColumn("bucket", F.pmod(F.xxhash64("block", "ids"), F.lit(n_blocks)).cast("int"))
         return q.join(c, ["bucket", "dim"]).drop("block").repartition(max(tasks, min(n_blocks * parts, 4 * tasks)))
 
-    local = pairs(_packed(queries.repartition(parts), QUERY_ROWS)).mapInArrow(_local_bounds(k), "query_id long, scores array<double>")
+    local = pairs(_packed(queries.repartition(parts), QUERY_ROWS)).mapInArrow(_local_bounds(k, axes), "query_id long, scores array<double>")
     best = W.partitionBy("query_id").orderBy(F.col("bound").desc())
     lists = local.select("query_id", F.explode("scores").alias("bound")).withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k)
     cutoffs = lists.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("bound")).alias("cutoff"))
     asked = queries.join(cutoffs.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").select("vec_id", "v", F.coalesce("cutoff", F.lit(float("-inf"))).alias("cutoff"))
-    found = pairs(_packed(asked.repartition(parts), QUERY_ROWS, extra=True)).mapInArrow(_sufficient(k), "query_id long, vec_id long, score long")
+    found = pairs(_packed(asked.repartition(parts), QUERY_ROWS, extra=True)).mapInArrow(_sufficient(k, axes), "query_id long, vec_id long, score long")
     last = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(last).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
