@@ -5,13 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: ContextVar[list[str] | None] = ContextVar("written", default=None)
-"""Paths of the tables that the innermost open settled() has stored."""
+"""Paths of the tables that the innermost open block has stored."""
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,19 +53,26 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def settled(build: Callable[[], DataFrame]) -> DataFrame:
-    """What build() returns, stored; all tables that it stored on the way are removed, as nothing needs them any more."""
-    outer = _written.get()
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables stored inside the block are removed at its end, but for those that are taken from the list."""
     written: list[str] = []
     token = _written.set(written)
     try:
-        out = stored(build())
-        kept = written.pop()
+        yield written
     finally:
         _written.reset(token)
+        for path in written:
+            files, folder = _at(spark, path)
+            files.delete(folder, True)
+
+
+def settled(build: Callable[[], DataFrame]) -> DataFrame:
+    """What build() returns, stored; all tables that it stored on the way are removed, as nothing needs them any more."""
+    outer = _written.get()
+    with scratch(SparkSession.active()) as written:
+        out = stored(build())
+        kept = written.pop()
     if outer is not None:
         outer.append(kept)
-    for path in written:
-        files, folder = _at(out.sparkSession, path)
-        files.delete(folder, True)
     return out
