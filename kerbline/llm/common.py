@@ -11,9 +11,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, types as T
 
-from ..storage import settled, shared_dir, stored
+from ..storage import scratch, settled, shared_dir, stored
 
-__all__ = ["SLAB_BYTES", "mapped", "mix64", "plain_words", "settled", "shared_dir", "slabs", "stored", "tidy", "word_hashes"]
+__all__ = ["SLAB_BYTES", "mapped", "mix64", "plain_words", "scratch", "settled", "shared_dir", "slabs", "stored", "tidy", "word_hashes"]
 
 SLAB_BYTES = 1 << 20
 """Text handled at once inside a task; a longer text is a slab of its own."""

@@ -130,11 +130,33 @@ def training_order(plan: DataFrame, max_repeats: int = MAX_REPEATS, curriculum:
     return copies.withColumn("mix_time", position(F.col("mix_copy"), curriculum)).orderBy("mix_time", "doc_id", "mix_copy")
 
 
-def mix_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
+def mix_documents(docs: DataFrame, seed: int = 17, order_columns: bool = False) -> DataFrame:
     """The mixed corpus: the columns of docs, a row for each copy taken, in training order.
 
-    A document that the end of its source's budget cuts is kept whole. n_chars and other columns stay.
+    With order_columns also mix_time, and mix_row, which increases along the training order and so keeps it through a table: see
+    positions. Columns of docs with these names are replaced then; other columns may have any name.
+
+    A document that the end of its source's budget cuts is kept whole. Null texts and texts without words are never taken; null ids and null
+    sources are; of repeated rows each is a document of its own. An empty table gives no rows.
+    """
+    extra = ["mix_time", "mix_row"] if order_columns else []
+    keep = [c for c in docs.columns if c not in extra]
+    clash = {c: f"docs_{i}" for i, c in enumerate(keep) if c not in ("doc_id", "source", "text")}
+    plan = mix_plan(docs.select(*keep).withColumnsRenamed(clash), seed, carry=True)
+    ordered = training_order(plan)
+    if order_columns:
+        ordered = ordered.withColumn("mix_row", F.monotonically_increasing_id())
+    return ordered.select(*(F.col(clash.get(c, c)).alias(c) for c in keep), *extra)
+
+
+def positions(mixed: DataFrame) -> DataFrame:
+    """mixed, a stored table with mix_row, with position: its rank, from 0 without gaps.
+
+    mix_row holds the number of the partition that wrote a row, above 33 bits of the row's number there, so the rows of each partition
+    are counted (one row each, which are broadcast) and their prefix sums make up the rank.
     """
-    clash = {c: f"docs_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "source", "text")}
-    plan = mix_plan(docs.withColumnsRenamed(clash), seed, carry=True)
-    return training_order(plan).select(*(F.col(clash.get(c, c)).alias(c) for c in docs.columns))
+    part = F.shiftright("mix_row", 33)
+    counts = mixed.select(part.alias("mix_part")).groupBy("mix_part").agg(F.count("*").alias("n"))
+    before = counts.select("mix_part", F.coalesce(F.sum("n").over(W.orderBy("mix_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("mix_before"))
+    rows = mixed.withColumn("mix_part", part).join(F.broadcast(before), "mix_part")
+    return rows.withColumn("position", F.col("mix_before") + F.col("mix_row").bitwiseAND((1 << 33) - 1)).drop("mix_part", "mix_before", "mix_row")

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mapped, plain_words, slabs, stored, tidy, word_hashes
+from .common import mapped, plain_words, scratch, slabs, stored, tidy, word_hashes
 from .quality import training_rows
 
 MAX_TRAIN = 20_000
@@ -124,7 +124,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     max_rows texts reach the driver. Without toxic labels, as in empty tables, there are no features and nothing is rejected. Of repeated
     documents one text counts (see training_rows).
     """
-    rows = stored(training_rows(docs, labels, label, max_rows, held_out))
+    with scratch(docs.sparkSession):
+        return _trained(stored(training_rows(docs, labels, label, max_rows, held_out)))
+
+
+def _trained(rows: DataFrame) -> Ordinal:
+    """A model of rows (doc_id, text, y)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for slab in slabs(batches, "text"):

@@ -148,6 +148,28 @@ def test_features_are_of_each_text_alone():
         assert np.allclose(quality.text_features([t])[0], row)
 
 
+def test_tables_are_scored_by_plain_additions():
+    r = np.random.default_rng(5)
+    x = r.normal(size=(400, len(quality.FEATURES)))
+    model = quality.fit(x, (x[:, 0] + x[:, 3] * x[:, 5] > 0).astype(float))
+    for row, got in zip(x[:60], model.score(x[:60]), strict=True):
+        z = model.intercept
+        for j, table in enumerate(model.tables):
+            z += table[sum(e <= row[j] for e in model.edges[j])]
+        for (a, b), table in zip(model.pairs, model.pair_tables, strict=True):
+            z += table[sum(e <= row[a] for e in model.pair_edges[a])][sum(e <= row[b] for e in model.pair_edges[b])]
+        assert got == pytest.approx(1 / (1 + np.exp(-z)))
+    assert len(model.pairs) == quality.PAIRS
+
+
+def test_one_training_row_an_id(spark):
+    d = spark.createDataFrame([(1, "a b"), (1, "c d"), (1, "a b"), (2, "e"), (4, None), (7, "z")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (4, 1), (None, 1)], "doc_id long, quality int")
+    runs = [sorted((r.doc_id, r.text, r.y) for r in quality.training_rows(d.repartition(n), labels, "quality", held_out=False).collect()) for n in (1, 3)]
+    assert runs[0] == runs[1]
+    assert [(i, y) for i, _, y in runs[0]] == [(1, 1), (2, 0), (4, 1)]
+
+
 # 3
 
 
@@ -243,9 +265,61 @@ def test_training_order(spark):
     assert mean[1] < mean[2] < mean[3]
 
 
+def test_order_outlives_a_table(spark):
+    d = docs(spark, [None, "", *[sentence(random.Random(i), 30) for i in range(200)]], ["a", "b", None, "c"]).withColumn("mix_row", F.lit("mine")).withColumn("turn", F.lit(8))
+    assert mixing.mix_documents(d).columns == d.columns
+    mixed = mixing.mix_documents(d, order_columns=True)
+    assert mixed.columns == [c for c in d.columns if c != "mix_row"] + ["mix_time", "mix_row"]
+    got = sorted((x.position, x.mix_time, x.turn) for x in mixing.positions(common.stored(mixed)).collect())
+    assert [x[0] for x in got] == list(range(len(got)))
+    assert [x[1] for x in got] == sorted(x[1] for x in got)
+    assert {x[2] for x in got} == {8}
+    assert mixing.positions(common.stored(mixing.mix_documents(d.limit(0), order_columns=True))).count() == 0
+
+
 # 5
 
 
+def test_toxicity_held_out(spark):
+    """Without the rows held out, the model finds most of their toxic texts; grades rise with a margin that doesn't know them."""
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    d = d.select("doc_id", "text").join(labels.select("doc_id"), "doc_id", "left_semi")
+    model = toxicity.train(d, labels, held_out=True)
+    got = toxicity.severity(d.filter(quality.is_held_out(F.col("doc_id"))), model).join(labels.withColumnRenamed("toxic", "label"), "doc_id").collect()
+    found = sum(r.toxic and r.label for r in got)
+    assert found >= 0.8 * sum(r.label for r in got)
+    assert found >= 0.95 * sum(r.toxic for r in got)
+    assert all((r.tox_grade > 0) == r.toxic for r in got)
+
+
+def plain_ordinal(x, grade, k):
+    """Weights and thresholds by slow projected gradient descent over nested loops."""
+    w, t = [0.0] * len(x[0]), [0.5 * i for i in range(k)]
+    for _ in range(6000):
+        gw, gt = [toxicity.RIDGE * v / k for v in w], [0.0] * k
+        for row, g in zip(x, grade, strict=True):
+            for j in range(k):
+                miss = 1 / (1 + np.exp(t[j] - sum(a * b for a, b in zip(w, row, strict=True)))) - (g > j)
+                gt[j] -= miss / len(x)
+                for i, a in enumerate(row):
+                    gw[i] += miss * a / len(x)
+        w = [max(0.0, a - 0.5 * b) for a, b in zip(w, gw, strict=True)]
+        t = [a - 0.5 * b for a, b in zip(t, gt, strict=True)]
+    return np.array(w), np.array(t)
+
+
+def test_ordinal_fit_is_the_plain_one():
+    x = [(1, 0), (1, 1), (0, 1), (0, 0), (1, 1), (0, 1), (1, 0), (0, 0), (0, 0), (1, 1)]
+    grade = np.array([1, 2, 0, 0, 2, 1, 0, 0, 1, 1])
+    row, feature = np.nonzero(np.array(x))
+    w, t = toxicity.fit(row, feature, grade, 2, 2)
+    pw, pt = plain_ordinal(x, grade, 2)
+    z = np.array(x) @ w
+    plain = np.array(x) @ pw
+    for a, b in zip(t, pt, strict=True):
+        assert np.allclose(1 / (1 + np.exp(a - z)), 1 / (1 + np.exp(b - plain)), atol=0.02)
+
+
 def test_toxicity(spark):
     scored = queries.op5_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet").withColumnRenamed("toxic", "label"), "doc_id").collect()
     toxic, clean = [r for r in scored if r.label], [r for r in scored if not r.label]
@@ -405,6 +479,45 @@ def test_likeness_tells_edits_from_strangers(spark):
     assert np.mean([x.near_next for x in got]) < 0.02
 
 
+def plain_prints(text, band):
+    """I-Match by sets: the terms of the band, or all, in each of the random lexicons."""
+    def known(w):
+        return int(common.word_hashes([w])[0][0])
+
+    terms = {known(w) for w in fingerprints.plain_words(text).split()}
+    inside = {t for t in terms if t >> (64 - fingerprints.TERM_BITS) in band} or terms
+    out = []
+    for s in range(fingerprints.SUBSETS):
+        total, some = 0, False
+        for t in inside:
+            draw = int(common.mix64(np.array([t ^ int(fingerprints._SEED[s])], np.uint64))[0])
+            if draw >> 32 < 1 << (32 - int(fingerprints._LEVEL[s])):
+                total, some = (total + int(common.mix64(np.array([draw], np.uint64))[0])) % (1 << 64), True
+        out.append(int(common.mix64(np.array([total], np.uint64))[0]) >> 48 if some else -1)
+    return out
+
+
+def test_fingerprints_are_the_plain_ones(spark):
+    texts = [sentence(random.Random(i), 12) for i in range(60)] + ["common " + sentence(random.Random(i), 5) for i in range(60)] + ["", "onlyhere"]
+    d = docs(spark, texts)
+    band = (0.02, 0.3)
+    count = {}
+    for t in texts:
+        for w in set(fingerprints.plain_words(t).split()):
+            k = int(common.word_hashes([w])[0][0]) >> (64 - fingerprints.TERM_BITS)
+            count[k] = count.get(k, 0) + 1
+    inside = {k for k, n in count.items() if max(2, band[0] * len(texts)) <= n <= max(2, band[1] * len(texts))}
+    assert inside and len(inside) < len(count)
+    bits = np.unpackbits(fingerprints.lexicon(d, band), bitorder="little")
+    assert set(np.flatnonzero(bits).tolist()) == inside
+    got = {r.doc_id: r for r in fingerprints.fingerprints(d, band).collect()}
+    for i, t in enumerate(texts):
+        plain, after = plain_prints(t, inside), plain_prints(texts[(i + 1) % len(texts)], inside)
+        assert got[i].fingerprint == fingerprints.hexed(np.array(plain))
+        either = [(a, b) for a, b in zip(plain, after, strict=True) if a >= 0 or b >= 0]
+        assert got[i].near_next == pytest.approx(sum(a == b for a, b in either) / len(either) if either else 1.0)
+
+
 # 9
 
 
