@@ -74,7 +74,7 @@ def test_run_on_odd_rows(spark):
         assert kept.columns == docs.columns
     kept = kept.collect()
     assert {0, 1, 2, 3, 4, 5, 7, None} <= {r.doc_id for r in kept}
-    assert {(r.kept_id, r.mix_time, r.turn) for r in kept} == {(1, "mine", 8)}
+    assert all((r.kept_id, r.mix_time, r.turn) == (1 if r.doc_id is None else r.doc_id, "mine", 8) for r in kept)
     got = corpus_pipeline.run(spark, folder(spark, docs, labels)).collect()  # the mix takes a source's documents up to its target
     assert sorted(r.position for r in got) == list(range(len(got)))
     assert [r.mix_time for r in sorted(got, key=lambda r: r.position)] == sorted(r.mix_time for r in got)
