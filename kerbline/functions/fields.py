@@ -6,20 +6,25 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
-# Vocabulary of a published field.
-UNKNOWN_CODES = ("unknown", "unk", "not known", "?")
-NOT_APPLICABLE = ("n/a", "na", "not applicable", "none")
+# Codes of a published field that mean "not known" and "does not apply".
+UNKNOWN_CODES = {"CURBCUT": ("U",)}
+UNKNOWN_DEFAULT = ("UNKNOWN",)
+NOT_APPLICABLE = ("NA", "NA (VIRTUAL LINK)")
 
 
-def field_state(value: Column, published: Column, default: str | None = None, domain: Sequence[str] | None = None) -> Column:
-    """The first that holds: not published, null, blank, unknown, not applicable, default, out of domain, value."""
-    text = F.lower(F.trim(value.cast("string")))
-    state = F.when(~published, "not_published").when(value.isNull(), "null").when(text == "", "blank").when(text.isin(*UNKNOWN_CODES), "unknown").when(text.isin(*NOT_APPLICABLE), "not_applicable")
+def field_state(value: Column, published: Column, default: str | float | None = None, domain: Sequence[str | float] | None = None, field: str = "") -> Column:
+    """The first that holds: not_published, null, blank, unknown, not_applicable, template_default, out_of_domain, non_default.
+
+    Codes are compared as they are written, text with text and numbers with numbers.
+    """
+    text = value.cast("string")
+    state = F.when(~published, "not_published").when(value.isNull(), "null").when(F.trim(text) == "", "blank")
+    state = state.when(text.isin(*UNKNOWN_CODES.get(field, UNKNOWN_DEFAULT)), "unknown").when(text.isin(*NOT_APPLICABLE), "not_applicable")
     if default is not None:
-        state = state.when(text == default.lower(), "default")
+        state = state.when(value == F.lit(default), "template_default")
     if domain is not None:
-        state = state.when(~text.isin(*(d.lower() for d in domain)), "out_of_domain")
-    return state.otherwise("value")
+        state = state.when(~value.isin(*domain), "out_of_domain")
+    return state.otherwise("non_default")
 
 
 def first_rule(rules: Mapping[str, Column], otherwise: str) -> Column:
@@ -30,19 +35,42 @@ def first_rule(rules: Mapping[str, Column], otherwise: str) -> Column:
     return F.lit(otherwise) if out is None else out.otherwise(otherwise)
 
 
-# Wording by which a source tells where it comes from.
-SIGNALS = {
-    "imagery": r"(?i)\b(bing|maxar|esri|mapbox|imagery|aerial|orthophoto|satellite)\b",
-    "survey": r"(?i)\b(survey|ground truth|gps|visited|local knowledge)\b",
-    "street_photo": r"(?i)\b(mapillary|kartaview|street ?view|street photo)\b",
-    "import": r"(?i)\b(import|bulk|conflat\w*)\b",
-    "municipal": r"(?i)\b(city of|municipal\w*|open ?data|region of)\b",
-}
-
-
-def signals(source: Column) -> Column:
-    """Sorted names of the signals in a source string that may list several, by semicolon."""
-    return F.array_sort(F.array_compact(F.array(*(F.when(source.rlike(p), F.lit(k)) for k, p in SIGNALS.items()))))
+# Wording by which a source tells where it comes from. A word ends wherever letters do, as tags join words by underscores.
+IMAGERY_WORDS = r"(?i)ortho|aerial|imagery|photo|satellite"
+PUBLIC_IMAGERY = r"(?i)region of waterloo \d{4}|waimagery|geospatial ontario|ontario (imagery|mosaic|orthophoto)|(?<![a-z])swoop(?![a-z])|(?<![a-z])oids(?![a-z])"
+CITY = r"(?i)(?<![a-z])kitchener(gis)?(?![a-z])"
+NEIGHBOURS = r"(?i)region of waterloo|regionofwaterloo|waterloo region|city of waterloo|(?<![a-z])cambridge(?![a-z])|(?<![a-z])woolwich(?![a-z])"
+GOVERNMENT = r"(?i)canvec|geobase|nrcan|statistics canada|statcan|ontario road network|(?<![a-z])orn(?![a-z])|land information ontario|(?<![a-z])lio(?![a-z])|government"
+IMPORTED = r"(?i)(?<![a-z])import|open ?data|local data|proprietary"
+SURVEYED = r"(?i)(?<![a-z])survey|(?<![a-z])gps(?![a-z])|(?<![a-z])gnss(?![a-z])|on[- ]the[- ]ground|(?<![a-z])knowledge(?![a-z])|ground truth|(?<![a-z])in person(?![a-z])|streetcomplete|every ?door"
+STREET_LEVEL = r"(?i)mapillary|kartaview|openstreetcam|panoramax|mapilio|streetside|streetlevel|street[- ]level"
+ESRI = r"(?i)(?<![a-z])esri(?![a-z])|world ?imagery"
+NAMED_IMAGERY = r"(?i)(?<![a-z])bing(?![a-z])|mapbox|maxar|digitalglobe|nearmap|vexcel"
+GOOGLE = r"(?i)google"
+ESRI_MUNICIPAL_SINCE = "2016-02-23"
+"""From this day that imagery is the city's own photographs."""
+
+
+def signals(source: Column, when: Column | None = None) -> Column:
+    """Sorted signals of a source string, whose parts (by semicolon) are read one by one; when: the time of the edit that wrote it, as text."""
+    def of(part: Column) -> Column:
+        says = {k: part.rlike(p) for k, p in {"imagery": IMAGERY_WORDS, "public": PUBLIC_IMAGERY, "city": CITY, "near": NEIGHBOURS, "esri": ESRI}.items()}
+        near = says["near"] & ~says["public"]
+        municipal = F.lit(True) if when is None else when.isNull() | (when >= ESRI_MUNICIPAL_SINCE)
+        found = {
+            "public_orthoimagery": says["public"] | ((says["city"] | near) & says["imagery"]) | (says["esri"] & municipal),
+            "kitchener_data": says["city"] & ~says["imagery"],
+            "other_government_data": (near & ~says["imagery"]) | part.rlike(GOVERNMENT),
+            "import_or_external_data": part.rlike(IMPORTED),
+            "survey": part.rlike(SURVEYED),
+            "declared_street_level_imagery": part.rlike(STREET_LEVEL),
+            "declared_unrelated_imagery": part.rlike(NAMED_IMAGERY) | (says["esri"] & ~municipal),
+            "google_named": part.rlike(GOOGLE),
+        }
+        named = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in found.items())))
+        return F.when((F.size(named) == 0) & says["imagery"], F.array(F.lit("unspecified_imagery"))).otherwise(named)
+
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.split(source, ";"), of))))
 
 
 def relation(ours: Column, theirs: Column, compatible: Mapping[str, Sequence[str]]) -> Column:
@@ -52,23 +80,26 @@ def relation(ours: Column, theirs: Column, compatible: Mapping[str, Sequence[str
 
 
 def element_ref(raw: Column) -> Column:
-    """struct(kind, id, version, problem) of references such as w123@4."""
-    kind = F.regexp_extract(raw, r"^([nwr])(\d+)(?:@(\d+))?$", 1)
-    number = F.regexp_extract(raw, r"^([nwr])(\d+)(?:@(\d+))?$", 2).try_cast("long")
-    version = F.nullif(F.regexp_extract(raw, r"^([nwr])(\d+)(?:@(\d+))?$", 3), F.lit("")).try_cast("int")
-    problem = F.when(raw.isNull() | (F.trim(raw) == ""), "empty").when(~raw.rlike(r"^[nwr]"), "unknown_kind").when(number.isNull(), "bad_id")
-    return F.struct(F.nullif(kind, F.lit("")).alias("kind"), number.alias("id"), version.alias("version"), problem.alias("problem"))
+    """struct(kind, id, version, problem) of references such as w123@4: a version is required, and version 0 is none."""
+    shape = r"^([nwr])([1-9][0-9]*)@(0|[1-9][0-9]*)$"
+    kind, number, version = (F.nullif(F.regexp_extract(raw, shape, i), F.lit("")) for i in (1, 2, 3))
+    problem = F.when(raw.isNull() | (raw == ""), "missing").when(kind.isNull(), "unrecognised_shape").when(version == "0", "version_zero")
+    names = F.when(kind == "n", "node").when(kind == "w", "way").when(kind == "r", "relation")
+    return F.struct(names.alias("kind"), number.try_cast("long").alias("id"), F.when(version != "0", version.try_cast("long")).alias("version"), problem.alias("problem"))
 
 
 def linear_range(between: Column) -> Column:
-    """struct(lo, hi, problem) of a [from, to] fraction pair; null stands for the whole."""
-    lo, hi = F.get(between, 0), F.get(between, 1)
-    problem = F.when(between.isNotNull() & (F.size(between) != 2), "length").when((lo < 0) | (hi > 1), "outside").when(lo >= hi, "order")
-    return F.struct(F.when(between.isNull(), 0.0).otherwise(lo).alias("lo"), F.when(between.isNull(), 1.0).otherwise(hi).alias("hi"), problem.alias("problem"))
+    """struct(lo, hi, malformed) of a [from, to] pair of fractions; null stands for the whole, which isn't [0, 1]."""
+    lo, hi = F.get(between, 0).cast("double"), F.get(between, 1).cast("double")
+    sound = (F.size(between) == 2) & F.coalesce((lo >= 0) & (lo < hi) & (hi <= 1), F.lit(False))
+    return F.when(between.isNotNull(), F.struct(F.when(sound, lo).alias("lo"), F.when(sound, hi).alias("hi"), (~sound).alias("malformed")))
 
 
 def age_bucket(days: Column) -> Column:
-    return F.when(days.isNull(), "unknown").when(days < 365, "under_1y").when(days < 1095, "1_to_3y").when(days < 1825, "3_to_5y").otherwise("over_5y")
+    return (
+        F.when(days.isNull(), "unknown").when(days <= 7, "0-7 days").when(days <= 30, "8-30 days").when(days <= 180, "31-180 days")
+        .when(days <= 365, "181-365 days").otherwise("over a year")
+    )
 
 
 def changed(pairs: Mapping[str, tuple[Column, Column]]) -> Column:

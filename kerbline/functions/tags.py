@@ -71,9 +71,21 @@ def smoothness_class(raw: Column) -> Column:
 
 
 def kerb(tags: Column) -> Column:
-    """The kerb tag, else what barrier=kerb says."""
-    named = lookup(KERB, worst_of(tags["kerb"], KERB_ORDER))
-    return F.coalesce(named, F.when(first_value(tags["barrier"]) == "kerb", "present_unknown"), F.lit("unknown"))
+    """The kerb tag of a way, or else its curb tag."""
+    return lookup(KERB, worst_of(F.coalesce(tags["kerb"], tags["curb"]), KERB_ORDER), "unknown")
+
+
+def node_evidence(tags: Column) -> dict[str, Column]:
+    """What a node says: its kerb (barrier=kerb asserts one of unknown height), whether it is a crossing and of which type, tactile paving."""
+    named = worst_of(tags["kerb"], KERB_ORDER)
+    paving = first_value(tags["tactile_paving"])
+    return {
+        "kerb": F.when(named.isNotNull(), lookup(KERB, named, "unknown")).when(first_value(tags["barrier"]) == "kerb", "present_unknown").otherwise("unknown"),
+        "is_crossing_node": F.coalesce(first_value(tags["highway"]) == "crossing", F.lit(False)),
+        "crossing_type": first_value(tags["crossing"]),
+        "tactile_paving": F.when(paving.isNull(), "unknown").when(paving.isin(*FALSE), "no").otherwise("yes"),
+        "barrier": first_value(tags["barrier"]),
+    }
 
 
 def worst_kerb(kerbs: Column) -> Column:
@@ -82,9 +94,15 @@ def worst_kerb(kerbs: Column) -> Column:
     return F.array_max(F.transform(kerbs, lambda k: F.struct(F.array_position(order, k).alias("rank"), k.alias("kerb"))))["kerb"]
 
 
-def positive(raw: Column, kind: str) -> Column:
-    """A number above 0 with a unit cut off, else null."""
-    n = F.regexp_replace(F.trim(raw), r"\s*m$", "").try_cast(kind)
+def whole_number(raw: Column) -> Column:
+    """The number cut to a whole one ("12.0" is 12), null below 0 or if it is none."""
+    n = first_value(raw).try_cast("double")
+    return F.when(n > -1, n.cast("int"))
+
+
+def positive_number(raw: Column) -> Column:
+    """The digits, points and minus signs of the text as a number above 0 ("1.5 metres" is 1.5), else null."""
+    n = F.regexp_replace(first_value(raw), r"[^\d.\-]", "").try_cast("double")
     return F.when(n > 0, n)
 
 
@@ -95,12 +113,12 @@ def steps(tags: Column) -> Column:
 
 
 def step_count(tags: Column) -> Column:
-    return F.when(steps(tags) != "no", positive(tags["step_count"], "int"))
+    return F.when(steps(tags) != "no", whole_number(tags["step_count"]))
 
 
 def incline_percent(raw: Column) -> Column:
-    """A slope in percent from '4%', '-4', '3deg' or '1/12'; words like up and down give no number."""
-    text = F.lower(F.trim(raw))
+    """A slope in percent from '4%', '-4', '3deg' or '1/12', the first of several; words like up and down give no number."""
+    text = first_value(raw)
     number, unit = r"^([-+]?\d+(?:\.\d+)?)\s*", {"percent": r"%?$", "degrees": r"(?:°|deg)$", "ratio": r"/\s*(\d+(?:\.\d+)?)$"}
     found = {k: F.nullif(F.regexp_extract(text, number + u, 1), F.lit("")).try_cast("double") for k, u in unit.items()}
     run = F.nullif(F.regexp_extract(text, number + unit["ratio"], 2), F.lit("")).try_cast("double")
@@ -109,7 +127,7 @@ def incline_percent(raw: Column) -> Column:
 
 def incline_direction(raw: Column) -> Column:
     n, v = incline_percent(raw), first_value(raw)
-    return F.when(v.isin("up", "down"), v).when(n > 0, "up").when(n < 0, "down").when(n == 0, "flat").otherwise("unknown")
+    return F.when(v.isin("up", "down"), v).when(n > 0, "up").when(n < 0, "down").otherwise("unknown")
 
 
 def conveying(tags: Column) -> Column:
@@ -122,34 +140,47 @@ def reversed_conveying(value: Column) -> Column:
 
 
 def foot_direction(tags: Column) -> Column:
-    """struct(forward, backward, reason, ambiguous): what a person on foot may do, the most specific statement last.
+    """struct(forward, backward, reason, ambiguous): what a person on foot may do, each statement over the ones before.
 
-    A bare oneway binds on stairs only; oneway:foot and foot:forward / foot:backward follow. If both ways come out
-    denied the tags contradict each other: both stay open and the segment is ambiguous.
+    A bare oneway binds on stairs only; oneway:foot follows, then foot:forward and foot:backward, then the direction in which a moving
+    walkway carries, which yields to oneway:foot=no only. What can't be read changes nothing and makes the segment ambiguous, as does a
+    walkway of unknown direction. If both ways come out denied the tags contradict each other: both stay open and it is ambiguous.
     """
-    def value(key: str) -> Column:
-        return first_value(tags[key])
-
-    highway, bare, foot = value("highway"), value("oneway"), value("oneway:foot")
-    ahead, back = value("foot:forward"), value("foot:backward")
-    binds = F.coalesce(highway.isin("steps", "via_ferrata"), F.lit(False))
-    escalator = conveying(tags)
-    forward = F.when(ahead.isin(*FALSE), False).when(ahead.isin(*ALLOW), True).when(foot.isin(*REVERSED), False).when(foot.isNotNull(), True).when(escalator == "backward", False).when(binds & bare.isin(*REVERSED), False).otherwise(True)
-    backward = F.when(back.isin(*FALSE), False).when(back.isin(*ALLOW), True).when(foot.isin(*TRUE), False).when(foot.isNotNull(), True).when(escalator == "forward", False).when(binds & bare.isin(*ALLOW), False).otherwise(True)
-    reason = F.when(ahead.isNotNull() | back.isNotNull(), "foot:direction").when(foot.isNotNull(), "oneway:foot").when(escalator.isin("forward", "backward"), "conveying").when(binds & bare.isNotNull(), "oneway").otherwise("")
-    known = (*ALLOW, *FALSE, *REVERSED)
-    unread = F.coalesce(~ahead.isin(*known), F.lit(False)) | F.coalesce(~back.isin(*known), F.lit(False)) | F.coalesce(~foot.isin(*known), F.lit(False))
-    shut = ~forward & ~backward
-    return F.struct((forward | shut).alias("forward"), (backward | shut).alias("backward"), reason.alias("reason"), (unread | shut).alias("ambiguous"))
+    def among(key: str, values: Sequence[str]) -> Column:
+        return F.coalesce(first_value(tags[key]).isin(*values), F.lit(False))
+
+    def unread(key: str, *known: Sequence[str]) -> Column:
+        return first_value(tags[key]).isNotNull() & ~among(key, [v for k in known for v in k])
+
+    binds = among("highway", ("steps", "via_ferrata"))
+    ahead, back = F.lit(True), F.lit(True)
+    for key, applies in (("oneway", binds), ("oneway:foot", F.lit(True))):
+        turned, onward = applies & among(key, REVERSED), applies & among(key, ALLOW)
+        ahead, back = F.when(turned, False).when(onward, True).otherwise(ahead), F.when(turned, True).when(onward, False).otherwise(back)
+    both = among("oneway:foot", FALSE)
+    ahead, back = both | ahead, both | back
+    ahead = F.when(among("foot:forward", FALSE), False).when(among("foot:forward", ALLOW), True).otherwise(ahead)
+    back = F.when(among("foot:backward", FALSE), False).when(among("foot:backward", ALLOW), True).otherwise(back)
+    carried = conveying(tags)
+    ahead, back = ahead & (both | (carried != "backward")), back & (both | (carried != "forward"))
+    shut = ~ahead & ~back
+    doubt = unread("oneway:foot", FALSE, REVERSED, ALLOW) | unread("foot:forward", FALSE, ALLOW) | unread("foot:backward", FALSE, ALLOW) | (carried == "unknown_direction")
+    said = {
+        "oneway": binds & among("oneway", (*REVERSED, *ALLOW)), "oneway:foot": first_value(tags["oneway:foot"]).isNotNull(), "foot:forward": first_value(tags["foot:forward"]).isNotNull(),
+        "foot:backward": first_value(tags["foot:backward"]).isNotNull(), "conveying": (carried == "unknown_direction") | (~both & carried.isin("forward", "backward")), "contradiction": shut,
+    }
+    reason = F.array_join(F.array_compact(F.array(*(F.when(v, F.lit(k)) for k, v in said.items()))), "; ")
+    return F.struct((ahead | shut).alias("forward"), (back | shut).alias("backward"), reason.alias("reason"), (doubt | shut).alias("ambiguous"))
 
 
 def vehicle_oneway_ignored(tags: Column) -> Column:
-    """Whether the way has a oneway rule that doesn't bind people on foot."""
-    return F.coalesce(first_value(tags["oneway"]).isin(*ALLOW, *REVERSED) & ~first_value(tags["highway"]).isin("steps", "via_ferrata"), F.lit(False))
+    """Whether the way has a oneway rule, which as such is one for vehicles."""
+    return F.coalesce(~first_value(tags["oneway"]).isin(*FALSE), F.lit(False))
 
 
-def crossing_type(tags: Column) -> Column:
-    return F.coalesce(first_value(tags["crossing"]), F.when(first_value(tags["crossing:signals"]).isin(*TRUE), "traffic_signals"))
+def is_crossing(tags: Column) -> Column:
+    kinds = [F.coalesce(first_value(tags[k]) == "crossing", F.lit(False)) for k in ("highway", "footway", "cycleway")]
+    return kinds[0] | kinds[1] | kinds[2] | F.coalesce(~first_value(tags["crossing"]).isin("no", "separate"), F.lit(False))
 
 
 def edge_features(tags: Column) -> dict[str, Column]:
@@ -163,38 +194,46 @@ def edge_features(tags: Column) -> dict[str, Column]:
         "step_count": step_count(tags),
         "surface": worst_of(tags["surface"], SURFACE_ORDER),
         "surface_class": surface_class(tags["surface"]),
+        "smoothness": worst_of(tags["smoothness"], SMOOTHNESS_ORDER),
         "smoothness_class": smoothness_class(tags["smoothness"]),
         "incline_percent": incline_percent(tags["incline"]),
         "incline_direction": incline_direction(tags["incline"]),
         "kerb": kerb(tags),
-        "is_crossing": F.coalesce((first_value(tags["highway"]) == "crossing") | (first_value(tags["footway"]) == "crossing") | (first_value(tags["path"]) == "crossing"), F.lit(False)),
-        "crossing_type": crossing_type(tags),
-        "tactile_paving": tri_state(tags["tactile_paving"]),
-        "lit": tri_state(tags["lit"]),
-        "width_m": positive(tags["width"], "double"),
+        "sidewalk": first_value(tags["sidewalk"]),
+        "is_crossing": is_crossing(tags),
+        "crossing_type": first_value(tags["crossing"]),
+        **{k: tri_state(tags[k]) for k in ("tactile_paving", "lit", "indoor", "bridge", "tunnel")},
+        "width_m": positive_number(tags["width"]),
         "conveying": conveying(tags),
         "foot_forward": directions["forward"],
         "foot_backward": directions["backward"],
         "direction_reason": directions["reason"],
-        "conflicts": F.array_compact(F.array(*(F.when(is_conflicted(tags[k]), F.lit(k)) for k in ("surface", "smoothness", "kerb", "incline", "width")))),
+        "ambiguous_direction": directions["ambiguous"],
+        "vehicle_oneway_ignored": vehicle_oneway_ignored(tags),
+        "conflicts": F.array_compact(F.array(*(F.when(is_conflicted(tags[k]), F.lit(k)) for k in ("surface", "smoothness", "incline", "width", "kerb", "foot", "access")))),
     }
 
 
+def effective_grade(mapped: Column, derived: Column) -> Column:
+    """struct(percent, source, disagreement): the mapped slope before the one from heights, and how far that is from it where both exist."""
+    source = F.when(mapped.isNotNull(), "osm_incline").when(derived.isNotNull(), "derived_elevation")
+    return F.struct(F.coalesce(mapped, derived).alias("percent"), source.alias("source"), (derived - mapped).alias("disagreement"))
+
+
 def unknown_attributes(features: Mapping[str, Column] | None = None) -> Column:
     """Names of the attributes that nobody recorded."""
-    f = features or {k: F.col(k) for k in ("surface_class", "smoothness_class", "steps", "effective_grade", "width_m", "is_crossing", "kerb", "lit")}
+    f = features or {k: F.col(k) for k in ("surface_class", "smoothness_class", "steps", "effective_grade", "is_crossing", "kerb")}
     return F.array_compact(F.array(
         F.when(f["surface_class"] == "unknown", F.lit("surface")),
         F.when(f["smoothness_class"] == "unknown", F.lit("smoothness")),
         F.when(f["steps"] == "unknown", F.lit("steps")),
         F.when(f["effective_grade"].isNull(), F.lit("incline")),
-        F.when(f["width_m"].isNull(), F.lit("width")),
         F.when(f["is_crossing"] & (f["kerb"] == "unknown"), F.lit("kerb")),
     ))
 
 
 def derived_grade(start_m: Column, end_m: Column, length_m: Column, resolution_m: Column | float, cap: float = 25.0) -> Column:
     """Percent rise between two heights; null where the piece is too short for the raster's resolution or beyond belief."""
-    grade = F.round(F.try_divide((end_m - start_m) * 100, length_m), 2)
+    grade = F.try_divide((end_m - start_m) * 100, length_m)
     shortest = F.greatest(F.lit(8.0), 5 * (resolution_m if isinstance(resolution_m, Column) else F.lit(float(resolution_m))))
-    return F.when((length_m >= shortest) & (F.abs(grade) <= cap), grade)
+    return F.when((length_m >= shortest) & (F.abs(grade) <= cap), F.round(grade, 2))

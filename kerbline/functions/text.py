@@ -7,8 +7,33 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-# Street words and their usual short forms.
-ABBREVIATIONS = {"st": "street", "rd": "road", "ave": "avenue", "av": "avenue", "blvd": "boulevard", "dr": "drive", "ln": "lane", "ct": "court", "cres": "crescent", "pl": "place", "sq": "square", "pkwy": "parkway", "hwy": "highway", "n": "north", "s": "south", "e": "east", "w": "west", "univ": "university", "ctr": "centre", "center": "centre"}
+# Written forms that mean the same, words that an initialism skips, and what a code looks like.
+ABBREVIATIONS = {
+    "av": "avenue",
+    "ave": "avenue",
+    "blvd": "boulevard",
+    "center": "centre",
+    "cir": "circle",
+    "cres": "crescent",
+    "ct": "court",
+    "dr": "drive",
+    "e": "east",
+    "hwy": "highway",
+    "ln": "lane",
+    "n": "north",
+    "pkwy": "parkway",
+    "pl": "place",
+    "rd": "road",
+    "s": "south",
+    "sq": "square",
+    "st": "street",
+    "terr": "terrace",
+    "theater": "theatre",
+    "trl": "trail",
+    "w": "west",
+}
+SKIPPED = ("a", "an", "and", "at", "for", "in", "of", "on", "the")
+CODE = "^(?=.{2,6}$)[a-z]{1,4}[0-9]{0,2}$"
 MAX_TERMS = 8
 
 
@@ -32,7 +57,9 @@ def expanded(text: Column) -> Column:
 
 
 def normalise(text: Column) -> Column:
-    return expanded(plain_text(fold_accents(text)))
+    """Lower case without accents, apostrophes and punctuation, & as and, abbreviations in full: a-z, 0-9 and single spaces only."""
+    t = F.regexp_replace(F.replace(F.lower(fold_accents(text)), F.lit("&"), F.lit(" and ")), "['\u2019`]", "")
+    return expanded(F.trim(F.regexp_replace(t, "[^a-z0-9]+", " ")))
 
 
 def terms(text: Column) -> Column:
@@ -41,19 +68,21 @@ def terms(text: Column) -> Column:
 
 
 def compact(text: Column) -> Column:
-    return F.regexp_replace(text, " ", "")
+    """A text as typed the way codes are written: small letters and digits run together, no abbreviation in full."""
+    return F.regexp_replace(F.lower(fold_accents(text)), "[^a-z0-9]+", "")
 
 
 def code_of(text: Column) -> Column:
-    """Short upper-case codes such as 'E7' or 'SCH': up to 6 letters and digits, else null."""
-    t = F.upper(F.trim(text))
-    return F.when(t.rlike(r"^(?=.*[A-Z])[A-Z0-9]{2,6}$"), t)
+    """A recorded code such as E7, SLC or P.A.C.: one to four letters, then at most two digits, two characters at least; else null."""
+    t = F.regexp_replace(F.lower(text), "[^a-z0-9]+", "")
+    return F.when(t.rlike(CODE), t)
 
 
 def initialism(text: Column) -> Column:
-    """First letters of three or more words."""
-    words = F.filter(F.split(text, " "), lambda w: ~w.isin("of", "the", "and", "for", "at", ""))
-    return F.when(F.size(words) >= 3, F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), ""))
+    """Initials of a name of two words or more without the skipped ones, numbers whole; null unless they are 2 to 6 characters."""
+    words = F.filter(F.split(normalise(text), " "), lambda w: (w != "") & ~w.isin(*SKIPPED))
+    letters = F.array_join(F.transform(words, lambda w: F.when(w.rlike("^[0-9]+$"), w).otherwise(F.substring(w, 1, 1))), "")
+    return F.when((F.size(words) >= 2) & F.char_length(letters).between(2, 6), letters)
 
 
 def matches_terms(text: Column, wanted: Column) -> Column:

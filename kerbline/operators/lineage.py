@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.fields import signals
 
 # What a signal says about an unrelated source, and labels from least to most independent.
-NAMED, SHARED = "municipal", ("import",)
-GEOMETRY_EVIDENCE, TAG_EVIDENCE = ("survey", "street_photo", "imagery"), ("survey", "street_photo")
-DECLARED = ("survey", "street_photo")
+NAMED, SHARED = "kitchener_data", ("public_orthoimagery", "other_government_data", "import_or_external_data")
+GEOMETRY_EVIDENCE = ("survey", "declared_street_level_imagery", "declared_unrelated_imagery")
+TAG_EVIDENCE = ("survey", "declared_street_level_imagery")
+DECLARED = ("survey", "declared_street_level_imagery", "declared_unrelated_imagery")
 LABELS = ("known", "possible", "unknown", "independent")
 
 

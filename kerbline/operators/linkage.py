@@ -20,14 +20,14 @@ def classified_sources(rows: DataFrame, dataset: str = "OpenStreetMap") -> DataF
     turn = F.row_number().over(W.partitionBy(*columns).orderBy(F.lit(0)))
     kind = (
         F.when(F.col("_turn") > 1, "duplicate").when(~F.col("dataset").eqNullSafe(F.lit(dataset)), "other_dataset").when(F.col("ref.problem").isNotNull(), "malformed_id")
-        .when(F.coalesce(F.length("property"), F.lit(0)) > 0, "property_only").when(F.col("ref.kind") != "w", "other_element").when(F.col("range.problem").isNotNull(), "malformed_range").otherwise("way")
+        .when(F.coalesce(F.length("property"), F.lit(0)) > 0, "property_only").when(F.col("ref.kind") != "way", "other_element").when(F.col("range.malformed"), "malformed_range").otherwise("way")
     )
     return rows.withColumns({"ref": ref, "range": span, "_turn": turn}).withColumn("kind", kind).drop("_turn")
 
 
 def way_links(classified: DataFrame) -> DataFrame:
     """(segment_id, way_id, version, update_time, partial) of the rows of kind way."""
-    partial = (F.col("range.lo") > 0) | (F.col("range.hi") < 1)
+    partial = F.coalesce((F.col("range.lo") > 0) | (F.col("range.hi") < 1), F.lit(False))  # no range: the whole
     return classified.filter("kind = 'way'").select("segment_id", F.col("ref.id").alias("way_id"), F.col("ref.version").alias("version"), "update_time", partial.alias("partial"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -35,31 +36,53 @@ def confusion(pairs: DataFrame, first: str, second: str) -> DataFrame:
     return pairs.groupBy(first, second).agg(F.count("*").alias("n"))
 
 
-def bootstrap(rows: DataFrame, value: str, draws: int = 2000, seed: int = 7, level: float = 0.95) -> DataFrame:
-    """(low, high): the percentile interval of a mean under resampling.
-
-    Each row gets a Poisson(1) count in each draw from a hash, so no draw needs the number of rows and all draws are one grouped sum over
-    draws keys with partial aggregation.
-    """
-    u = (F.pmod(F.xxhash64(F.lit(seed), "draw", "_row"), F.lit(1 << 53)) / float(1 << 53)).alias("u")
-    cuts, p, total = [], 2.718281828459045 ** -1, 0.0
+def _draw_weight(key: Column, draw: Column) -> Column:
+    """A Poisson(1) count from the md5 of key:draw: 52 bits of it as a number in [0, 1), met with the cumulated probabilities."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), draw.cast("string")).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    cuts, p, total = [], math.exp(-1), 0.0
     for k in range(8):
         total += p
         cuts.append(total)
         p /= k + 1
-    times = sum((F.when(F.col("u") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    drawn = rows.select(F.col(value).cast("double").alias("v"), F.xxhash64(*rows.columns).alias("_row")).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).select("v", "draw", u).withColumn("k", times)
-    means = drawn.groupBy("draw").agg(F.try_divide(F.sum(F.col("v") * F.col("k")), F.sum("k")).alias("m"))
-    return means.agg(F.expr(f"percentile(m, {(1 - level) / 2})").alias("low"), F.expr(f"percentile(m, {(1 + level) / 2})").alias("high"))
+    return sum((F.when(u >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+
+
+def bootstrap(records: DataFrame, key: str, draws: int = 2000, level: float = 0.95) -> DataFrame:
+    """(measure, low, high): percentile intervals of precision, recall and F1 under resampling of records (key, tp, fp, fn).
+
+    Each record gets its own count in each draw (see _draw_weight), so no draw needs the number of records and all draws are one grouped
+    sum over draws keys with partial aggregation. A draw without a measure's denominator doesn't count for it.
+    """
+    drawn = records.select(key, "tp", "fp", "fn", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("k", _draw_weight(F.col(key), F.col("draw"))).filter("k > 0")
+    sums = drawn.groupBy("draw").agg(*(F.sum(F.col(c) * F.col("k")).alias(c) for c in ("tp", "fp", "fn"))).select(precision_recall(F.col("tp"), F.col("fp"), F.col("fn")).alias("m"))
+    measures = sums.select(F.explode(F.array(*(F.struct(F.lit(n).alias("measure"), F.col(f"m.{n}").alias("v")) for n in ("precision", "recall", "f1")))).alias("e")).select("e.*")
+    return measures.groupBy("measure").agg(F.expr(f"percentile(v, {(1 - level) / 2})").alias("low"), F.expr(f"percentile(v, {(1 + level) / 2})").alias("high"))
 
 
 def allocated(sizes: DataFrame, target: int, minimum: int = 1) -> DataFrame:
-    """sizes (stratum, n) with take: target rows shared in proportion by largest remainders, at least minimum each, never above n."""
-    w = W.partitionBy()
-    exact = F.col("n") * float(target) / F.sum("n").over(w)
-    rows = sizes.withColumn("_floor", F.greatest(F.floor(exact), F.least(F.lit(minimum), F.col("n")))).withColumn("_part", exact - F.floor(exact))
-    rows = rows.withColumn("_left", F.lit(target) - F.sum("_floor").over(w)).withColumn("_nth", F.row_number().over(W.orderBy(F.col("_part").desc(), "stratum")))
-    return rows.withColumn("take", F.least(F.col("n"), F.col("_floor") + F.when(F.col("_nth") <= F.col("_left"), 1).otherwise(0))).drop("_floor", "_part", "_left", "_nth")
+    """sizes (stratum, n) with take: min(n, minimum) first, then rounds that share what is left of target by size among strata with room.
+
+    A round grants the whole part of each share; if no share is whole, one row goes to the largest fraction, the larger stratum, the lesser
+    name. Strata are a few named classes: they meet in one row, on which the rounds run.
+    """
+    one = sizes.groupBy().agg(F.array_sort(F.collect_list(F.struct("stratum", F.col("n").cast("long").alias("n"), F.least(F.col("n"), F.lit(minimum)).cast("long").alias("take")))).alias("s"))
+
+    def total(s: Column, of) -> Column:
+        return F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a + of(x))
+
+    def round_(s: Column, _: Column) -> Column:
+        left = F.lit(target) - total(s, lambda x: x["take"])
+        weight = total(s, lambda x: F.when(x["n"] > x["take"], x["n"]).otherwise(F.lit(0).cast("long")))
+        share = lambda x: F.when(x["n"] > x["take"], F.try_divide(left * x["n"], weight)).otherwise(0.0)
+        grant = lambda x: F.least(F.floor(share(x)), x["n"] - x["take"]).cast("long")
+        given = total(s, grant)
+        fraction = F.transform(F.filter(s, lambda x: x["n"] > x["take"]), lambda x: F.struct((F.floor(share(x)) - share(x)).alias("f"), (-x["n"]).alias("n"), x["stratum"].alias("stratum")))
+        best = F.array_min(fraction)["stratum"]
+        add = lambda x: F.when(given > 0, grant(x)).when(x["stratum"].eqNullSafe(best), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
+        grown = F.transform(s, lambda x: F.struct(x["stratum"].alias("stratum"), x["n"].alias("n"), (x["take"] + add(x)).alias("take")))
+        return F.when((left > 0) & (weight > 0), grown).otherwise(s)
+
+    return one.select(F.explode(F.aggregate(F.sequence(F.lit(1), F.lit(max(1, target))), F.col("s"), round_)).alias("s")).select("s.*")
 
 
 def hash_draw(rows: DataFrame, stratum: str, key: str, take: int, seed: str) -> DataFrame:

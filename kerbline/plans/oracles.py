@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .rule_queries import RULE_ORACLES
 from .study_oracles import STUDY_ORACLES
 
 
@@ -13,6 +14,19 @@ def _relaxed(name: str, edges: str, rounds: int = 24) -> str:
     return ",\n".join(out)
 
 
+def _geodesic(source: str, keys: str, steps: int = 20) -> str:
+    """CTEs up to geo ({keys}, m): metres on the WGS84 ellipsoid between (lon1, lat1) and (lon2, lat2) of source, by Vincenty's formula."""
+    f, a = "(1 / 298.257223563::double)", 6378137.0
+    angles = f"""(select *, {f} / 16 * ca * (4 + {f} * (4 - 3 * ca)) c from (select *, case when ca = 0 then 0 else cs - 2 * sin(u1) * sin(u2) / ca end cm
+  from (select *, 1 - sa * sa ca, atan2(ss, cs) sg from (select *, case when ss = 0 then 0 else cos(u1) * cos(u2) * sin(lam) / ss end sa
+  from (select *, sqrt((cos(u2) * sin(lam)) ** 2 + (cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam)) ** 2) ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) cs from it))))) x"""
+    return f"""v as (select {keys}, radians(lon2 - lon1) d, atan((1 - {f}) * tan(radians(lat1))) u1, atan((1 - {f}) * tan(radians(lat2))) u2 from {source}),
+it as (select {keys}, d, u1, u2, d lam, 0 step from v union all select {keys}, d, u1, u2, d + (1 - c) * {f} * sa * (sg + c * ss * (cm + c * cs * (2 * cm * cm - 1))), step + 1 from {angles} where step < {steps}),
+w as (select *, ca * (1 / (1 - {f}) ** 2 - 1) uu from {angles} where step = {steps}),
+z as (select *, 1 + uu / 16384 * (4096 + uu * (-768 + uu * (320 - 175 * uu))) p, uu / 1024 * (256 + uu * (-128 + uu * (74 - 47 * uu))) q from w),
+geo as (select {keys}, {a} * (1 - {f}) * p * (sg - q * ss * (cm + q / 4 * (cs * (2 * cm * cm - 1) - q / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))) m from z)"""
+
+
 def _edges(name: str, steps_block: str) -> str:
     """Both directions of the nation network under the two profiles."""
     return f"""{name}_seg as (
@@ -50,7 +64,7 @@ from r group by profile""",
     "quantile_profile": "with r as (select *, row_number() over (partition by o_orderpriority order by o_totalprice) i, count(*) over (partition by o_orderpriority) n from orders) select o_orderpriority, round(max(o_totalprice) filter (i = greatest(1, ceil(n * 0.5))), 4) p50, round(max(o_totalprice) filter (i = greatest(1, ceil(n * 0.95))), 4) p95, round(quantile_cont(o_totalprice, 0.5), 4) median, round(avg(o_totalprice), 4) mean from r group by all",
     "modal_with_ties": "with c as (select c_mktsegment, c_nationkey, o_orderpriority, count(*) n from orders join customer on c_custkey = o_custkey group by all) select c_mktsegment, c_nationkey, o_orderpriority, n from (select *, row_number() over (partition by c_mktsegment, c_nationkey order by n desc, o_orderpriority) i from c) where i = 1",
     "multi_key_rollup": "select r_name, n_name, c_mktsegment, count(*) n from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by rollup (r_name, n_name, c_mktsegment)",
-    "semi_anti_consistency": "select c_custkey id, 'first' only_in from customer where c_custkey not in (select o_custkey from orders) union select o_custkey, 'second' from orders where o_custkey not in (select c_custkey from customer)",
+    "semi_anti_consistency": "select c_custkey - 20 id, 'first' only_in from customer where c_custkey - 20 not in (select o_custkey from orders) union select o_custkey, 'second' from orders where o_custkey not in (select c_custkey - 20 from customer)",
     "outer_publication_join": """with r as (select o_custkey id, o_orderkey v from orders where o_totalprice > 200000), bad as (select id from r group by id having count(*) > 1)
 select coalesce(c_custkey, r.id) id, c_name left_value, v right_value, case when r.id is null then 'left' when c_custkey is null then 'right' else 'both' end side from (select * from customer where c_custkey not in (select id from bad)) full join (select * from r where id not in (select id from bad)) r on c_custkey = r.id
 union all select c_custkey, c_name, null, 'left_unjoinable' from customer where c_custkey in (select id from bad)
@@ -59,7 +73,7 @@ union all select id, null, v, 'right_unjoinable' from r where id in (select id f
     "link_cardinality": "with p as (select distinct l_orderkey a, l_partkey b from lineitem where l_quantity >= 49), c as (select *, count(*) over (partition by a) na, count(*) over (partition by b) nb from p) select case when na = 1 and nb = 1 then '1:1' when nb = 1 then '1:N' when na = 1 then 'N:1' else 'N:M' end cardinality, count(*) links from c group by all",
     "as_of_value": "with f as (select user_id, ts, max(event_type) event_type from events group by all), a as (select event_id, user_id, ts + interval 1 hour as at from events where event_id % 10 = 0) select event_id, event_type from a asof left join f on a.user_id = f.user_id and a.at >= f.ts",
     "first_rule_stratum": "select case when p_size > 40 then 'large' when p_retailprice > 1500 then 'dear' when p_size < 10 then 'small' else 'rest' end stratum, count(*) n, min(p_partkey) as first from part group by all",
-    "field_states": "select lang, case when lang = 'es' then 'not_published' when quality is null then 'null' when quality = 0 then 'default' else 'value' end state, count(*) n from documents left join labels using (doc_id) group by all",
+    "field_states": "select lang, case when lang = 'es' then 'not_published' when quality is null then 'null' when quality = 0 then 'template_default' else 'non_default' end state, count(*) n from documents left join labels using (doc_id) group by all",
     "worst_of_rank": "select l_orderkey, case max(case l_returnflag when 'N' then 1 when 'A' then 2 when 'R' then 3 end) when 1 then 'n' when 2 then 'a' else 'r' end worst, count(distinct l_returnflag) > 1 conflicted from lineitem group by all",
     "text_normalise": r"""with t as (select doc_id, trim(regexp_replace(regexp_replace(replace(lower("text"), '&', ' and '), '[''’]', '', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')) t from documents) select doc_id, md5(t) digest, len(string_split(t, ' '))::bigint words from t""",
     "trigram_similarity": """with p as (select p_partkey, lower(p_name) as name from part), g as (select p_partkey, list_distinct(flatten(list_transform(list_filter(string_split(name, ' '), lambda w: w <> ''), lambda w: list_transform(range(1, (length(w) + 2)::bigint), lambda i: substr('  ' || w || ' ', i, 3))))) g from p),
@@ -75,24 +89,41 @@ select query, p_partkey, round(s, 6) similarity from (select *, row_number() ove
     "cumulative_position": "select l_orderkey, l_linenumber, (sum(l_quantity::bigint) over w - l_quantity::bigint)::bigint from_m, (sum(l_quantity::bigint) over w)::bigint to_m from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity rows unbounded preceding)",
     "value_introduced": "with m as (select *, coalesce(lag(event_type) over (partition by user_id order by event_id) <> event_type, true) c from events) select user_id, max_by(event_type, event_id) event_type, max(event_id) filter (c) introduced, count(*) filter (c) changes from m group by all",
     "unit_share": "select l_orderkey, l_linenumber, round(l_quantity / sum(l_quantity) over (partition by l_orderkey), 6) unit_share from lineitem",
-    "way_segments": """with r as (select l_orderkey w, l_partkey a, lead(l_partkey) over v b, row_number() over v - 1 i from lineitem window v as (partition by l_orderkey order by l_linenumber, l_partkey)), n as (select p_partkey k, p_partkey % 100 * 0.001::double lon, p_partkey % 37 * 0.001::double lat from part where p_size > 3),
-d as (select w, i, asin(sqrt(least(1.0, sin(radians(y.lat - x.lat) / 2) ^ 2 + cos(radians(x.lat)) * cos(radians(y.lat)) * sin(radians(y.lon - x.lon) / 2) ^ 2))) * 2 * 6371008.8 m from r join n x on x.k = a join n y on y.k = b)
-select w way_id, count(*) n, round(sum(m), 2) length_m, min(i) first_pair from d where m > 0 group by all""",
+    "way_segments": f"""with recursive r as (select l_orderkey w, l_partkey a, lead(l_partkey) over v b, row_number() over v - 1 i from lineitem window v as (partition by l_orderkey order by l_linenumber, l_partkey)), n as (select p_partkey k, p_partkey % 100 * 0.001::double lon, p_partkey % 37 * 0.001::double lat from part where p_size > 3),
+g as (select w, i, x.lon lon1, x.lat lat1, y.lon lon2, y.lat lat2 from r join n x on x.k = a join n y on y.k = b),
+{_geodesic("g", "w, i", 8)}
+select w way_id, count(*) n, round(sum(m), 1) length_m, min(i) first_pair from geo where m > 0 group by all""",
     "connected_components": """with recursive t as (select max(p_partkey) top from part), e as (select p_partkey a, p_partkey * 7 % top + 1 b from part, t where p_size <= 20), u as (select a, b from e union select b, a from e), r(node, seen) as (select a, a from u union select r.node, u.b from r join u on u.a = r.seen)
 select node, min(seen) root from r group by all""",
     "component_sizes": """with recursive t as (select max(p_partkey) top from part), e as (select p_partkey a, p_partkey * 7 % top + 1 b from part, t where p_size <= 20), u as (select a, b from e union select b, a from e), r(node, seen) as (select a, a from u union select r.node, u.b from r join u on u.a = r.seen), c as (select node, min(seen) root from r group by all)
 select row_number() over (order by count(*) desc, root) - 1 part, count(*) size, min(node) first_node from c group by root""",
     "content_hash_rows": "select n_nationkey, sha256(n_nationkey || '|' || n_name || '|' || n_regionkey) row_sha256 from nation",
     "stratified_hash_sample": "select lang, doc_id, draw from (select lang, doc_id, row_number() over (partition by lang order by sha256('s1:' || doc_id)) draw from documents) where draw <= 10",
-    "sample_allocation": "with s as (select source stratum, count(*) n from documents group by all), f as (select *, n * 60.0::double / sum(n) over () e from s), g as (select *, greatest(floor(e)::bigint, least(2, n)) fl, e - floor(e) p from f), h as (select *, 60 - sum(fl) over () l, row_number() over (order by p desc, stratum) i from g) select stratum, n, least(n, fl + case when i <= l then 1 else 0 end)::bigint take from h",
+    "sample_allocation": """with recursive z as (select source stratum, count(*) n from documents group by all),
+s as (select list({'stratum': stratum, 'n': n, 'take': least(n, 2)} order by stratum) l, 0 step from z
+  union all select list_transform(l, lambda x: {'stratum': x.stratum, 'n': x.n, 'take': x.take + case when given > 0 then case when x.n > x.take then least(floor(lo * x.n / weight)::bigint, x.n - x.take) else 0 end when x.stratum = best then 1 else 0 end}), step + 1
+  from (select *, list_sum(list_transform(room, lambda x: least(floor(lo * x.n / weight)::bigint, x.n - x.take)))::bigint given,
+      list_sort(list_transform(room, lambda x: {'f': floor(lo * x.n / weight) - lo * x.n / weight, 'n': -x.n, 's': x.stratum}))[1].s best
+    from (select *, list_sum(list_transform(room, lambda x: x.n))::double weight, 60 - list_sum(list_transform(l, lambda x: x.take))::bigint lo
+      from (select *, list_filter(l, lambda x: x.n > x.take) room from s)) where lo > 0 and len(room) > 0) where step < 60)
+select x.stratum, x.n::bigint n, x.take::bigint take from (select unnest(l) x from (select l from s order by step desc limit 1))""",
     "wilson_prf": "with c as (select count(*) filter (quality = 1 and toxic = 1) tp, count(*) filter (quality = 1 and toxic = 0) fp, count(*) filter (quality = 0 and toxic = 1) fn from labels), d as (select *, (tp + fp)::double n, tp / (tp + fp)::double p, 1.959963984540054 z from c) select tp, fp, fn, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) low, round((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) high, round(p, 6) \"precision\", round(tp / (tp + fn), 6) recall, round(2 * tp / (2 * tp + fp + fn), 6) f1 from d",
     "confusion_agreement": "select quality, toxic, count(*) n from labels group by all",
     "grid_tune": "with g as (select unnest(range(1, 11)) * 200 least), s as (select g.least, count(*) filter (n_chars >= g.least and quality = 1) tp, count(*) filter (n_chars >= g.least and quality <> 1) fp, count(*) filter (n_chars < g.least and quality = 1) fn from documents join labels using (doc_id), g group by all), f as (select *, 2 * tp / (2 * tp + fp + fn) v from s) select least, tp, fp, fn, round(v, 6) f1, row_number() over (order by v desc nulls last, fp, least) = 1 best from f",
     "set_outcomes": """with o as (select l_orderkey, coalesce(list(distinct l_linenumber) filter (l_quantity > 25), []) t, coalesce(list(distinct l_linenumber) filter (l_discount > 0.04), []) g from lineitem group by all), c as (select t, g, len(list_intersect(t, g)) tp from o)
 select case when list_sort(t) = list_sort(g) then 'exact' when tp > 0 then 'partial' when len(g) = 0 then 'missed' when len(t) = 0 then 'invented' else 'wrong' end outcome, count(*) n, sum(tp)::bigint tp, sum(len(g) - tp)::bigint fp, sum(len(t) - tp)::bigint fn from c group by all""",
     "table_rows": " union all ".join(f"select '{t}' as name, count(*) n from {t}" for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")),
-    "geodesic_check": "select n_nationkey, round(asin(sqrt(least(1.0, sin(radians(n_nationkey * 2.0 - 20) / 2) ^ 2 + cos(radians(n_nationkey * 2.0 - 20)) * sin(radians(n_nationkey * 3.0 - 40) / 2) ^ 2))) * 2 * 6371008.8, 2) haversine_m from nation",
+    "geodesic_check": f"""with recursive g as (select n_nationkey, 0.0::double lon1, 0.0::double lat1, n_nationkey * 3.0::double - 40 lon2, n_nationkey * 2.0::double - 20 lat2 from nation),
+{_geodesic("g", "n_nationkey, lon2, lat2")}
+select n_nationkey, round(asin(sqrt(least(1.0, sin(radians(lat2) / 2) ** 2 + cos(radians(lat2)) * sin(radians(lon2) / 2) ** 2))) * 2 * 6371008.8, 2) haversine_m, round(m, 2) geodesic_m from geo""",
+    "schema_contract": "select * from (values ('n_nationkey', 'mismatched', 'int, not bigint'), ('n_population', 'missing', 'bigint'), ('n_regionkey', 'additional', 'int')) v(\"column\", problem, detail)",
+    "bootstrap_interval": """with r as (select doc_id, (toxic = 0 and quality = 1)::int tp, (toxic = 0 and quality <> 1)::int fp, (toxic <> 0 and quality = 1)::int fn from labels),
+u as (select draw, tp, fp, fn, ('0x' || substr(md5(doc_id || ':' || draw), 1, 13))::bigint / 4503599627370496.0::double u from r, (select unnest(range(1, 2001)) draw)),
+k as (select *, (u >= exp(-1))::int + (u >= exp(-1) * 2)::int + (u >= exp(-1) * 5 / 2)::int + (u >= exp(-1) * 8 / 3)::int + (u >= exp(-1) * 65 / 24)::int + (u >= exp(-1) * 163 / 60)::int + (u >= exp(-1) * 1957 / 720)::int + (u >= exp(-1) * 685 / 252)::int k from u),
+s as (select draw, sum(k * tp)::double tp, sum(k * fp)::double fp, sum(k * fn)::double fn from k group by draw),
+m as (select unnest([{'measure': 'precision', 'v': tp / nullif(tp + fp, 0)}, {'measure': 'recall', 'v': tp / nullif(tp + fn, 0)}, {'measure': 'f1', 'v': 2 * tp / nullif(2 * tp + fp + fn, 0)}], recursive := true) from s)
+select measure, round(quantile_cont(v, 0.025), 6) low, round(quantile_cont(v, 0.975), 6) high from m group by measure""",
     "tumbling_events": "select time_bucket(interval 1 day, ts) as start, event_type, count(*) n, round(sum(value), 4) total from events group by all",
     "sliding_events": "select d as start, event_type, count(*) n from (select unnest([time_bucket(interval 1 day, ts), time_bucket(interval 1 day, ts) - interval 1 day]) d, event_type from events) group by all",
     "event_sessions": "with g as (select *, case when ts - lag(ts) over w < interval 6 hours then 0 else 1 end s from events window w as (partition by user_id order by ts)), h as (select *, sum(s) over (partition by user_id order by ts, event_id rows unbounded preceding) k from g) select user_id, min(ts) as start, count(*) n from h group by user_id, k",
-} | STUDY_ORACLES
+} | STUDY_ORACLES | RULE_ORACLES

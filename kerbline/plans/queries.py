@@ -12,6 +12,7 @@ from ..operators import aggregates, conflate, graph, joins, places, spatial, sta
 from ..sources.network import segments
 from ..sources.tables import TABLES, table
 from ..streaming import events as streams
+from .rule_queries import RULE_QUERIES
 from .study_queries import STUDY_QUERIES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,7 +105,7 @@ def multi_key_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def semi_anti_consistency(spark: SparkSession, sf: str) -> DataFrame:
-    return joins.consistency(table(spark, sf, "customer").select(F.col("c_custkey").alias("id")), table(spark, sf, "orders").select(F.col("o_custkey").alias("id")), "id")
+    return joins.consistency(table(spark, sf, "customer").select((F.col("c_custkey") - 20).alias("id")), table(spark, sf, "orders").select(F.col("o_custkey").alias("id")), "id")
 
 
 def outer_publication_join(spark: SparkSession, sf: str) -> DataFrame:
@@ -182,9 +183,9 @@ def trigram_similarity_whole(spark: SparkSession, sf: str) -> DataFrame:
 
 def ranked_search(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part")
-    index = p.select(F.col("p_partkey").alias("place_id"), F.lit("place").alias("kind"), F.col("p_name").alias("label"), F.col("p_type").alias("category"), text.normalise(F.col("p_name")).alias("search_text"), F.array(F.regexp_replace("p_brand", "[^0-9A-Za-z]", "")).alias("codes"), F.array().cast("array<string>").alias("initialisms"))
+    index = p.select(F.col("p_partkey").alias("place_id"), F.lit("place").alias("kind"), F.col("p_name").alias("label"), F.col("p_type").alias("category"), text.normalise(F.col("p_name")).alias("search_text"), F.array(F.lower(F.regexp_replace("p_brand", "[^0-9A-Za-z]", ""))).alias("codes"), F.array().cast("array<string>").alias("initialisms"))
     asked = p.filter("p_partkey % 20 = 1 or p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.expr("case p_partkey % 3 when 0 then p_name when 1 then substr(p_name, 1, 6) else reverse(p_name) end").alias("q"))
-    typed = text.compact(text.plain_text(text.fold_accents(F.col("q"))))
+    typed = text.compact(F.col("q"))
     return places.search(asked.select("query_id", text.normalise(F.col("q")).alias("text"), typed.alias("code")).filter("text != ''"), index)
 
 
@@ -260,7 +261,7 @@ def way_segments(spark: SparkSession, sf: str) -> DataFrame:
     nodes = table(spark, sf, "part").filter("p_size > 3").select(F.col("p_partkey").alias("node_id"), (F.col("p_partkey") % 100 * 0.001).alias("lon"), (F.col("p_partkey") % 37 * 0.001).alias("lat"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda r: r["l_partkey"])
     ways = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("way_id")).agg(lines.alias("refs")).withColumn("tags", F.create_map(F.lit("highway"), F.lit("path")))
-    return segments(nodes, ways).groupBy("way_id").agg(F.count("*").alias("n"), F.round(F.sum("length_m"), 2).alias("length_m"), F.min("pair").cast("long").alias("first_pair"))
+    return segments(nodes, ways).groupBy("way_id").agg(F.count("*").alias("n"), F.round(F.sum("length_m"), 1).alias("length_m"), F.min("pair").cast("long").alias("first_pair"))
 
 
 def _links(spark: SparkSession, sf: str) -> DataFrame:
@@ -313,7 +314,9 @@ def grid_tune(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bootstrap_interval(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.bootstrap(table(spark, sf, "labels"), "quality", draws=2000)
+    guess, truth = F.col("toxic") == 0, F.col("quality") == 1
+    rows = table(spark, sf, "labels").select("doc_id", *(c.cast("int").alias(k) for k, c in (("tp", guess & truth), ("fp", guess & ~truth), ("fn", ~guess & truth))))
+    return stats.bootstrap(rows, "doc_id").select("measure", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 def set_outcomes(spark: SparkSession, sf: str) -> DataFrame:
@@ -350,8 +353,8 @@ def conflation(spark: SparkSession, sf: str) -> DataFrame:
 def geodesic_check(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("n_nationkey")
     rows = table(spark, sf, "nation").select(n, (n * 3.0 - 40).alias("lon"), (n * 2.0 - 20).alias("lat"))
-    flat = geo.haversine_m(F.lit(0.0), F.lit(0.0), F.col("lon"), F.col("lat"))
-    return rows.select("n_nationkey", F.round(flat, 2).alias("haversine_m"))
+    flat, true = (f(F.lit(0.0), F.lit(0.0), F.col("lon"), F.col("lat")) for f in (geo.haversine_m, geo.geodesic_m))
+    return rows.select("n_nationkey", F.round(flat, 2).alias("haversine_m"), F.round(true, 2).alias("geodesic_m"))
 
 
 def tumbling_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -380,4 +383,4 @@ QUERIES: dict[str, Query] = {
         bootstrap_interval, set_outcomes, schema_contract, table_rows, conflation, geodesic_check, tumbling_events, sliding_events, event_sessions, token_bucket,
         link_cardinality_whole, as_of_value_whole, trigram_similarity_whole, grid_knn_whole,
     )
-} | STUDY_QUERIES
+} | STUDY_QUERIES | RULE_QUERIES

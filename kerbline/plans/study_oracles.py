@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-_HISTORY = """h as (select *, case event_id % 7 when 0 then 'survey' when 1 then 'open data' when 2 then 'bulk import' when 3 then 'Bing' when 4 then 'Mapillary' end src from events),
+_HISTORY = """h as (select *, case event_id % 7 when 0 then 'survey' when 1 then 'City of Kitchener open data' when 2 then 'bulk import' when 3 then 'Bing' when 4 then 'Mapillary' end src from events),
 e as (select *, case when src is distinct from lag(src) over w then src end own, row_number() over w i, lag(event_type) over w pt from h window w as (partition by user_id order by ts)),
 s as (select user_id, max(ts) - interval 3 days since from events where user_id % 2 = 0 group by user_id)"""
 
@@ -10,7 +10,7 @@ _SOURCES = """r0 as (select l_orderkey seg, case when l_linenumber % 6 = 5 then
   l_returnflag = 'A' prop, case when l_tax > 0.02 then l_tax * 5 end lo, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%SZ') t, l_linenumber ln from lineitem),
 r1 as (select * from r0 union all select * from r0 where ln = 1),
 r2 as (select *, row_number() over (partition by seg, ds, k, way, ver, prop, lo, t, ln) dup from r1),
-src as (select *, case when dup > 1 then 'duplicate' when ds <> 'OSM' then 'other_dataset' when k = 'x' then 'malformed_id' when prop then 'property_only' when k = 'n' then 'other_element' when lo >= 0.3 then 'malformed_range' else 'way' end kind from r2)"""
+src as (select *, case when dup > 1 then 'duplicate' when ds <> 'OSM' then 'other_dataset' when k = 'x' or way = 0 then 'malformed_id' when prop then 'property_only' when k = 'n' then 'other_element' when lo >= 0.3 then 'malformed_range' else 'way' end kind from r2)"""
 
 _XY = "p as (select vec_id, label, round(embedding[1]::double, 4) x, round(embedding[2]::double, 4) y from embeddings)"
 
@@ -20,11 +20,11 @@ g as (select *, sum(case when i = 1 or event_type <> pt then 1 else 0 end) over
 c as (select * from g qualify run = max(run) over (partition by user_id)),
 n as (select *, row_number() over (partition by user_id order by ts) j, count(*) over (partition by user_id) - 1 later, count(*) filter (own = 'survey') over (partition by user_id) sv from c)
 select n.user_id, event_type, event_id, sv - (case when own = 'survey' then 1 else 0 end) confirmations,
-  case when own = 'open data' then 'known' when own = 'bulk import' then 'possible' when ts < since or own in ('survey', 'Mapillary') then 'independent' else 'unknown' end lineage,
-  case when coalesce(own, '') in ('open data', 'bulk import') then null when own in ('survey', 'Mapillary') then 'declared' when ts < since then 'dates' end basis
+  case when own = 'City of Kitchener open data' then 'known' when own = 'bulk import' then 'possible' when ts < since or own in ('survey', 'Mapillary') then 'independent' else 'unknown' end lineage,
+  case when coalesce(own, '') in ('City of Kitchener open data', 'bulk import') then null when own in ('survey', 'Mapillary') then 'declared' when ts < since then 'dates' end basis
 from n left join s on n.user_id = s.user_id where j = 1""",
     "shape_lineage": f"""with {_HISTORY},
-c as (select user_id, coalesce(bool_or(own = 'open data'), false) a, coalesce(bool_or(own = 'bulk import'), false) b, bool_and(coalesce(own, '') in ('survey', 'Mapillary', 'Bing')) st, max(ts) t from e where event_id % 5 = 0 or event_type = 'signup' group by user_id),
+c as (select user_id, coalesce(bool_or(own = 'City of Kitchener open data'), false) a, coalesce(bool_or(own = 'bulk import'), false) b, bool_and(coalesce(own, '') in ('survey', 'Mapillary', 'Bing')) st, max(ts) t from e where event_id % 5 = 0 or event_type = 'signup' group by user_id),
 d as (select c.user_id % 40 record, case when a then 1 when b then 2 when coalesce(t < since, false) or st then 4 else 3 end k from c left join s on c.user_id = s.user_id)
 select record, ['known', 'possible', 'unknown', 'independent'][min(k)] lineage from d group by record""",
     "source_kinds": f"with {_SOURCES} select kind, count(*) n from src group by kind",

@@ -10,7 +10,7 @@ from ..functions import cost
 from ..operators import audit, conflate, graph, lineage, linkage, studies
 from ..sources.tables import table
 
-SOURCES = {0: "survey", 1: "open data", 2: "bulk import", 3: "Bing", 4: "Mapillary"}
+SOURCES = {0: "survey", 1: "City of Kitchener open data", 2: "bulk import", 3: "Bing", 4: "Mapillary"}
 
 
 def _cased(column: Column, values: dict) -> Column:

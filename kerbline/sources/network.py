@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.geo import haversine_m, in_box
+from ..functions.geo import geodesic_m, in_box
 from ..functions.tags import WALKABLE, edge_features, first_value
 
 
@@ -17,7 +17,7 @@ def walkable_ways(ways: DataFrame) -> DataFrame:
 def segments(nodes: DataFrame, ways: DataFrame, box: tuple[float, float, float, float] | None = None) -> DataFrame:
     """(segment_id, way_id, pair, src, dst, ax, ay, bx, by, length_m, tags): the consecutive pairs of each way's refs.
 
-    nodes: node_id, lon, lat; ways: way_id, refs, tags. Both ends must exist (and lie in box); pairs without length go. Two equi-joins on the
+    nodes: node_id, lon, lat; ways: way_id, refs, tags. Both ends must exist (and lie in box); pairs without length (on the ellipsoid) go. Two equi-joins on the
     node id; the box reaches the scan of nodes.
     """
     known = nodes.select("node_id", "lon", "lat")
@@ -27,7 +27,7 @@ def segments(nodes: DataFrame, ways: DataFrame, box: tuple[float, float, float,
     rows = ways.filter(F.size("refs") >= 2).select("way_id", "tags", F.posexplode(pairs).alias("pair", "p")).select("way_id", "tags", "pair", "p.src", "p.dst")
     a = known.toDF("src", "ax", "ay")
     b = known.toDF("dst", "bx", "by")
-    rows = rows.join(a, "src").join(b, "dst").withColumn("length_m", haversine_m(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))).filter("length_m > 0")
+    rows = rows.join(a, "src").join(b, "dst").withColumn("length_m", geodesic_m(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))).filter("length_m > 0")
     return rows.withColumn("segment_id", F.concat_ws(":", "way_id", "pair"))
 
 

@@ -22,7 +22,7 @@ def test_values_of_merged_tags(spark):
     assert (r.all, r.none, r.worst, r.odd, r.cls) == (["paved", "gravel"], [], "gravel", "lava", "rough")
 
 
-@pytest.mark.parametrize(("raw", "percent"), [("4%", 4.0), ("-3.5", -3.5), ("1/12", 100 / 12), ("45°", 100.0), ("3deg", math.tan(math.radians(3)) * 100), ("up", None), ("5/0", None), (None, None), ("steep", None)])
+@pytest.mark.parametrize(("raw", "percent"), [("4%", 4.0), ("-3.5", -3.5), ("1/12", 100 / 12), ("45°", 100.0), ("3deg", math.tan(math.radians(3)) * 100), ("up", None), ("5/0", None), ("4%;6%", 4.0), (None, None), ("steep", None)])
 def test_inclines(spark, raw, percent):
     got = one(spark, v=tags.incline_percent(F.lit(raw).cast("string"))).v
     assert got == (None if percent is None else pytest.approx(percent))
@@ -43,6 +43,14 @@ def test_foot_direction(spark):
     assert d(highway="footway", **{"oneway:foot": "-1"}) == (False, True, False)
     assert d(highway="footway", **{"foot:forward": "no", "foot:backward": "no"}) == (True, True, True)
     assert d(highway="steps", conveying="backward") == (False, True, False)
+    assert d(highway="steps", conveying="forward", **{"foot:backward": "yes"}) == (True, False, False)
+    assert d(highway="steps", oneway="yes", **{"oneway:foot": "odd"}) == (True, False, True)
+    assert d(highway="steps", conveying="yes") == (True, True, True)
+
+
+def test_grades(spark):
+    r = one(spark, steep=tags.derived_grade(F.lit(0.0), F.lit(2.5004), F.lit(10.0), 1.0), fine=tags.derived_grade(F.lit(0.0), F.lit(2.4999), F.lit(10.0), 1.0), g=tags.effective_grade(F.lit(4.0), F.lit(6.5)))
+    assert (r.steep, r.fine, r.g.percent, r.g.source, r.g.disagreement) == (None, 25.0, 4.0, "osm_incline", 2.5)
 
 
 def test_worst_kerb_and_reversal(spark):
@@ -64,7 +72,8 @@ def segment(spark, **over):
     ({"effective_grade": 10.0}, "wheelchair", 100 + 100 * 2 * 6 + 100 * 8 * 0.55),
     ({"effective_grade": -10.0}, "wheelchair", 100 + 100 * 8 * 0.55 * 0.4),
     ({"is_crossing": True, "kerb": "raised", "crossing_type": "zebra"}, "wheelchair", 100 + 400 + 10),
-    ({"width_m": None}, "wheelchair", 130.0),
+    ({"width_m": None}, "wheelchair", 100.0),
+    ({"steps": "unknown"}, "wheelchair", 130.0),
     ({"steps": "yes", "step_count": 5, "unit_share": 0.5}, "crutches", 100 + (60 + 12 * 5) * 0.5),
     ({"steps": "yes"}, "crutches", 100 + 60 + 120),
     ({"steps": "yes"}, "standard", 100.0),
@@ -95,14 +104,14 @@ def test_ellipsoid(spark):
 
 
 def test_text(spark):
-    r = one(spark, n=text.normalise(F.lit("Café d'Étoile & St. John's Rd")), t=text.terms(F.lit("a b a c")), code=text.code_of(F.lit("e7")), no=text.code_of(F.lit("seventeen")), ini=text.initialism(F.lit("school of fine arts hall")), tri=text.trigrams(F.lit("ab")), same=text.similarity(F.lit("king st"), F.lit("king st")), street=text.same_street(F.lit("King St."), F.lit("street king")))
-    assert (r.n, r.t, r.code, r.no, r.ini, r.tri, r.same, r.street) == ("cafe detoile and street johns road", ["a", "b", "c"], "E7", None, "sfah", ["  a", " ab", "ab "], 1.0, True)
+    r = one(spark, n=text.normalise(F.lit("Café d'Étoile & St. John's Rd")), t=text.terms(F.lit("a b a c")), code=text.code_of(F.lit("E7")), no=text.code_of(F.lit("seventeen")), ini=text.initialism(F.lit("School of Fine Arts Hall 2")), tri=text.trigrams(F.lit("ab")), same=text.similarity(F.lit("king st"), F.lit("king st")), street=text.same_street(F.lit("King St."), F.lit("street king")))
+    assert (r.n, r.t, r.code, r.no, r.ini, r.tri, r.same, r.street) == ("cafe detoile and street johns road", ["a", "b", "c"], "e7", None, "sfah2", ["  a", " ab", "ab "], 1.0, True)
 
 
 def test_fields(spark):
     def state(v, published=True):
         return one(spark, s=fields.field_state(F.lit(v).cast("string"), F.lit(published), default="std", domain=("std", "new"))).s
 
-    assert [state("x", False), state(None), state(" "), state("Unknown"), state("N/A"), state("STD"), state("old"), state("new")] == ["not_published", "null", "blank", "unknown", "not_applicable", "default", "out_of_domain", "value"]
-    r = one(spark, s=fields.signals(F.lit("Bing;survey")), ref=fields.element_ref(F.lit("w12@3")), bad=fields.element_ref(F.lit("q1")), rng=fields.linear_range(F.array(F.lit(0.5), F.lit(0.2))))
-    assert (r.s, r.ref.id, r.ref.version, r.bad.problem, r.rng.problem) == (["imagery", "survey"], 12, 3, "unknown_kind", "order")
+    assert [state("x", False), state(None), state(" "), state("UNKNOWN"), state("NA"), state("std"), state("old"), state("new"), state("STD")] == ["not_published", "null", "blank", "unknown", "not_applicable", "template_default", "out_of_domain", "non_default", "out_of_domain"]
+    r = one(spark, s=fields.signals(F.lit("Bing;survey")), ref=fields.element_ref(F.lit("w12@3")), bad=fields.element_ref(F.lit("q1")), rng=fields.linear_range(F.array(F.lit(0.5), F.lit(0.2))), whole=fields.linear_range(F.lit(None).cast("array<double>")))
+    assert (r.s, r.ref.kind, r.ref.id, r.ref.version, r.bad.problem, r.rng.malformed, r.whole) == (["declared_unrelated_imagery", "survey"], "way", 12, 3, "unrecognised_shape", True, None)

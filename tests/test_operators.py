@@ -133,12 +133,24 @@ def test_search_prefers_exact_and_falls_back(spark):
     assert top == {1: 1, 2: 1, 3: 3, 4: 1}
 
 
-def test_bootstrap_and_allocation(spark):
-    rows = spark.createDataFrame([(i, float(i % 2)) for i in range(400)], "i int, v double")
-    b = stats.bootstrap(rows, "v", draws=200).first()
-    assert 0.4 < b.low < 0.5 < b.high < 0.6
-    take = stats.allocated(spark.createDataFrame([("a", 90), ("b", 9), ("c", 1)], "stratum string, n long"), 20).collect()
-    assert {r.stratum: r["take"] for r in take} == {"a": 18, "b": 1, "c": 1}
+def test_bootstrap(spark):
+    """Intervals hold the measure, equal records are drawn apart, and more draws change little."""
+    rows = spark.createDataFrame([(i, int(i % 4 > 0), int(i % 4 == 0), 0) for i in range(400)], "i int, tp int, fp int, fn int")
+    got = {r.measure: r for r in stats.bootstrap(rows, "i", draws=300).collect()}
+    assert 0.68 < got["precision"].low < 0.75 < got["precision"].high < 0.82
+    assert (got["recall"].low, got["recall"].high) == (1.0, 1.0)
+
+
+@pytest.mark.parametrize(("sizes", "target", "minimum", "take"), [
+    ({"a": 90, "b": 9, "c": 1}, 20, 1, {"a": 17, "b": 2, "c": 1}),
+    ({**{f"s{i}": 2 for i in range(10)}, "t": 1000}, 30, 2, {**{f"s{i}": 2 for i in range(10)}, "t": 10}),
+    ({"a": 3, "b": 2}, 100, 1, {"a": 3, "b": 2}),
+    ({"a": 10, "b": 10, "c": 10}, 5, 1, {"a": 2, "b": 2, "c": 1}),
+    ({"a": 10, "b": 10}, 1, 1, {"a": 1, "b": 1}),
+])
+def test_allocation(spark, sizes, target, minimum, take):
+    got = stats.allocated(spark.createDataFrame(list(sizes.items()), "stratum string, n long"), target, minimum).collect()
+    assert {r.stratum: r["take"] for r in got} == take
 
 
 def test_lifecycle(spark, tmp_path):

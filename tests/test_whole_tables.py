@@ -56,9 +56,3 @@ def test_grid_knn_whole(spark):
         near = sorted((math.hypot(x - a, y - b), j) for j, a, b in rows if j != i)
         wanted |= {(i, k): (j, pytest.approx(d, abs=1e-6)) for k, (d, j) in enumerate(near[:3], 1) if d <= 0.05}
     assert got == wanted
-
-
-def test_bootstrap_of_2000_draws(spark):
-    labels = table(spark, SF, "labels")
-    got = QUERIES["bootstrap_interval"](spark, SF).first()
-    assert got == stats.bootstrap(labels, "quality", draws=2000).first() != stats.bootstrap(labels, "quality", draws=200).first()
