@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
+from collections.abc import Callable
+from heapq import heapify, heappop, heappush
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.tags import reversed_conveying
 from ..storage import settled, stored
 
 MAX_ROUNDS = 10_000
+CELL_EDGES = 200_000
+"""Edges that a task relaxes as one piece, where no cells are given."""
+BATCH = 16
+"""Requests that a task relaxes together."""
 
 
 def directed(segments: DataFrame) -> DataFrame:
@@ -61,35 +71,152 @@ def numbered_parts(parts: DataFrame) -> DataFrame:
     return parts.join(ranks, "root").select("node", "part", "size")
 
 
-def shortest_paths(edges: DataFrame, requests: DataFrame, max_rounds: int = MAX_ROUNDS, bound: DataFrame | None = None) -> DataFrame:
-    """(request, node, cost, hops, path): the cheapest way from each request's origin to every node, or to its destination.
+def _relax(entries: pa.Table, edges: pa.Table) -> pa.Table:
+    """Settles what a batch of requests can reach inside one cell, from the nodes at which they enter it."""
+    kinds = {"request": pa.string(), "profile": pa.string(), "node": edges.schema.field("src").type, "cell": pa.int64(), "cost": pa.float64(), "hops": pa.int32(), "segment_id": pa.string(), "parent": edges.schema.field("src").type, "inside": pa.bool_()}
+    schema = pa.schema(list(kinds.items()))
+    out: dict[str, list] = {f.name: [] for f in schema}
+    if not entries.num_rows:
+        return pa.table(out, schema)
+    profile, cell = entries.column("profile")[0].as_py(), entries.column("cell")[0].as_py()
+    ahead: dict = defaultdict(list)
+    for src, *edge in zip(*(edges.column(c).to_pylist() for c in ("src", "dst", "segment_id", "w", "dst_cell", "dst_x", "dst_y")), strict=True):
+        ahead[src].append(edge)
+    asked: dict = defaultdict(list)
+    for request, *entry in zip(*(entries.column(c).to_pylist() for c in ("request", "node", "cost", "hops", "segment_id", "parent", "goal", "limit", "goal_x", "goal_y", "lower")), strict=True):
+        asked[request].append(entry)
+
+    def row(request: str, node, at: int, cost: float, hops: int, segment: str, parent, inside: bool) -> None:
+        for k, v in zip(out, (request, profile, node, at, cost, hops, segment, parent, inside), strict=True):
+            out[k].append(v)
+
+    for request, starts in asked.items():
+        goal, limit, gx, gy = starts[0][5:9]
+        limit = math.inf if limit is None else limit
+        heap = [(cost + lower, cost, hops, segment or "", n, node, parent) for n, (node, cost, hops, segment, parent, *_, lower) in enumerate(starts)]
+        heapify(heap)
+        pushed, done, exits = len(heap), set(), {}
+        while heap and heap[0][0] <= limit:
+            _, cost, hops, segment, _, node, parent = heappop(heap)
+            if node in done:
+                continue
+            done.add(node)
+            row(request, node, cell, cost, hops, segment, parent, True)
+            if goal is not None and node == goal:
+                break
+            for dst, via, w, dst_cell, x, y in ahead.get(node, ()):
+                new = (cost + w, hops + 1, via, node)
+                if dst_cell != cell:
+                    if dst not in exits or new < exits[dst][0]:
+                        exits[dst] = new, dst_cell
+                elif dst not in done:
+                    pushed += 1
+                    lower = 0.0 if gx is None or x is None else math.hypot(x - gx, y - gy)
+                    heappush(heap, (new[0] + lower, *new[:3], pushed, dst, node))
+        for dst, ((cost, hops, via, node), at) in exits.items():
+            if cost <= limit:
+                row(request, dst, at, cost, hops, via, node, False)
+    return pa.table(out, schema)
+
+
+def _walk(rows: pa.Table) -> pa.Table:
+    """Paths of one request from its nodes' parents: to its goal, or to every node if it has none."""
+    known = {n: rest for n, *rest in zip(*(rows.column(c).to_pylist() for c in ("node", "cost", "hops", "segment_id", "parent")), strict=True)}
+    goal = rows.column("goal")[0].as_py()
+    paths: dict = {}
+
+    def path(node) -> list[str]:
+        way = []
+        while known[node][3] is not None and node not in paths:
+            way.append(node)
+            node = known[node][3]
+        found = paths.get(node, [])
+        if goal is not None:
+            return [known[n][2] for n in reversed(way)]
+        for n in reversed(way):
+            found = paths[n] = [*found, known[n][2]]
+        return found
+
+    wanted = list(known) if goal is None else [goal] if goal in known else []
+    columns = {c: pa.array([rows.column(c)[0].as_py()] * len(wanted), pa.string()) for c in ("request", "profile")}
+    columns |= {"node": pa.array(wanted, rows.schema.field("node").type), "cost": pa.array([known[n][0] for n in wanted], pa.float64()), "hops": pa.array([known[n][1] for n in wanted], pa.int32())}
+    return pa.table(columns | {"path": pa.array([path(n) for n in wanted], pa.list_(pa.string()))})
+
+
+def shortest_paths(edges: DataFrame, requests: DataFrame, cells: DataFrame | None = None, points: DataFrame | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """(request, profile, node, cost, hops, path): the cheapest way from each request's origin to its destination, or to every node if that is null.
 
     edges: (profile, src, dst, segment_id, cost); requests: (request, profile, origin, destination or null). Blocked edges have a null
-    cost and are skipped. All requests relax together, a round at a time: the nodes that improved join their outgoing edges, candidates that
-    can't beat the destination's present cost are dropped, and the rest are reduced to the best of each (request, node).
-    bound: (request, node, lower): optional lower bounds to the destination, which prune as in A*. Ties go to fewer hops, then the
-    lesser list of segments.
+    cost and are skipped. cells: (node, cell), a partition of the nodes into pieces of neighbours that fit a task, such as grid_cells;
+    without it nodes are dealt by hash into pieces of CELL_EDGES edges, so a small graph is one piece. points: (node, x, y) in metres, if no
+    edge costs less than its length: the straight line to the destination then bounds what is left, as in A*.
+
+    A round relaxes the entries of all requests inside their cells, a batch of requests and a cell at a time; only nodes across a cell's
+    border go on, if they beat the request's earlier entries there and its present cost. So rounds are as many as cells in a row on a way.
+    Rows keep the node before and the segment, and paths are walked at the end, a request at a time. Ties go to fewer hops, then the lesser
+    last segment.
     """
-    usable = stored(edges.filter("cost is not null").select("profile", "src", "dst", "segment_id", "cost"))
-    asked = stored(requests.select("request", "profile", "origin", F.col("destination") if "destination" in requests.columns else F.lit(None).cast(requests.schema["origin"].dataType).alias("destination")))
-    best = stored(asked.select("request", "profile", F.col("origin").alias("node"), F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.array().cast("array<string>").alias("path")).alias("b"), F.lit(True).alias("fresh")))
+    node_type = edges.schema["src"].dataType
+    node = node_type.simpleString()
+    usable = stored(edges.filter("cost is not null").select("profile", "src", "dst", F.col("segment_id").cast("string").alias("segment_id"), F.col("cost").cast("double").alias("w")))
+    if cells is None:
+        pieces = max(1, math.ceil(usable.count() / CELL_EDGES))
+
+        def celled(df: DataFrame, key: str, name: str) -> DataFrame:
+            return df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(pieces)) if pieces > 1 else F.lit(0).cast("long"))
+    else:
+        def celled(df: DataFrame, key: str, name: str) -> DataFrame:
+            return df.join(cells.select(F.col("node").alias(key), F.col("cell").cast("long").alias(name)), key)
+
+    def placed(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
+        if points is None:
+            return df.withColumns({x: F.lit(None).cast("double"), y: F.lit(None).cast("double")})
+        return df.join(points.select(F.col("node").alias(key), F.col("x").cast("double").alias(x), F.col("y").cast("double").alias(y)), key, "left")
+
+    usable = stored(placed(celled(celled(usable, "src", "cell"), "dst", "dst_cell"), "dst", "dst_x", "dst_y"))
+    goal = F.col("destination") if "destination" in requests.columns else F.lit(None).cast(node_type)
+    asked = stored(placed(requests.select(F.col("request").cast("string").alias("request"), "profile", "origin", goal.alias("goal")), "goal", "goal_x", "goal_y"))
+    batches = max(1, math.ceil(asked.count() / BATCH))
+    goals = asked.select("request", "goal", "goal_x", "goal_y").withColumn("batch", F.pmod(F.xxhash64("request"), F.lit(batches)))
+    nothing = {"cost": F.lit(0.0), "hops": F.lit(0), "segment_id": F.lit(None).cast("string"), "parent": F.lit(None).cast(node_type)}
+    entered = celled(asked.select("request", "profile", F.col("origin").alias("node")), "node", "cell").withColumns(nothing)
+    entered = stored(entered.select("request", "profile", "node", "cell", "cost", "hops", "segment_id", "parent"))
+    fresh, settled_rows = entered, []
+    keys = ["profile", "cell", "batch"]
     for _ in range(max_rounds):
-        frontier = best.filter("fresh")
-        step = frontier.join(usable.withColumnRenamed("cost", "w"), (frontier["node"] == usable["src"]) & (frontier["profile"] == usable["profile"])).select(
-            "request", frontier["profile"], F.col("dst").alias("node"),
-            F.struct((F.col("b.cost") + F.col("w")).alias("cost"), (F.col("b.hops") + 1).alias("hops"), F.concat("b.path", F.array(F.col("segment_id").cast("string"))).alias("path")).alias("b"),
-        )
-        goal = best.join(asked.select("request", F.col("destination").alias("node")), ["request", "node"]).select("request", F.col("b.cost").alias("limit"))
-        step = step.join(goal, "request", "left")
-        if bound is not None:
-            step = step.join(bound, ["request", "node"], "left")
-        least = F.coalesce(F.col("lower"), F.lit(0.0)) if bound is not None else F.lit(0.0)
-        step = step.filter(F.col("limit").isNull() | (F.col("b.cost") + least <= F.col("limit"))).select("request", "profile", "node", "b", F.lit(True).alias("fresh"))
-        merged = best.withColumn("fresh", F.lit(False)).unionByName(step).groupBy("request", "profile", "node").agg(F.min(F.struct("b", "fresh")).alias("m"))
-        best = stored(merged.select("request", "profile", "node", "m.b", "m.fresh"))
-        if not best.filter("fresh").limit(1).count():
+        rows = fresh.join(goals, "request")
+        reached = _union(settled_rows).join(goals.select("request", F.col("goal").alias("node")), ["request", "node"]).groupBy("request").agg(F.min("cost").alias("limit")) if settled_rows else None
+        rows = rows.join(reached, "request", "left") if reached is not None else rows.withColumn("limit", F.lit(None).cast("double"))
+        lower = F.coalesce(F.hypot(F.col("x") - F.col("goal_x"), F.col("y") - F.col("goal_y")), F.lit(0.0))
+        rows = placed(rows, "node", "x", "y").withColumn("lower", lower).drop("x", "y").filter("limit is null or cost + lower <= limit")
+        active = usable.join(rows.select(*keys).distinct(), ["profile", "cell"])
+        # New columns, as both sides come from the same tables.
+        entries, near = (df.select(*(F.col(c).alias(c) for c in df.columns)) for df in (rows, active))
+        found = entries.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInArrow(_relax, f"request string, profile string, node {node}, cell long, cost double, hops int, segment_id string, parent {node}, inside boolean")
+        found = stored(found)
+        settled_rows.append(found.filter("inside").drop("inside", "cell"))
+        best = F.min(F.struct("cost", "hops", "segment_id", "parent")).alias("b")
+        exits = found.filter("not inside").groupBy("request", "profile", "node", "cell").agg(best).select("request", "profile", "node", "cell", "b.*")
+        before = entered.groupBy("request", "node").agg(F.min("cost").alias("had"))
+        fresh = stored(exits.join(before, ["request", "node"], "left").filter("had is null or cost < had").drop("had"))
+        if not fresh.limit(1).count():
             break
-    return best.select("request", "profile", "node", "b.cost", "b.hops", "b.path")
+        entered = stored(entered.unionByName(fresh).groupBy("request", "profile", "node", "cell").agg(best).select("request", "profile", "node", "cell", "b.*"))
+    rows = _union(settled_rows).groupBy("request", "profile", "node").agg(F.min(F.struct("cost", "hops", "segment_id", "parent")).alias("b")).select("request", "profile", "node", "b.*")
+    out = rows.join(goals.select("request", "goal"), "request").groupBy("request").applyInArrow(_walk, f"request string, profile string, node {node}, cost double, hops int, path array<string>")
+    return out.withColumn("request", F.col("request").cast(requests.schema["request"].dataType))
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.union(t)
+    return out
+
+
+def grid_cells(points: DataFrame, size: float) -> DataFrame:
+    """(node, cell) of points (node, x, y) by squares of a size, so that neighbours share a cell."""
+    return points.select("node", F.xxhash64(F.floor(F.col("x") / size), F.floor(F.col("y") / size)).alias("cell"))
 
 
 def routes(edges: DataFrame, requests: DataFrame, **how) -> DataFrame:
