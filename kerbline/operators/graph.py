@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.tags import reversed_conveying
 from ..storage import settled, stored
+from .windows import global_rank
 
 MAX_ROUNDS = 10_000
 CELL_EDGES = 200_000
@@ -65,9 +66,9 @@ def connected_parts(edges: DataFrame, u: str = "src", v: str = "dst") -> DataFra
 
 
 def numbered_parts(parts: DataFrame) -> DataFrame:
-    """(node, part): parts numbered from 0 by falling size, then least node. Numbering ranks the parts, not the nodes."""
+    """(node, part): parts numbered from 0 by falling size, then least node. Numbering sorts the parts, not the nodes."""
     sizes = parts.groupBy("root").agg(F.count("*").alias("size"))
-    ranks = sizes.withColumn("part", F.row_number().over(W.orderBy(F.col("size").desc(), "root")) - 1)
+    ranks = global_rank(sizes, [F.col("size").desc(), F.col("root").asc()], "part").withColumn("part", F.col("part") - 1)
     return parts.join(ranks, "root").select("node", "part", "size")
 
 

@@ -98,6 +98,9 @@ select node, min(seen) root from r group by all""",
     "component_sizes": """with recursive t as (select max(p_partkey) top from part), e as (select p_partkey a, p_partkey * 7 % top + 1 b from part, t where p_size <= 20), u as (select a, b from e union select b, a from e), r(node, seen) as (select a, a from u union select r.node, u.b from r join u on u.a = r.seen), c as (select node, min(seen) root from r group by all)
 select row_number() over (order by count(*) desc, root) - 1 part, count(*) size, min(node) first_node from c group by root""",
     "content_hash_rows": "select n_nationkey, sha256(n_nationkey || '|' || n_name || '|' || n_regionkey) row_sha256 from nation",
+    "content_hash_table": """with h as (select sha256(concat_ws(chr(31), c_custkey, c_name, c_nationkey, c_mktsegment)) h from customer),
+b as (select h, ('0x' || substr(h, 1, 8))::bigint % (select greatest(1, (count(*) + 49999) // 50000) from h) k from h),
+p as (select k, count(*) n, sha256(string_agg(h, '' order by h)) h from b group by k) select sum(n)::bigint n, sha256(string_agg(h, '' order by k)) content_sha256 from p""",
     "stratified_hash_sample": "select lang, doc_id, draw from (select lang, doc_id, row_number() over (partition by lang order by sha256('s1:' || doc_id)) draw from documents) where draw <= 10",
     "sample_allocation": """with recursive z as (select source stratum, count(*) n from documents group by all),
 s as (select list({'stratum': stratum, 'n': n, 'take': least(n, 2)} order by stratum) l, 0 step from z
@@ -126,4 +129,8 @@ select measure, round(quantile_cont(v, 0.025), 6) low, round(quantile_cont(v, 0.
     "tumbling_events": "select time_bucket(interval 1 day, ts) as start, event_type, count(*) n, round(sum(value), 4) total from events group by all",
     "sliding_events": "select d as start, event_type, count(*) n from (select unnest([time_bucket(interval 1 day, ts), time_bucket(interval 1 day, ts) - interval 1 day]) d, event_type from events) group by all",
     "event_sessions": "with g as (select *, case when ts - lag(ts) over w < interval 6 hours then 0 else 1 end s from events window w as (partition by user_id order by ts)), h as (select *, sum(s) over (partition by user_id order by ts, event_id rows unbounded preceding) k from g) select user_id, min(ts) as start, count(*) n from h group by user_id, k",
+    "token_bucket": """with recursive e as (select user_id u, epoch(ts) t, row_number() over (partition by user_id order by ts, event_id) i from events),
+b as (select u, i, t, 1.0::double left_, true ok from e where i = 1
+  union all select u, i, t, had - (had >= 1)::int, had >= 1 from (select e.u, e.i, e.t, least(2.0, b.left_ + greatest(0, e.t - b.t) / 86400) had from b join e on e.u = b.u and e.i = b.i + 1))
+select ok admitted, count(*) n from b group by ok""",
 } | STUDY_ORACLES | RULE_ORACLES

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
@@ -56,6 +57,26 @@ def counterfactual_routes(spark: SparkSession, sf: str) -> DataFrame:
     return both.filter("saved > 0").select(*keys, "saved")
 
 
+def part_grid(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges, points, requests) of a street grid on the parts, whose side grows with their number; sizes make the costs."""
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("node"), "p_size")
+    side = math.isqrt(part.count())
+    part = part.filter(F.col("node") < side * side)
+    points = part.select("node", (F.col("node") % side * 50.0).alias("x"), (F.floor(F.col("node") / side) * 50.0).alias("y"))
+    n, ends = F.col("node"), F.explode(F.array(F.when(F.col("node") % side < side - 1, F.col("node") + 1), F.when(F.col("node") < side * (side - 1), F.col("node") + side))).alias("dst")
+    ahead = part.select(n.alias("src"), ends, (50.0 + F.col("p_size")).alias("cost")).filter("dst is not null")
+    both = ahead.union(ahead.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost"))
+    edges = both.select(F.lit("standard").alias("profile"), "src", "dst", F.concat_ws("-", "src", "dst").alias("segment_id"), "cost")
+    asked = part.filter("node % 100 = 0").select(F.concat(F.lit("r"), n).alias("request"), F.lit("standard").alias("profile"), n.alias("origin"), (n * 7 % (side * side)).alias("destination"))
+    return edges, points, asked
+
+
+def part_routes(spark: SparkSession, sf: str) -> DataFrame:
+    edges, points, asked = part_grid(spark, sf)
+    found = graph.routes(edges, asked, cells=graph.grid_cells(points, 2500.0), points=points)
+    return found.select("request", "origin", "destination", F.round("cost", 4).alias("cost"), F.size("path").alias("segments"))
+
+
 def itemised_cost(spark: SparkSession, sf: str) -> DataFrame:
     flag = F.col("l_returnflag")
     rows = table(spark, sf, "lineitem").select(
@@ -284,7 +305,7 @@ def content_hash_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def content_hash_table(spark: SparkSession, sf: str) -> DataFrame:
-    return aggregates.content_hash(table(spark, sf, "customer"), ["c_custkey"], ["c_name", "c_nationkey", "c_mktsegment"], buckets=16)
+    return aggregates.content_hash(table(spark, sf, "customer"), ["c_custkey"], ["c_name", "c_nationkey", "c_mktsegment"])
 
 
 def stratified_hash_sample(spark: SparkSession, sf: str) -> DataFrame:
@@ -381,6 +402,6 @@ QUERIES: dict[str, Query] = {
         ranked_search, dedupe_grid, grid_knn, dwithin_counts, directed_hausdorff, interval_merge, interval_overlap_share, island_traversals, cumulative_position, value_introduced, unit_share,
         way_segments, connected_components, component_sizes, content_hash_rows, content_hash_table, stratified_hash_sample, sample_allocation, wilson_prf, confusion_agreement, grid_tune,
         bootstrap_interval, set_outcomes, schema_contract, table_rows, conflation, geodesic_check, tumbling_events, sliding_events, event_sessions, token_bucket,
-        link_cardinality_whole, as_of_value_whole, trigram_similarity_whole, grid_knn_whole,
+        part_routes, link_cardinality_whole, as_of_value_whole, trigram_similarity_whole, grid_knn_whole,
     )
 } | STUDY_QUERIES | RULE_QUERIES

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -55,16 +57,24 @@ LIMITED = "user_id long, event_id long, admitted boolean"
 
 
 def rate_limited(events: DataFrame, capacity: float = CAPACITY, rate: float = REFILL_PER_S) -> DataFrame:
-    """(user_id, event_id, admitted) of a stream: a token bucket for each user, kept as state of two numbers."""
+    """(user_id, event_id, admitted) of a stream: a token bucket for each user, kept as state of two numbers.
+
+    State goes once a user has been idle for as long as an empty bucket takes to fill: a full one is as good as none.
+    """
+    idle_ms = max(1000, math.ceil(capacity / rate * 1000))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         tokens, last = state.get if state.exists else (capacity, None)
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         out, tokens, last = admit([t.timestamp() for t in rows["ts"]], tokens, last, capacity, rate)
         state.update((tokens, last))
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "admitted": out})
 
-    return events.groupBy("user_id").applyInPandasWithState(step, LIMITED, "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("user_id").applyInPandasWithState(step, LIMITED, "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def rate_limited_batch(events: DataFrame, capacity: float = CAPACITY, rate: float = REFILL_PER_S) -> DataFrame:
@@ -74,11 +84,13 @@ def rate_limited_batch(events: DataFrame, capacity: float = CAPACITY, rate: floa
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         user, tokens, last = None, capacity, None
         for batch in batches:
+            users, times = batch["user_id"].to_numpy(), batch["ts"].to_numpy("datetime64[us]").astype("int64") / 1e6
+            cuts = [0, *(np.flatnonzero(users[1:] != users[:-1]) + 1).tolist(), len(users)]
             flags = []
-            for u, t in zip(batch["user_id"], batch["ts"], strict=True):
-                if u != user:
-                    user, tokens, last = u, capacity, None
-                got, tokens, last = admit([t.timestamp()], tokens, last, capacity, rate)
+            for a, b in zip(cuts, cuts[1:], strict=False):  # a user's run at a time
+                if a < b and users[a] != user:
+                    user, tokens, last = users[a], capacity, None
+                got, tokens, last = admit(times[a:b].tolist(), tokens, last, capacity, rate)
                 flags += got
             yield pd.DataFrame({"user_id": batch["user_id"], "event_id": batch["event_id"], "admitted": flags})
 

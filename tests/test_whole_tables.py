@@ -1,12 +1,14 @@
 """Queries over whole tables against brute force."""
 
+import heapq
 import math
 from collections import Counter
 from datetime import timedelta
 
 import pytest
 
-from kerbline.operators import places, stats
+from kerbline.operators import places
+from kerbline.plans import queries
 from kerbline.plans.queries import QUERIES
 from kerbline.sources.tables import table
 
@@ -56,3 +58,21 @@ def test_grid_knn_whole(spark):
         near = sorted((math.hypot(x - a, y - b), j) for j, a, b in rows if j != i)
         wanted |= {(i, k): (j, pytest.approx(d, abs=1e-6)) for k, (d, j) in enumerate(near[:3], 1) if d <= 0.05}
     assert got == wanted
+
+
+def test_routes_over_the_part_grid(spark):
+    edges, points, asked = (x.collect() for x in queries.part_grid(spark, SF))
+    ahead = {}
+    for e in edges:
+        ahead.setdefault(e.src, []).append((e.dst, e.cost))
+    assert len(points) == 196
+    assert len(asked) == 2
+    for r in QUERIES["part_routes"](spark, SF).collect():
+        best, todo = {}, [(0.0, r.origin)]
+        while todo:
+            c, n = heapq.heappop(todo)
+            if n not in best:
+                best[n] = c
+                for m, w in ahead[n]:
+                    heapq.heappush(todo, (c + w, m))
+        assert r.cost == best[r.destination]
