@@ -34,6 +34,7 @@ PRESETS = (
     _row("reduced_mobility", False, 15.0, None, (0.0, 1.0, 0.2), (0.0, 1.2, 0.2), (30.0, 20.0, 18.0, 12.0), 0.4, 3.5, 0.12, (40.0, 6.0), 10.0, (0.7, 1.1)),
 )
 MARKED_CROSSINGS = ("traffic_signals", "marked", "zebra")
+MAX_PROFILES = 1000
 GUIDANCE, ASSUMED_STEPS, DOWNHILL = 6.0, 10, 0.4
 
 
@@ -87,8 +88,11 @@ def components() -> dict[str, Column]:
 def with_cost(segments: DataFrame, chosen: DataFrame) -> DataFrame:
     """Each segment under each profile: blocked (reason or null), items (map of code to metres) and cost (null if blocked).
 
-    The profiles are a handful of rows, so every segment meets each of them in a broadcast nested-loop join.
+    The profiles are a handful of rows (MAX_PROFILES at most, which is checked), so every segment meets each of them in a broadcast
+    nested-loop join.
     """
+    if chosen.limit(MAX_PROFILES + 1).count() > MAX_PROFILES:
+        raise ValueError(f"more than {MAX_PROFILES} profiles")
     rows = segments.crossJoin(F.broadcast(chosen))
     items = components()
     rows = rows.withColumn("blocked", blocked_reason()).withColumns({f"cost_{k}": v for k, v in items.items()})

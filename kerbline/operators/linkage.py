@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.fields import element_ref, linear_range
 
@@ -35,10 +35,15 @@ def linked_ways(ways: DataFrame, links: DataFrame) -> DataFrame:
     """ways (way_id, ...) with match, cardinality, segments, versions, times and partial_ranges.
 
     A way is split if it lies in several segments and merged if one of them cites several ways; those two give 1:1, 1:N, N:1 and N:M.
+    versions and times hold the least and the greatest, one entry if they are equal.
     """
     cited = links.groupBy("segment_id").agg(F.count_distinct("way_id").alias("cited"))
     merged = links.select("segment_id", "way_id").distinct().join(cited, "segment_id").groupBy("way_id").agg(F.count("*").alias("segments"), F.max("cited").alias("cited"))
-    facts = links.groupBy("way_id").agg(F.array_sort(F.collect_set("version")).alias("versions"), F.array_sort(F.collect_set("update_time")).alias("times"), F.count_if("partial").alias("partial_ranges"))
+
+    def ends(c: str) -> Column:
+        return F.array_distinct(F.array_compact(F.array(F.min(c), F.max(c))))
+
+    facts = links.groupBy("way_id").agg(ends("version").alias("versions"), ends("update_time").alias("times"), F.count_if("partial").alias("partial_ranges"))
     split, many = F.col("segments") > 1, F.col("cited") > 1
     kind = F.when(split & many, "N:M").when(split, "1:N").when(many, "N:1").when(F.col("segments").isNotNull(), "1:1")
     rows = ways.join(merged, "way_id", "left").join(facts, "way_id", "left")

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 Z95 = 1.959963984540054
+MAX_SETTINGS = 10_000
 
 
 def wilson(successes: Column, trials: Column, z: float = Z95) -> Column:
@@ -94,8 +95,10 @@ def hash_draw(rows: DataFrame, stratum: str, key: str, take: int, seed: str) ->
 def tuned(rows: DataFrame, grid: DataFrame, predicted: Column, truth: Column, parameters: Sequence[str]) -> DataFrame:
     """grid with tp, fp, fn and f1 of each setting, and best: highest f1, then fewest false positives, then least parameters.
 
-    The grid is small and broadcast; every row meets every setting, with partial sums before the shuffle.
+    The grid (MAX_SETTINGS rows at most, which is checked) is broadcast; every row meets every setting, with partial sums before the shuffle.
     """
+    if grid.limit(MAX_SETTINGS + 1).count() > MAX_SETTINGS:
+        raise ValueError(f"more than {MAX_SETTINGS} settings")
     hits = rows.crossJoin(F.broadcast(grid)).groupBy(*parameters).agg(F.count_if(predicted & truth).alias("tp"), F.count_if(predicted & ~truth).alias("fp"), F.count_if(~predicted & truth).alias("fn"))
     scored = hits.withColumn("f1", precision_recall(F.col("tp"), F.col("fp"), F.col("fn"))["f1"])
     order = W.orderBy(F.col("f1").desc_nulls_last(), "fp", *parameters)

@@ -13,6 +13,7 @@ from ..operators import aggregates, conflate, graph, joins, places, spatial, sta
 from ..sources.network import segments
 from ..sources.tables import TABLES, table
 from ..streaming import events as streams
+from .profile_queries import PROFILE_QUERIES
 from .rule_queries import RULE_QUERIES
 from .study_queries import STUDY_QUERIES
 
@@ -404,4 +405,4 @@ QUERIES: dict[str, Query] = {
         bootstrap_interval, set_outcomes, schema_contract, table_rows, conflation, geodesic_check, tumbling_events, sliding_events, event_sessions, token_bucket,
         part_routes, link_cardinality_whole, as_of_value_whole, trigram_similarity_whole, grid_knn_whole,
     )
-} | STUDY_QUERIES | RULE_QUERIES
+} | STUDY_QUERIES | RULE_QUERIES | PROFILE_QUERIES
