@@ -268,15 +268,15 @@ def _shared_ranks(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "ids", slab_text: int = SLAB_TEXT) -> DataFrame:
     """docs with out_col: the text's token ids as little-endian unsigned 32-bit integers.
 
-    Each task merges the vocabulary of a slab (SLAB_TEXT bytes) of its documents together; no data move between
-    tasks. A null or empty text has no ids. Very long texts form a slab of their own. Other columns pass through;
-    one that is named out_col is replaced.
+    Each task merges the vocabulary of a slab (slab_text bytes) of its documents together; no data move between
+    tasks. A smaller slab takes less memory and more time. A null or empty text has no ids. Very long texts form a slab of their own.
+    Repeated rows get equal ids, an empty table gives none. Other columns pass through; one that is named out_col is replaced.
     """
     shared = _shared_ranks(docs, path)
-    return mapped(docs, text_col, f"`{out_col}` binary", lambda slab: [pa.array(_encoder(shared.value, pattern).encode([t or "" for t in slab.column(text_col).to_pylist()]), pa.binary())], limit=SLAB_TEXT)
+    return mapped(docs, text_col, f"`{out_col}` binary", lambda slab: [pa.array(_encoder(shared.value, pattern).encode([t or "" for t in slab.column(text_col).to_pylist()]), pa.binary())], limit=slab_text)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
