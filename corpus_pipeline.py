@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from kerbline.llm import bpe, mixing, neardup, secrets, toxicity
 from kerbline.llm.common import settled
 
+ENCODER_SLAB = 2 << 20
+"""Bytes of text that the last stage encodes together: half of the operator's, as the stages before have grown the executors' heaps."""
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model doesn't find toxic.
@@ -51,7 +54,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     mixed = "mix_row" in docs.columns
     placed = mixing.positions(docs.select("doc_id", "source", "text", "mix_time", "mix_row")) if mixed else docs.withColumns({"mix_time": F.lit(None).cast("double"), "position": F.lit(None).cast("long")})
-    tokens = bpe.encode(placed.select("position", "mix_time", "doc_id", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    tokens = bpe.encode(placed.select("position", "mix_time", "doc_id", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, slab_text=ENCODER_SLAB)
     return tokens.select("position", "mix_time", "doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
 
 
