@@ -45,7 +45,7 @@ def test_relocated(spark):
 def test_lineage(spark):
     rows = [
         (1, 1, "v", "survey", None), (1, 2, "v", "survey", None),  # carried over, so the second edit states nothing
-        (2, 1, "u", None, None), (2, 2, "v", None, "bulk import"), (3, 1, "v", "city of Example", None), (4, 1, "v", None, None), (5, 1, "v", None, None), (6, 1, "v", None, None), (6, 2, None, None, None),
+        (2, 1, "u", None, None), (2, 2, "v", None, "bulk import"), (3, 1, "v", "City of Kitchener", None), (4, 1, "v", None, None), (5, 1, "v", None, None), (6, 1, "v", None, None), (6, 2, None, None, None),
     ]
     history = spark.createDataFrame(rows, "id int, at int, value string, source string, comment string")
     edits = lineage.introducing_edits(history, "id", "at", "value", "source", "comment")
