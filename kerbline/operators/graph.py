@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Callable
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
