@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprints, html_extract, mixing, neardup, quality, secrets, sharding, topk, toxicity
+from . import bpe, clustering, fingerprints, html_extract, mixing, neardup, packing, prefix_trie, quality, secrets, sharding, topk, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -71,6 +71,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secrets.BASE_KINDS), F.sha2(secrets.joined(base).cast("binary"), 256).alias("base_sha256"), secrets.joined(F.col("secrets")).alias("spans"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clusters(read(spark, sf_dir, "embeddings")).drop("evaluated")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_quality": op2_quality,
@@ -82,8 +94,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_bpe": op9_bpe,
     "op10_secrets": op10_secrets,
+    "op11_centroids": op11_centroids,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_packing": op13_packing,
 }
 
+def _centroid_sql() -> str:
+    """Three rounds and the final assignment, written out."""
+    steps = []
+    for n in range(4):
+        steps.append(f"""a{n} as (
+  select vec_id, v, cluster, distance from (
+    select x.vec_id, x.v, c.cluster, list_sum(list_transform(range(1, 65), lambda i: (x.v[i] - c.c[i]) * (x.v[i] - c.c[i])))::bigint as distance,
+      row_number() over (partition by x.vec_id order by distance, c.cluster) as nth
+    from v x cross join c{n} c
+  ) where nth = 1
+)""")
+        if n < 3:
+            steps.append(f"""m{n + 1} as (
+  select cluster, list(mean order by i) as mean from (
+    select cluster, i, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::bigint as mean
+    from (select cluster, unnest(v) as x, unnest(range(64)) as i from a{n}) group by cluster, i
+  ) group by cluster
+),
+c{n + 1} as (select c.cluster, coalesce(m.mean, c.c) as c from c{n} c left join m{n + 1} m using (cluster))""")
+    return f"""with v as materialized (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+c0 as (select (row_number() over (order by sha256('1:' || vec_id)) - 1)::int as cluster, v as c from v order by sha256('1:' || vec_id) limit 16),
+{", ".join(steps)}
+select vec_id, cluster, distance, (sum(distance) over (partition by cluster))::bigint as cluster_inertia, (sum(distance) over ())::bigint as inertia,
+  sha256(array_to_string(c.c, ',')) as centroid_sha256
+from a3 join c3 c using (cluster)"""
+
+
 ORACLES: dict[str, str] = {
     "op3_topk": """with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) v from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (select a.vec_id query_id, b.vec_id, list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))::bigint score from v a join v b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id)
@@ -105,5 +150,39 @@ l as materialized (select a.doc_id a, b.doc_id b from x a join x b on a.g = b.g
 r(doc_id, reach) as (select doc_id, doc_id from h union select r.doc_id, l.b from r join l on l.a = r.reach),
 c as (select doc_id, min(reach) component_id from r group by doc_id)
 select doc_id, len(h)::bigint n_shingles, component_id, doc_id = component_id kept from h join c using (doc_id)""",
+    "op11_centroids": _centroid_sql(),
+    "op12_prefix_trie": r"""with recursive r as (
+  select conv_id, coalesce("role", '') as role, coalesce("text", '') as content,
+    row_number() over (partition by conv_id order by turn nulls first, md5(strlen(coalesce("role", '')) || ':' || coalesce("role", '') || coalesce("text", ''))) as pos
+  from conversations where conv_id is not null
+),
+h as (
+  select conv_id, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda c: ord(c)::bigint)),
+    lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _: xor(x >> 1, (x & 1) * 3988292384))) as inverted
+  from (select distinct conv_id from r)
+),
+taken as (select conv_id, xor(inverted, 4294967295) % 4 as h from h),
+parts as (
+  select t.conv_id, 0 as own, f.pos, f.role, f.content from taken t join r f on f.conv_id = t.conv_id - t.conv_id % 20 and f.pos <= t.h
+  union all
+  select r.conv_id, 1, r.pos, r.role, r.content from r join taken t using (conv_id) where r.pos > t.h
+),
+whole as (
+  select t.conv_id, coalesce(list({'role': p.role, 'content': p.content} order by p.own, p.pos) filter (p.conv_id is not null), []) as turns
+  from taken t left join parts p using (conv_id) group by t.conv_id
+),
+prefixes as (select w.conv_id, d.depth, w.turns[1:d.depth] as node, len(w.turns) = d.depth as ends from whole w, unnest(range(len(w.turns) + 1)) as d(depth)),
+nodes as (
+  select node, depth, min(conv_id) as conv_id, count(*) as n_convs,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '')) as ends_sha256,
+    case when depth = 0 then 0 else len(regexp_extract_all(any_value(node[depth].content), '[^\x20\x09-\x0D]+')) end as words
+  from prefixes group by node, depth
+),
+below as (select up.node, low.n_convs, low.words, not exists (select 1 from nodes c where c.depth = low.depth + 1 and c.node[1:low.depth] = low.node) as leaf
+  from nodes up join nodes low on low.depth >= up.depth and low.node[1:up.depth] = up.node),
+sums as (select node, count(*) filter (leaf) as n_leaves, sum((n_convs - 1) * words)::bigint as saved_tokens from below group by node),
+children as (select node[1:depth - 1] as node, count(*) as n_children from nodes where depth > 0 group by 1)
+select n.conv_id, n.depth::bigint as depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(c.n_children, 0) as n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+from nodes n join sums s on s.node = n.node left join children c on c.node = n.node left join nodes p on n.depth > 0 and p.depth = n.depth - 1 and p.node = n.node[1:n.depth - 1]""",
 }
 """The other operators learn, parse, encode or hash in ways that SQL can't express; tests/llm compares them with brute force."""
