@@ -16,8 +16,12 @@ from .windows import global_rank
 MAX_ROUNDS = 10_000
 CELL_EDGES = 200_000
 """Edges that a task relaxes as one piece, where no cells are given."""
-BATCH = 16
+CELL_NODES = 50_000
+"""Nodes of a cell of even_cells."""
+BATCH = 32
 """Requests that a task relaxes together."""
+SETTLED, EXIT, SPENT = 0, 1, 2
+"""Kinds of rows that a relaxed cell gives: settled nodes, nodes across its border, and how many nodes a request expanded."""
 
 
 def directed(segments: DataFrame) -> DataFrame:
@@ -72,8 +76,13 @@ def numbered_parts(parts: DataFrame) -> DataFrame:
 
 
 def _relax(entries: pa.Table, edges: pa.Table) -> pa.Table:
-    """Settles what a batch of requests can reach inside one cell, from the nodes at which they enter it."""
-    kinds = {"request": pa.string(), "profile": pa.string(), "node": edges.schema.field("src").type, "cell": pa.int64(), "cost": pa.float64(), "hops": pa.int32(), "segment_id": pa.string(), "parent": edges.schema.field("src").type, "inside": pa.bool_()}
+    """Settles what a batch of requests can reach inside one cell, from the nodes at which they enter it.
+
+    Labels (cost, hops, segment) only get less, so ties are settled alike in any order. What is told of a request that has goals are its
+    arrivals and exits and the nodes on the way to them; of others, all nodes.
+    """
+    node_type = edges.schema.field("src").type
+    kinds = {"request": pa.string(), "profile": pa.string(), "node": node_type, "cell": pa.int64(), "cost": pa.float64(), "hops": pa.int32(), "segment_id": pa.string(), "parent": node_type, "kind": pa.int32()}
     schema = pa.schema(list(kinds.items()))
     out: dict[str, list] = {f.name: [] for f in schema}
     if not entries.num_rows:
@@ -83,83 +92,119 @@ def _relax(entries: pa.Table, edges: pa.Table) -> pa.Table:
     for src, *edge in zip(*(edges.column(c).to_pylist() for c in ("src", "dst", "segment_id", "w", "dst_cell", "dst_x", "dst_y")), strict=True):
         ahead[src].append(edge)
     asked: dict = defaultdict(list)
-    for request, *entry in zip(*(entries.column(c).to_pylist() for c in ("request", "node", "cost", "hops", "segment_id", "parent", "goal", "limit", "goal_x", "goal_y", "lower")), strict=True):
+    for request, *entry in zip(*(entries.column(c).to_pylist() for c in ("request", "node", "cost", "hops", "segment_id", "parent", "goals", "limit", "goal_x", "goal_y", "lower", "left")), strict=True):
         asked[request].append(entry)
 
-    def row(request: str, node, at: int, cost: float, hops: int, segment: str, parent, inside: bool) -> None:
-        for k, v in zip(out, (request, profile, node, at, cost, hops, segment, parent, inside), strict=True):
+    def row(request: str, node, at: int, cost: float, hops: int, segment: str | None, parent, kind: int) -> None:
+        for k, v in zip(out, (request, profile, node, at, cost, hops, segment, parent, kind), strict=True):
             out[k].append(v)
 
     for request, starts in asked.items():
-        goal, limit, gx, gy = starts[0][5:9]
+        goals, limit, gx, gy = starts[0][5:9]
+        left = starts[0][10]
+        rest: dict = {}
+        for g in goals or []:
+            rest[g["node"]] = min(g["rest"], rest.get(g["node"], math.inf))
         limit = math.inf if limit is None else limit
-        heap = [(cost + lower, cost, hops, segment or "", n, node, parent) for n, (node, cost, hops, segment, parent, *_, lower) in enumerate(starts)]
+        label: dict = {}
+        heap: list = []
+        pushed = expanded = 0
+        for node, cost, hops, segment, parent, *_, lower, _ in starts:
+            if node not in label or (cost, hops, segment or "") < label[node][:3]:
+                label[node] = (cost, hops, segment or "", parent)
+                pushed += 1
+                heap.append((cost + lower, cost, hops, segment or "", pushed, node))
         heapify(heap)
-        pushed, done, exits = len(heap), set(), {}
-        while heap and heap[0][0] <= limit:
-            _, cost, hops, segment, _, node, parent = heappop(heap)
-            if node in done:
+        exits: dict = {}
+        settled_here, arrivals = set(), []
+        while heap and heap[0][0] <= limit and (left is None or expanded < left):
+            _, cost, hops, segment, _, node = heappop(heap)
+            if label[node][:3] != (cost, hops, segment):
                 continue
-            done.add(node)
-            row(request, node, cell, cost, hops, segment, parent, True)
-            if goal is not None and node == goal:
-                break
+            expanded += 1
+            settled_here.add(node)
+            if node in rest:
+                arrivals.append(node)
+                limit = min(limit, cost + rest[node])
             for dst, via, w, dst_cell, x, y in ahead.get(node, ()):
-                new = (cost + w, hops + 1, via, node)
+                lower = 0.0 if gx is None or x is None else math.hypot(x - gx, y - gy)
+                new = (cost + w, hops + 1, via)
+                if new[0] + lower > limit:
+                    continue
                 if dst_cell != cell:
                     if dst not in exits or new < exits[dst][0]:
-                        exits[dst] = new, dst_cell
-                elif dst not in done:
+                        exits[dst] = new, node, dst_cell
+                elif dst not in label or new < label[dst][:3]:
+                    label[dst] = (*new, node)
                     pushed += 1
-                    lower = 0.0 if gx is None or x is None else math.hypot(x - gx, y - gy)
-                    heappush(heap, (new[0] + lower, *new[:3], pushed, dst, node))
-        for dst, ((cost, hops, via, node), at) in exits.items():
-            if cost <= limit:
-                row(request, dst, at, cost, hops, via, node, False)
+                    heappush(heap, (new[0] + lower, *new, pushed, dst))
+        leaving = [(dst, *exit_) for dst, exit_ in exits.items() if exit_[0][0] <= limit]
+        if goals is None:
+            told = settled_here
+        else:
+            told = set()
+            for node in [*arrivals, *(node for _, _, node, _ in leaving)]:
+                while node in label and node not in told:
+                    told.add(node)
+                    node = label[node][3]
+        for node in told:
+            cost, hops, segment, parent = label[node]
+            row(request, node, cell, cost, hops, segment or None, parent, SETTLED)
+        for dst, (cost, hops, via), node, at in leaving:
+            row(request, dst, at, cost, hops, via, node, EXIT)
+        row(request, None, cell, float(expanded), int(left is not None and expanded >= left), None, None, SPENT)
     return pa.table(out, schema)
 
 
 def _walk(rows: pa.Table) -> pa.Table:
-    """Paths of one request from its nodes' parents: to its goal, or to every node if it has none."""
+    """Paths of one request from its nodes' parents: to its best goal, or to every node if it has none."""
     known = {n: rest for n, *rest in zip(*(rows.column(c).to_pylist() for c in ("node", "cost", "hops", "segment_id", "parent")), strict=True)}
-    goal = rows.column("goal")[0].as_py()
+    goals = rows.column("goals")[0].as_py()
     paths: dict = {}
 
-    def path(node) -> list[str]:
+    def path(node) -> tuple[object, list[str]]:
+        """(where it starts, segments)."""
         way = []
         while known[node][3] is not None and node not in paths:
             way.append(node)
             node = known[node][3]
-        found = paths.get(node, [])
-        if goal is not None:
-            return [known[n][2] for n in reversed(way)]
+        start, found = paths.get(node, (node, []))
+        if goals is not None:
+            return start, [known[n][2] for n in reversed(way)]
         for n in reversed(way):
-            found = paths[n] = [*found, known[n][2]]
-        return found
+            start, found = paths[n] = start, [*found, known[n][2]]
+        return start, found
 
-    wanted = list(known) if goal is None else [goal] if goal in known else []
+    if goals is None:
+        wanted = [(n, 0.0) for n in known]
+    else:
+        wanted = sorted(((known[g["node"]][0] + g["rest"], known[g["node"]][1], known[g["node"]][2] or "", i, g["node"], g["rest"]) for i, g in enumerate(goals) if g["node"] in known))[:1]
+        wanted = [(node, rest) for *_, node, rest in wanted]
+    found = [path(n) for n, _ in wanted]
+    kind = rows.schema.field("node").type
     columns = {c: pa.array([rows.column(c)[0].as_py()] * len(wanted), pa.string()) for c in ("request", "profile")}
-    columns |= {"node": pa.array(wanted, rows.schema.field("node").type), "cost": pa.array([known[n][0] for n in wanted], pa.float64()), "hops": pa.array([known[n][1] for n in wanted], pa.int32())}
-    return pa.table(columns | {"path": pa.array([path(n) for n in wanted], pa.list_(pa.string()))})
+    columns |= {"node": pa.array([n for n, _ in wanted], kind), "cost": pa.array([known[n][0] + rest for n, rest in wanted], pa.float64()), "hops": pa.array([known[n][1] for n, _ in wanted], pa.int32())}
+    return pa.table(columns | {"start": pa.array([s for s, _ in found], kind), "path": pa.array([p for _, p in found], pa.list_(pa.string()))})
 
 
-def shortest_paths(edges: DataFrame, requests: DataFrame, cells: DataFrame | None = None, points: DataFrame | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """(request, profile, node, cost, hops, path): the cheapest way from each request's origin to its destination, or to every node if that is null.
+def overlay_paths(edges: DataFrame, requests: DataFrame, cells: DataFrame | None = None, points: DataFrame | None = None, max_rounds: int = MAX_ROUNDS, max_expansions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """((request, profile, node, cost, hops, start, path), (request, expanded, stopped)): cheapest ways over an overlay of each request's own.
 
-    edges: (profile, src, dst, segment_id, cost); requests: (request, profile, origin, destination or null). Blocked edges have a null
-    cost and are skipped. cells: (node, cell), a partition of the nodes into pieces of neighbours that fit a task, such as grid_cells;
-    without it nodes are dealt by hash into pieces of CELL_EDGES edges, so a small graph is one piece. points: (node, x, y) in metres, if no
-    edge costs less than its length: the straight line to the destination then bounds what is left, as in A*.
+    edges: (profile, src, dst, segment_id, cost), null costs are skipped. requests: (request, profile, starts, goals, goal_x, goal_y) with
+    starts array<struct(node, cost)>: where the request's own first pieces enter the network, at which cost; goals array<struct(node,
+    rest)>: where its last pieces leave it, and what they cost, or null for ways to every node; goal_x and goal_y are null or the place it
+    goes to in metres, if no edge or piece costs less than its length. The network itself is shared and never changed. cells, points: see
+    shortest_paths. A request stops when a round begins or goes on after max_expansions nodes.
 
     A round relaxes the entries of all requests inside their cells, a batch of requests and a cell at a time; only nodes across a cell's
-    border go on, if they beat the request's earlier entries there and its present cost. So rounds are as many as cells in a row on a way.
-    Rows keep the node before and the segment, and paths are walked at the end, a request at a time. Ties go to fewer hops, then the lesser
-    last segment.
+    border go on, if their label (cost, hops, last segment) beats the request's earlier ones there and can beat its best arrival. So
+    rounds are as many as cells in a row on a way. Paths are walked at the end, a request at a time.
     """
     node_type = edges.schema["src"].dataType
     node = node_type.simpleString()
-    usable = stored(edges.filter("cost is not null").select("profile", "src", "dst", F.col("segment_id").cast("string").alias("segment_id"), F.col("cost").cast("double").alias("w")))
+    usable = edges.filter("cost is not null").select("profile", "src", "dst", F.col("segment_id").cast("string").alias("segment_id"), F.col("cost").cast("double").alias("w"))
     if cells is None:
+        usable = stored(usable)
         pieces = max(1, math.ceil(usable.count() / CELL_EDGES))
 
         def celled(df: DataFrame, key: str, name: str) -> DataFrame:
@@ -174,37 +219,65 @@ def shortest_paths(edges: DataFrame, requests: DataFrame, cells: DataFrame | Non
         return df.join(points.select(F.col("node").alias(key), F.col("x").cast("double").alias(x), F.col("y").cast("double").alias(y)), key, "left")
 
     usable = stored(placed(celled(celled(usable, "src", "cell"), "dst", "dst_cell"), "dst", "dst_x", "dst_y"))
-    goal = F.col("destination") if "destination" in requests.columns else F.lit(None).cast(node_type)
-    asked = stored(placed(requests.select(F.col("request").cast("string").alias("request"), "profile", "origin", goal.alias("goal")), "goal", "goal_x", "goal_y"))
+    asked = stored(requests.select(F.col("request").cast("string").alias("request"), "profile", "starts", "goals", "goal_x", "goal_y"))
     batches = max(1, math.ceil(asked.count() / BATCH))
-    goals = asked.select("request", "goal", "goal_x", "goal_y").withColumn("batch", F.pmod(F.xxhash64("request"), F.lit(batches)))
-    nothing = {"cost": F.lit(0.0), "hops": F.lit(0), "segment_id": F.lit(None).cast("string"), "parent": F.lit(None).cast(node_type)}
-    entered = celled(asked.select("request", "profile", F.col("origin").alias("node")), "node", "cell").withColumns(nothing)
-    entered = stored(entered.select("request", "profile", "node", "cell", "cost", "hops", "segment_id", "parent"))
+    goals = asked.select("request", "goals", "goal_x", "goal_y").withColumn("batch", F.pmod(F.xxhash64("request"), F.lit(batches)))
+    first = asked.select("request", "profile", F.explode("starts").alias("s")).select("request", "profile", F.col("s.node").alias("node"), F.col("s.cost").alias("cost"))
+    nothing = {"hops": F.lit(0), "segment_id": F.lit(None).cast("string"), "parent": F.lit(None).cast(node_type)}
+    first = celled(first.groupBy("request", "profile", "node").agg(F.min("cost").alias("cost")), "node", "cell").withColumns(nothing)
+    entered = stored(first.select("request", "profile", "node", "cell", "cost", "hops", "segment_id", "parent"))
     fresh, settled_rows = entered, []
+    told = stored(asked.select("request", F.lit(None).cast("double").alias("limit"), F.lit(0.0).alias("expanded"), F.lit(0).alias("stopped")))
+    rest_of = asked.select("request", F.explode("goals").alias("g")).groupBy("request", F.col("g.node").alias("node")).agg(F.min("g.rest").alias("rest"))
     keys = ["profile", "cell", "batch"]
     for _ in range(max_rounds):
-        rows = fresh.join(goals, "request")
-        reached = _union(settled_rows).join(goals.select("request", F.col("goal").alias("node")), ["request", "node"]).groupBy("request").agg(F.min("cost").alias("limit")) if settled_rows else None
-        rows = rows.join(reached, "request", "left") if reached is not None else rows.withColumn("limit", F.lit(None).cast("double"))
         lower = F.coalesce(F.hypot(F.col("x") - F.col("goal_x"), F.col("y") - F.col("goal_y")), F.lit(0.0))
-        rows = placed(rows, "node", "x", "y").withColumn("lower", lower).drop("x", "y").filter("limit is null or cost + lower <= limit")
-        active = usable.join(rows.select(*keys).distinct(), ["profile", "cell"])
+        rows = placed(fresh.join(goals, "request").join(told, "request"), "node", "x", "y").withColumn("lower", lower).drop("x", "y")
+        rows = rows.withColumn("left", F.lit(None).cast("double") if max_expansions is None else max_expansions - F.col("expanded"))
+        rows = rows.filter("(limit is null or cost + lower <= limit) and (left is null or left > 0)")
+        active = usable.join(rows.select("profile", "cell").distinct(), ["profile", "cell"], "left_semi").withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
         # New columns, as both sides come from the same tables.
         entries, near = (df.select(*(F.col(c).alias(c) for c in df.columns)) for df in (rows, active))
-        found = entries.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInArrow(_relax, f"request string, profile string, node {node}, cell long, cost double, hops int, segment_id string, parent {node}, inside boolean")
+        found = entries.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInArrow(_relax, f"request string, profile string, node {node}, cell long, cost double, hops int, segment_id string, parent {node}, kind int")
         found = stored(found)
-        settled_rows.append(found.filter("inside").drop("inside", "cell"))
+        settled_rows.append(found.filter(F.col("kind") == SETTLED).drop("kind", "cell"))
         best = F.min(F.struct("cost", "hops", "segment_id", "parent")).alias("b")
-        exits = found.filter("not inside").groupBy("request", "profile", "node", "cell").agg(best).select("request", "profile", "node", "cell", "b.*")
-        before = entered.groupBy("request", "node").agg(F.min("cost").alias("had"))
-        fresh = stored(exits.join(before, ["request", "node"], "left").filter("had is null or cost < had").drop("had"))
+        exits = found.filter(F.col("kind") == EXIT).groupBy("request", "profile", "node", "cell").agg(best).select("request", "profile", "node", "cell", "b.*")
+        before = entered.groupBy("request", "node").agg(F.min(F.struct("cost", "hops", F.coalesce("segment_id", F.lit("")).alias("segment_id"))).alias("had"))
+        better = F.col("had").isNull() | (F.struct("cost", "hops", F.coalesce("segment_id", F.lit("")).alias("segment_id")) < F.col("had"))
+        fresh = stored(exits.join(before, ["request", "node"], "left").filter(better).drop("had"))
+        arrived = settled_rows[-1].join(rest_of, ["request", "node"]).groupBy("request").agg(F.min(F.col("cost") + F.col("rest")).alias("new"))
+        spent = found.filter(F.col("kind") == SPENT).groupBy("request").agg(F.sum("cost").alias("more"), F.max("hops").alias("cut"))
+        told = told.join(arrived, "request", "left").join(spent, "request", "left")
+        told = stored(told.select("request", F.least("limit", "new").alias("limit"), (F.col("expanded") + F.coalesce("more", F.lit(0.0))).alias("expanded"), F.greatest("stopped", F.coalesce("cut", F.lit(0))).alias("stopped")))
         if not fresh.limit(1).count():
             break
         entered = stored(entered.unionByName(fresh).groupBy("request", "profile", "node", "cell").agg(best).select("request", "profile", "node", "cell", "b.*"))
     rows = _union(settled_rows).groupBy("request", "profile", "node").agg(F.min(F.struct("cost", "hops", "segment_id", "parent")).alias("b")).select("request", "profile", "node", "b.*")
-    out = rows.join(goals.select("request", "goal"), "request").groupBy("request").applyInArrow(_walk, f"request string, profile string, node {node}, cost double, hops int, path array<string>")
-    return out.withColumn("request", F.col("request").cast(requests.schema["request"].dataType))
+    out = rows.join(goals.select("request", "goals"), "request").groupBy("request").applyInArrow(_walk, f"request string, profile string, node {node}, cost double, hops int, start {node}, path array<string>")
+    own = requests.schema["request"].dataType
+    return out.withColumn("request", F.col("request").cast(own)), told.select(F.col("request").cast(own).alias("request"), F.col("expanded").cast("long").alias("expanded"), (F.col("stopped") > 0).alias("stopped"))
+
+
+def shortest_paths(edges: DataFrame, requests: DataFrame, cells: DataFrame | None = None, points: DataFrame | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """(request, profile, node, cost, hops, path): the cheapest way from each request's origin to its destination, or to every node if that is null.
+
+    edges: (profile, src, dst, segment_id, cost); requests: (request, profile, origin, destination or null). Blocked edges have a null
+    cost and are skipped. cells: (node, cell), a partition of the nodes into pieces of neighbours that fit a task, such as even_cells;
+    without it nodes are dealt by hash into pieces of CELL_EDGES edges, so a small graph is one piece. points: (node, x, y) in metres, if no
+    edge costs less than its length: the straight line to the destination then bounds what is left, as in A*.
+
+    See overlay_paths. Ties go to fewer hops, then the lesser last segment, whatever the cells are.
+    """
+    node_type = edges.schema["src"].dataType
+    goal = F.col("destination").cast(node_type) if "destination" in requests.columns else F.lit(None).cast(node_type)
+    asked = requests.select("request", "profile", F.array(F.struct(F.col("origin").cast(node_type).alias("node"), F.lit(0.0).alias("cost"))).alias("starts"), goal.alias("goal"))
+    asked = asked.withColumn("goals", F.when(F.col("goal").isNotNull(), F.array(F.struct(F.col("goal").alias("node"), F.lit(0.0).alias("rest")))))
+    if points is None:
+        asked = asked.withColumns({"goal_x": F.lit(None).cast("double"), "goal_y": F.lit(None).cast("double")})
+    else:
+        asked = asked.join(points.select(F.col("node").alias("goal"), F.col("x").cast("double").alias("goal_x"), F.col("y").cast("double").alias("goal_y")), "goal", "left")
+    return overlay_paths(edges, asked, cells, points, max_rounds)[0].drop("start")
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -219,6 +292,28 @@ def grid_cells(points: DataFrame, size: float) -> DataFrame:
     return points.select("node", F.xxhash64(F.floor(F.col("x") / size), F.floor(F.col("y") / size)).alias("cell"))
 
 
+def _spread_bits(n: Column) -> Column:
+    """The 16 low bits with a zero before each."""
+    for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+        n = n.bitwiseOR(F.shiftleft(n, shift)).bitwiseAND(mask)
+    return n
+
+
+def even_cells(points: DataFrame, nodes: int = CELL_NODES) -> DataFrame:
+    """(node, cell) of points (node, x, y): runs of so many nodes along a Z-curve, so cells hold neighbours and are as large as a task can take, however dense."""
+    box = points.agg(*(f(c).cast("double").alias(f"{n}_{c}") for n, f in (("low", F.min), ("high", F.max)) for c in ("x", "y"))).first()
+    if box["low_x"] is None:
+        return points.select("node", F.lit(0).cast("long").alias("cell"))
+
+    def step(c: str) -> Column:
+        width = (box[f"high_{c}"] - box[f"low_{c}"]) or 1.0
+        return _spread_bits(F.floor((F.col(c) - box[f"low_{c}"]) / width * 0xFFFF).cast("long"))
+
+    curve = step("x").bitwiseOR(F.shiftleft(step("y"), 1))
+    ranked = global_rank(points.select("node", curve.alias("curve")), [F.col("curve").asc(), F.col("node").asc()])
+    return ranked.select("node", F.floor((F.col("rank") - 1) / nodes).cast("long").alias("cell"))
+
+
 def routes(edges: DataFrame, requests: DataFrame, **how) -> DataFrame:
     """requests with cost, hops and path to the destination; null where there is no way."""
     found = shortest_paths(edges, requests, **how)

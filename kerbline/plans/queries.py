@@ -13,6 +13,7 @@ from ..operators import aggregates, conflate, graph, joins, places, spatial, sta
 from ..sources.network import segments
 from ..sources.tables import TABLES, table
 from ..streaming import events as streams
+from .network_queries import NETWORK_QUERIES
 from .profile_queries import PROFILE_QUERIES
 from .rule_queries import RULE_QUERIES
 from .study_queries import STUDY_QUERIES
@@ -74,7 +75,7 @@ def part_grid(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataF
 
 def part_routes(spark: SparkSession, sf: str) -> DataFrame:
     edges, points, asked = part_grid(spark, sf)
-    found = graph.routes(edges, asked, cells=graph.grid_cells(points, 2500.0), points=points)
+    found = graph.routes(edges, asked, cells=graph.even_cells(points), points=points)
     return found.select("request", "origin", "destination", F.round("cost", 4).alias("cost"), F.size("path").alias("segments"))
 
 
@@ -405,4 +406,4 @@ QUERIES: dict[str, Query] = {
         bootstrap_interval, set_outcomes, schema_contract, table_rows, conflation, geodesic_check, tumbling_events, sliding_events, event_sessions, token_bucket,
         part_routes, link_cardinality_whole, as_of_value_whole, trigram_similarity_whole, grid_knn_whole,
     )
-} | STUDY_QUERIES | RULE_QUERIES | PROFILE_QUERIES
+} | STUDY_QUERIES | RULE_QUERIES | PROFILE_QUERIES | NETWORK_QUERIES
