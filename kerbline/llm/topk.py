@@ -20,6 +20,10 @@ FEW = 0.02
 """Share of a strip's entries from which on their scores come from one matrix product and not one by one."""
 BLOCK_ROWS = 4096
 QUERY_ROWS = 1024
+BOUNDED = 2.0**480
+"""Blocks with components from here on have norms or products that doubles don't hold: all their scores are computed, in Python integers."""
+CLIP = 2**63 - 1
+_COMPLEMENT = str.maketrans("0123456789", "9876543210")
 STRIP = 128
 """Queries scored at once inside a task: STRIP x BLOCK_ROWS partial scores of each list in memory."""
 
@@ -27,7 +31,7 @@ STRIP = 128
 def integer_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64) -> DataFrame:
     """(vec_id, v): scale * x of each component as double; packing floors them. Rows with a null, non-finite or missing component go."""
     x = F.col(vec_col)
-    fine = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < F.lit(float("inf"))))
+    fine = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double") * scale) < F.lit(float("inf"))))
     return table.filter(F.col(id_col).isNotNull() & fine).select(
         F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: c.cast("double") * scale).alias("v")
     )
@@ -65,7 +69,8 @@ def _packed(rows: DataFrame, size: int, extra: bool = False) -> DataFrame:
 
 def rotation(vectors: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """(axes, cuts between lists) for the sampled vectors' lengths: principal axes by falling energy."""
-    sample = vectors.filter(F.size("v").between(1, ROTATION_DIM)).orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(ROTATION_ROWS).select("v").toArrow().column("v").to_pylist()
+    moderate = F.forall("v", lambda c: F.abs(c) < BOUNDED)
+    sample = vectors.filter(F.size("v").between(1, ROTATION_DIM) & moderate).orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(ROTATION_ROWS).select("v").toArrow().column("v").to_pylist()
     out = {}
     for dim in {len(v) for v in sample}:
         x = np.array([v for v in sample if len(v) == dim])
@@ -77,6 +82,21 @@ def rotation(vectors: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def _whole(m: np.ndarray) -> np.ndarray:
+    """The components as Python integers."""
+    return np.array([[int(x) for x in r] for r in m.tolist()], object).reshape(m.shape)
+
+
+def _sort_key(score: int) -> str | None:
+    """Text that orders scores which don't fit 64 bits, and null for those that do."""
+    if abs(score) < CLIP:
+        return None
+    digits = str(abs(score))
+    if score > 0:
+        return f"1{len(digits):05d}{digits}"
+    return f"0{99_999 - len(digits):05d}" + digits.translate(_COMPLEMENT)
+
+
 class _Pair:
     """A block of queries and a block of candidates: exact scores, and partial scores in rotated dimensions with their bounds."""
 
@@ -87,6 +107,11 @@ class _Pair:
         self.cutoffs = np.frombuffer(row["cutoff"]) if "cutoff" in row else np.full(len(self.q_ids), -np.inf)
         order = np.argsort(c_ids, kind="stable")
         self.c_ids, c = c_ids[order], c[order]
+        largest = max(np.abs(q).max(initial=0), np.abs(c).max(initial=0))
+        self.bounded = bool(largest < BOUNDED)
+        if not self.bounded:
+            self.q, self.c = _whole(q), _whole(c)
+            return
         turn, self.cuts = axes.get(dim) or (None, np.linspace(0, dim, LISTS + 1).astype(int))
         # Bounds in floating point are loosened by more than their error.
         self.loose = 1e-9 * (1 + np.linalg.norm(q, axis=1) * np.linalg.norm(c, axis=1).max(initial=0))
@@ -98,7 +123,7 @@ class _Pair:
             kind = np.float32 if bound < 2**24 else np.float64
             self.q, self.c = q.astype(kind), c.astype(kind)
         else:
-            self.q, self.c = (np.array([[int(x) for x in r] for r in m], object).reshape(m.shape) for m in (q, c))
+            self.q, self.c = _whole(q), _whole(c)
 
     def partial(self, part: slice, n: int) -> np.ndarray:
         a, b = self.cuts[n : n + 2]
@@ -126,12 +151,17 @@ def _local_bounds(k: int, axes):
         for batch in batches:
             for row in batch.to_pylist():
                 pair = _Pair(row, axes.value)
+                if not pair.bounded:
+                    continue  # a cutoff only has to be safe
                 n_named = min(k + 1, len(pair.c_ids))  # one more, as the own row may be among them
                 for part in pair.strips():
                     ids = pair.q_ids[part]
                     named = np.argpartition(pair.partial(part, int(row["bucket"]) % LISTS), len(pair.c_ids) - n_named, axis=1)[:, -n_named:]
                     at_q = np.repeat(np.arange(len(ids)), n_named)
-                    scores = pair.exact(part, at_q, named.ravel()).astype(np.float64).reshape(named.shape)
+                    scores = pair.exact(part, at_q, named.ravel())
+                    if scores.dtype == object:  # as doubles that aren't above them
+                        scores = np.nextafter(scores.astype(np.float64), -np.inf)
+                    scores = scores.astype(np.float64).reshape(named.shape)
                     scores[pair.c_ids[named] == ids[:, None]] = -np.inf
                     scores = -np.sort(-scores, axis=1)[:, :k]
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([r[np.isfinite(r)].tolist() for r in scores], pa.list_(pa.float64()))], names=["query_id", "scores"])
@@ -141,8 +171,11 @@ def _local_bounds(k: int, axes):
 
 def sufficient_entries(pair: _Pair, part: slice) -> tuple[np.ndarray, np.ndarray]:
     """(query, candidate) places of the entries that can still reach their query's cutoff after the lists but the last."""
-    ids, cutoffs = pair.q_ids[part], pair.cutoffs[part] - pair.loose[part]
+    ids = pair.q_ids[part]
     enough = pair.c_ids[None, :] != ids[:, None]
+    if not pair.bounded:
+        return np.nonzero(enough)
+    cutoffs = pair.cutoffs[part] - pair.loose[part]
     total = np.zeros(enough.shape)
     for n in range(LISTS - 1):
         total += pair.partial(part, n)
@@ -165,14 +198,19 @@ def _sufficient(k: int, axes):
                     ids, c_ids = pair.q_ids[part], pair.c_ids
                     at_q, at_c = sufficient_entries(pair, part)
                     score = pair.exact(part, at_q, at_c)
-                    reach = score >= pair.cutoffs[part][at_q]
+                    cutoffs = pair.cutoffs[part][at_q]
+                    reach = score >= cutoffs if score.dtype != object else np.array([a >= b for a, b in zip(score.tolist(), cutoffs.tolist(), strict=True)], bool)
                     at_q, at_c, score = at_q[reach], at_c[reach], score[reach]
-                    order = np.lexsort((c_ids[at_c], -score.astype(np.float64), at_q)) if score.dtype != object else np.array(sorted(range(len(score)), key=lambda i: (at_q[i], -score[i], c_ids[at_c[i]])), int)
+                    if score.dtype == object:
+                        order = np.array(sorted(range(len(score)), key=lambda i: (at_q[i], -score[i], c_ids[at_c[i]])), int)
+                    else:
+                        order = np.lexsort((c_ids[at_c], -score.astype(np.float64), at_q))
                     at_q, at_c, score = at_q[order], at_c[order], score[order]
                     nth = np.arange(len(at_q)) - np.searchsorted(at_q, at_q)
                     top = nth < k  # no more than k of a block can be among the k best
-                    whole = [max(-(2**63), min(2**63 - 1, int(s))) for s in score[top].tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at_q[top]]), pa.array(c_ids[at_c[top]]), pa.array(whole, pa.int64())], names=["query_id", "vec_id", "score"])
+                    whole = [int(s) for s in score[top].tolist()]
+                    clipped = pa.array([max(-CLIP - 1, min(CLIP, s)) for s in whole], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at_q[top]]), pa.array(c_ids[at_c[top]]), clipped, pa.array(map(_sort_key, whole), pa.string())], names=["query_id", "vec_id", "score", "beyond"])
 
     return run
 
@@ -193,7 +231,8 @@ def exact_top_k(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "v
 
     Vectors that are null or hold null or non-finite components, and rows with a null id, take no part. Vectors of
     different length aren't compared. If an id repeats, its rows are separate candidates, and the query is the least of its
-    vectors. Scores beyond 64 bits are clipped. Ties and empty tables are fine. Other columns are ignored.
+    vectors. Scores beyond 64 bits are ranked by their whole value and shown
+    clipped; components of any finite size are exact (scale * x, if that is finite: else the vector takes no part). Ties and empty tables are fine. Other columns are ignored.
     """
     spark = table.sparkSession
     vectors = integer_vectors(table, id_col, vec_col)
@@ -216,6 +255,6 @@ def exact_top_k(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "v
     lists = local.select("query_id", F.explode("scores").alias("bound")).withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k)
     cutoffs = lists.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("bound")).alias("cutoff"))
     asked = queries.join(cutoffs.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").select("vec_id", "v", F.coalesce("cutoff", F.lit(float("-inf"))).alias("cutoff"))
-    found = pairs(_packed(asked.repartition(parts), QUERY_ROWS, extra=True)).mapInArrow(_sufficient(k, axes), "query_id long, vec_id long, score long")
-    last = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    found = pairs(_packed(asked.repartition(parts), QUERY_ROWS, extra=True)).mapInArrow(_sufficient(k, axes), "query_id long, vec_id long, score long, beyond string")
+    last = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("beyond").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(last).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
