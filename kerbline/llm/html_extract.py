@@ -34,18 +34,22 @@ SECTIONS = MAIN | ASIDE | {"header"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 TEXT_TAGS = {"p", "blockquote", "pre", "td", "dd", "figcaption", "xmp"}
 # Parts of class names and ids.
-REMARKS = {"comment", "comments", "disqus", "respond", "reply", "replies", "commenter"}
+REMARKS = {"comment", "comments", "disqus", "respond", "responses", "reply", "replies", "thread", "commenter"}
 ASIDE_WORDS = {"nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "footer", "sidebar", "aside", "ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "newsletter", "subscribe", "signup", "login", "popup", "modal", "share", "sharing", "social", "related", "recommended", "widget", "toolbar", "pagination", "pager", "masthead"}
-FRAME_WORDS = {"box", "block", "section", "area", "wrapper", "wrap", "container", "bar", "top", "bottom", "left", "right", "main", "site", "page", "primary", "secondary", "posts", "links", "articles", "slot", "unit", "message", "text", "content", "inner", "outer"}
+FRAME_WORDS = {"box", "block", "section", "area", "wrapper", "wrap", "container", "bar", "top", "bottom", "left", "right", "main", "site", "page", "primary", "secondary", "posts", "links", "articles", "slot", "unit", "div", "gpt", "dfp", "google", "message", "text", "content", "inner", "outer"}
 """Parts that leave the meaning of the word beside them as it is."""
 PRAISE = {"article", "content", "entry", "post", "story", "body", "main", "text"}
 
 # The classifier: a block's log-odds of being content. The weights are fixed, as no labelled pages exist, and leave short blocks near
 # zero, so that their neighbours decide.
-BIAS, IN_MAIN, TEXT_TAG, HEADING, LIST_ITEM, LINKS, LENGTH, SENTENCE, PRAISED = -1.2, 1.2, 0.8, -0.8, 0.8, -4.0, 0.8, 0.6, 0.8
+BIAS, IN_MAIN, TEXT_TAG, HEADING, LIST_ITEM, LINKS, LINKS_IN_MAIN, LENGTH, SENTENCE, PRAISED = -1.2, 1.2, 0.8, -0.8, 0.8, -4.0, -1.0, 0.8, 0.6, 0.8
 HEADER, IN_ASIDE, REMARK, ASIDE_NAME, ASIDE_PART, ASIDE_PART_IN_MAIN, HIDDEN = -4.0, -6.0, -5.0, -5.0, -1.5, -0.3, -50.0
 """Page headers; elements and roles of ASIDE; names with a word of REMARKS; names with two of ASIDE_WORDS or made up of one and
 FRAME_WORDS; other names with one of ASIDE_WORDS, outside and inside of an article; hidden elements."""
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+"""Letters of scripts that are written without spaces: UNSPACED_WORD of them count as a word."""
+UNSPACED_WORD = 2.0
+STOPS = ".!?…\"»”:;。！？｡」』）؟۔।॥።"
 NEXT, DECAY, FAR = 1.2, 0.45, 8
 """Capacity between neighbours in page order with one parent, and what each further step through the tree leaves of it. Borders of
 SECTIONS and of elements named as aside count SECTION_STEPS; from FAR steps on there is no edge."""
@@ -93,7 +97,7 @@ def _element(tag: str, attrs: str, parent: Element) -> Element:
             e.aside = HIDDEN
         elif name in ("class", "id", "itemprop") and tag not in ("html", "body"):
             for word in value.split():
-                parts = {p.lower() for p in _PART.findall(word)}
+                parts = {p.lower() for p in _PART.findall(word) if not p.isdigit()}
                 if not parts.isdisjoint(REMARKS):
                     e.named, e.remark = min(e.named, REMARK), True
                 elif tag not in MAIN and not parts.isdisjoint(ASIDE_WORDS):
@@ -296,7 +300,9 @@ def scores(found: list[Block], elements: list[Element]) -> list[float]:
     out = []
     for b in found:
         e = b.element
-        x = BIAS + LENGTH * math.log1p((b.text.count(" ") + 1) / 8) + LINKS * min(1.0, b.linked / len(b.text)) + SENTENCE * (b.text[-1] in ".!?…\"»”:;")
+        words = b.text.count(" ") + 1 + (0 if b.text.isascii() else len(_UNSPACED.findall(b.text)) / UNSPACED_WORD)
+        links = LINKS_IN_MAIN if e.in_main else LINKS  # an article may hold lists of links and whole sentences that are one
+        x = BIAS + LENGTH * math.log1p(words / 8) + links * min(1.0, b.linked / len(b.text)) + SENTENCE * (b.text[-1] in STOPS)
         x += IN_MAIN * e.in_main + PRAISED * e.praised + TEXT_TAG * (e.tag in TEXT_TAGS) + HEADING * (e.tag in HEADINGS) + LIST_ITEM * e.in_item
         out.append(x + HEADER * e.in_header + min(e.aside, names[id(e)]))
     return out

@@ -72,6 +72,35 @@ def test_html_odd_pages(spark):
     assert html_extract.extract_main_text(rows.limit(0)).count() == 0
 
 
+JAPANESE = ["昨日の夜、町の広場に多くの人が集まり、長い話し合いが行われました。", "参加した人たちは、新しい計画について意見を述べ、夜遅くまで議論を続けました。", "最後に全員が帰宅し、翌朝には結果が発表されました。"]
+CHINESE = ["昨天晚上，许多人聚集在城市广场上，进行了长时间的讨论，大家都发表了自己的意见。", "讨论一直持续到深夜，最后所有人都回家了，第二天早上公布了结果。"]
+THAI = ["เมื่อคืนนี้มีผู้คนจำนวนมากมารวมตัวกันที่จัตุรัสกลางเมืองเพื่อพูดคุยกันเป็นเวลานาน", "ในที่สุดทุกคนก็กลับบ้านและผลลัพธ์ได้รับการประกาศในเช้าวันรุ่งขึ้น"]
+
+
+@pytest.mark.parametrize("paragraphs", [JAPANESE, CHINESE, THAI])
+@pytest.mark.parametrize("frame", ["<div id=main>%s</div>", "<article>%s</article>", "<div>%s</div>"])
+@pytest.mark.parametrize("tag", ["p", "div"])
+def test_html_scripts_without_spaces(paragraphs, frame, tag):
+    text = "".join(f"<{tag}>{p}</{tag}>" for p in paragraphs)
+    page = f"<body><nav><a href=/>首页</a> <a href=/n>新闻</a></nav>{frame % text}<div class=related><a href=x>関連記事</a></div><footer>版权所有。</footer></body>"
+    assert html_extract.main_text(page) == "\n".join(paragraphs)
+
+
+@pytest.mark.parametrize(("inside", "kept"), [
+    ("<p><a href=r>Read the full report of the committee on the matter.</a></p>", True),
+    ("<ul><li><a href=a>The first report of the year</a></li><li><a href=b>The second report of the year</a></li></ul>", True),
+    ("<p>See <a href=r>the full report of the committee on the matter.</p>", True),
+    ("<div id=div-gpt-ad-1><p>Buy two of them now and get a third one free.</p></div>", False),
+    ("<div class=responses><p>Nice story, thanks to all of you for it.</p></div>", False),
+    ("<nav><a href=a>The first report of the year</a></nav>", False),
+])
+def test_html_links_and_adverts_in_articles(inside, kept):
+    shown = " ".join(html.unescape(re.sub("<[^>]*>", " ", inside)).split())
+    found = " ".join(html_extract.main_text(STORY % inside).split())
+    assert (shown in found) == kept
+    assert "and they said so." in found and "Bye to all" not in found
+
+
 STORY = "<body><nav><a href=x>Home</a></nav><article><p>It was a long day for all who came to town and they said so.</p>%s<p>Then it ended and all of them went home again that night.</p></article><footer>Bye to all of you here.</footer>"
 
 
@@ -202,6 +231,15 @@ def test_top_k_large_components(spark):
     assert got == brute_top(rows, 3, 10)
 
 
+@pytest.mark.parametrize("size", [1e150, 1e154, 1e200, 1e304])
+def test_top_k_huge_components(spark, size):
+    r = random.Random(12)
+    rows = [(i, [r.choice([-2.0, -1.0, 0.5, 1.0]) * size * (1 + i % 7), r.uniform(-1, 1) * size, 1.0 if i % 3 else 0.0]) for i in range(40)]
+    rows += [(i, [r.uniform(-1, 1) for _ in range(3)]) for i in range(40, 60)]
+    got = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5, every=10).collect())
+    assert got == [(q, n, i, max(-(2**63), min(2**63 - 1, score))) for q, n, i, score in brute_top(rows, 5, 10)]
+
+
 # 4
 
 
