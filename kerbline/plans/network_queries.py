@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import cost, linear
 from ..operators import graph, routing
+from ..sources import dumps
 from ..sources.tables import table
+from ..storage import scratch_folder
 
 
 def bent_grid(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -76,7 +78,36 @@ def line_cuts(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.select("l_orderkey", F.col("piece").cast("long").alias("piece"), F.size("p.line").cast("long").alias("vertices"), F.round(length, 5).alias("length"), F.round(100 * length / F.col("whole"), 5).alias("share"), F.round(F.element_at("p.line", 1)["x"], 5).alias("x"), F.round(F.element_at("p.line", 1)["y"], 5).alias("y"))
 
 
-NETWORK_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (coordinate_routes, line_projections, line_cuts)}
+def _event_dump(spark: SparkSession, sf: str) -> tuple[str, str]:
+    """(dump, index): the events as a dump of changesets in the shared folder."""
+    dumps.register(spark)
+    e, none = table(spark, sf, "events"), F.lit(None).cast("double")
+    rows = e.select(
+        F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("closed_at"), F.col("user_id").alias("num_changes"),
+        F.col("value").alias("min_lon"), none.alias("min_lat"), none.alias("max_lon"), none.alias("max_lat"), F.create_map(F.lit("comment"), F.col("event_type"), F.lit("source"), F.col("props"), F.lit("uid"), F.lit("x")).alias("tags"),
+    )
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_folder(spark)
+    rows.repartitionByRange(parts, "id").sortWithinPartitions("id").write.format("changesets").mode("append").save(f"{path}/dump")
+    dumps.write_index(spark, f"{path}/dump", f"{path}/index")
+    return f"{path}/dump", f"{path}/index"
+
+
+def changeset_dump(spark: SparkSession, sf: str) -> DataFrame:
+    """Events written as a dump of many streams, and all of them read back."""
+    dump, index = _event_dump(spark, sf)
+    rows = spark.read.format("changesets").option("index", index).load(dump)
+    return rows.select("id", "created_at", "num_changes", F.col("tags")["comment"].alias("comment"), F.col("tags")["source"].alias("source"), F.map_contains_key("tags", "uid").alias("named"))
+
+
+def changeset_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """The changesets that the orders' keys name, found through the index of streams."""
+    dump, index = _event_dump(spark, sf)
+    asked = table(spark, sf, "orders").select((F.col("o_orderkey") * 3).alias("id"))
+    return dumps.lookup(spark, dump, index, asked).select("id", "num_changes", F.col("tags")["comment"].alias("comment"))
+
+
+NETWORK_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (coordinate_routes, line_projections, line_cuts, changeset_dump, changeset_lookup)}
 
 _ORDER_STEPS = """v as (select l_orderkey, l_linenumber k, l_quantity::double x, (l_partkey % 97)::double y from lineitem),
 w as (select *, lead(x) over o bx, lead(y) over o as by_, row_number() over o i from v window o as (partition by l_orderkey order by k, x, y)),
@@ -84,6 +115,8 @@ s as (select *, coalesce(sqrt((bx - x) * (bx - x) + (by_ - y) * (by_ - y)), 0) l
 t as (select *, sum(len) over (partition by l_orderkey order by i) - len as before, sum(len) over (partition by l_orderkey) as whole, count(*) over (partition by l_orderkey) as m from s)"""
 
 NETWORK_ORACLES: dict[str, str] = {
+    "changeset_dump": "select event_id as id, ts as created_at, user_id as num_changes, event_type as comment, props as source, false as named from events",
+    "changeset_lookup": "select distinct event_id as id, user_id as num_changes, event_type as comment from events join orders on event_id = o_orderkey * 3",
     "part_routes": """with recursive side as (select floor(sqrt(count(*)))::bigint s from part),
 p as (select p_partkey n, p_size from part, side where p_partkey < s * s),
 f as (select n a, n + 1 b, 50.0 + p_size w from p, side where n % s < s - 1 union all select n, n + s, 50.0 + p_size from p, side where n < s * (s - 1)),

@@ -37,19 +37,26 @@ def _at(spark: SparkSession, path: str) -> tuple:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new path in the shared folder, which goes with the tables that are stored there (see stored)."""
+    own = f"{shared_dir(spark).rstrip('/')}/kerbline-{spark.sparkContext.applicationId}"
+    path = f"{own}/{uuid.uuid4().hex}"
+    files, folder = _at(spark, own)
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    if (written := _written.get()) is not None:
+        written.append(path)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read back: cuts lineage, survives lost executors.
 
     The table stays until the block of settled() that wrote it ends, or else until the driver does: results are lazy and may read it.
     """
     spark = df.sparkSession
-    own = f"{shared_dir(spark).rstrip('/')}/kerbline-{spark.sparkContext.applicationId}"
-    path = f"{own}/{uuid.uuid4().hex}"
+    path = scratch_folder(spark)
     df.write.parquet(path)
-    files, folder = _at(spark, own)
-    files.deleteOnExit(folder)
-    if (written := _written.get()) is not None:
-        written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
