@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .area_queries import AREA_ORACLES
 from .extract_queries import EXTRACT_ORACLES
 from .network_queries import NETWORK_ORACLES
 from .profile_queries import PROFILE_ORACLES
@@ -136,4 +137,4 @@ select measure, round(quantile_cont(v, 0.025), 6) low, round(quantile_cont(v, 0.
 b as (select u, i, t, 1.0::double left_, true ok from e where i = 1
   union all select u, i, t, had - (had >= 1)::int, had >= 1 from (select e.u, e.i, e.t, least(2.0, b.left_ + greatest(0, e.t - b.t) / 86400) had from b join e on e.u = b.u and e.i = b.i + 1))
 select ok admitted, count(*) n from b group by ok""",
-} | STUDY_ORACLES | RULE_ORACLES | PROFILE_ORACLES | NETWORK_ORACLES | EXTRACT_ORACLES
+} | STUDY_ORACLES | RULE_ORACLES | PROFILE_ORACLES | NETWORK_ORACLES | EXTRACT_ORACLES | AREA_ORACLES

@@ -13,6 +13,7 @@ from ..operators import aggregates, conflate, graph, joins, places, spatial, sta
 from ..sources.network import segments
 from ..sources.tables import TABLES, table
 from ..streaming import events as streams
+from .area_queries import AREA_QUERIES
 from .extract_queries import EXTRACT_QUERIES
 from .network_queries import NETWORK_QUERIES
 from .profile_queries import PROFILE_QUERIES
@@ -407,4 +408,4 @@ QUERIES: dict[str, Query] = {
         bootstrap_interval, set_outcomes, schema_contract, table_rows, conflation, geodesic_check, tumbling_events, sliding_events, event_sessions, token_bucket,
         part_routes, link_cardinality_whole, as_of_value_whole, trigram_similarity_whole, grid_knn_whole,
     )
-} | STUDY_QUERIES | RULE_QUERIES | PROFILE_QUERIES | NETWORK_QUERIES | EXTRACT_QUERIES
+} | STUDY_QUERIES | RULE_QUERIES | PROFILE_QUERIES | NETWORK_QUERIES | EXTRACT_QUERIES | AREA_QUERIES
