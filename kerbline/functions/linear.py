@@ -97,3 +97,37 @@ def cut_at(line: Column, fractions: Column) -> Column:
     stops = F.concat(F.array(F.lit(0.0)), F.array_sort(fractions), F.array(F.lit(1.0)))
     pairs = F.zip_with(F.slice(stops, F.lit(1), F.size(stops) - 1), F.slice(stops, F.lit(2), F.size(stops) - 1), lambda a, b: F.struct(a.alias("start"), b.alias("end")))
     return F.transform(pairs, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), cut_line(line, p["start"], p["end"]).alias("line")))
+
+
+def array_median(values: Column) -> Column:
+    """The median of an array of numbers: the middle one in order, or the mean of the two; null if it is empty."""
+    ordered = F.array_sort(values)
+    n = F.size(ordered)
+    return F.when(n > 0, (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2)
+
+
+def vertex_agreement(line: Column, record: Column, stretch: float = 3.0, pair: float = 2.0) -> Column:
+    """struct(near, paired, median_m, spread_m): how far the vertices of a line are those of a record's line.
+
+    near: the line's vertices within stretch of the record; each is paired with the record's nearest vertex (ties: the first), if that is
+    within pair. median_m is the median displacement of pairs; spread_m the median distance of displacements from the median displacement,
+    by which a shift of the whole line doesn't hide shared vertices. Both are null without a pair, all of it for null lines.
+    """
+
+    def offset(v: Column) -> Column:
+        each = F.transform(record, lambda r, i: F.struct(F.hypot(r["x"] - v["x"], r["y"] - v["y"]).alias("d"), i.alias("i"), (r["x"] - v["x"]).alias("dx"), (r["y"] - v["y"]).alias("dy")))
+        return F.array_min(each)
+
+    close = F.filter(line, lambda v: project_on_line(v["x"], v["y"], record)["d"] <= stretch)
+
+    def told(near: Column) -> Column:
+        pairs = F.filter(F.transform(near, offset), lambda o: o["d"] <= pair)
+
+        def measured(own: Column) -> Column:
+            x, y = array_median(F.transform(own, lambda o: o["dx"])), array_median(F.transform(own, lambda o: o["dy"]))
+            centred = F.transform(F.array(F.struct(x.alias("x"), y.alias("y"))), lambda m: array_median(F.transform(own, lambda o: F.hypot(o["dx"] - m["x"], o["dy"] - m["y"]))))
+            return F.struct(F.size(near).alias("near"), F.size(own).alias("paired"), array_median(F.transform(own, lambda o: o["d"])).alias("median_m"), F.element_at(centred, 1).alias("spread_m"))
+
+        return F.element_at(F.transform(F.array(pairs), measured), 1)
+
+    return F.when(line.isNotNull() & record.isNotNull(), F.element_at(F.transform(F.array(close), told), 1))

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import cost, linear
-from ..operators import graph, routing
-from ..sources import dumps
+from ..operators import graph, positions, routing
+from ..sources import dumps, regions
 from ..sources.tables import table
 from ..storage import scratch_folder
 
@@ -107,7 +107,34 @@ def changeset_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return dumps.lookup(spark, dump, index, asked).select("id", "num_changes", F.col("tags")["comment"].alias("comment"))
 
 
-NETWORK_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (coordinate_routes, line_projections, line_cuts, changeset_dump, changeset_lookup)}
+def vertex_agreements(spark: SparkSession, sf: str) -> DataFrame:
+    """Each order's line against itself with shifted and moved vertices."""
+    line, k = F.col("line"), F.col("l_orderkey")
+    moved = F.transform(line, lambda v, i: F.struct((v["x"] + 0.5 + F.when((k + i) % 4 == 0, 1.75).otherwise(0.0)).alias("x"), (v["y"] - 0.25 + (k + i) % 3 * 0.125).alias("y")))
+    rows = _order_lines(spark, sf).filter("m >= 2").withColumn("a", linear.vertex_agreement(line, moved))
+    return rows.select("l_orderkey", F.col("a.near").cast("long").alias("near"), F.col("a.paired").cast("long").alias("paired"), F.round("a.median_m", 6).alias("median_m"), F.round("a.spread_m", 6).alias("spread_m"))
+
+
+def segment_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts of an order's lines as a way; a run from its second line, forwards or backwards, as a segment: where it lies."""
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda v: v["l_partkey"] % 5).alias("refs"))
+    ways = lines.select(F.col("l_orderkey").alias("way_id"), "refs")
+    run = F.slice("refs", 2, 3)
+    segments = ways.filter("size(refs) >= 3").select(F.concat(F.lit("s"), "way_id").alias("segment_id"), "way_id", F.when(F.col("way_id") % 2 == 0, run).otherwise(F.reverse(run)).alias("refs"))
+    return positions.located_runs(segments, ways).select("segment_id", "way_id", F.col("place").cast("long").alias("place"), "reversed")
+
+
+def region_replacement(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers by nation, published; then the nations of one region replaced by changed rows, and a writer that fails."""
+    root = scratch_folder(spark)
+    customers = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("region"), F.lit("first").alias("edition"))
+    regions.replace_regions(spark, root, customers)
+    some = table(spark, sf, "nation").filter("n_regionkey = 2").select(F.col("n_nationkey").alias("region"))
+    regions.replace_regions(spark, root, customers.join(F.broadcast(some), "region", "left_semi").filter("c_custkey % 3 != 0").withColumn("edition", F.lit("second")).select("c_custkey", "region", "edition"))
+    return regions.read_regions(spark, root).select("c_custkey", "region", "edition")
+
+
+NETWORK_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (coordinate_routes, line_projections, line_cuts, changeset_dump, changeset_lookup, vertex_agreements, segment_runs, region_replacement)}
 
 _ORDER_STEPS = """v as (select l_orderkey, l_linenumber k, l_quantity::double x, (l_partkey % 97)::double y from lineitem),
 w as (select *, lead(x) over o bx, lead(y) over o as by_, row_number() over o i from v window o as (partition by l_orderkey order by k, x, y)),
@@ -115,6 +142,30 @@ s as (select *, coalesce(sqrt((bx - x) * (bx - x) + (by_ - y) * (by_ - y)), 0) l
 t as (select *, sum(len) over (partition by l_orderkey order by i) - len as before, sum(len) over (partition by l_orderkey) as whole, count(*) over (partition by l_orderkey) as m from s)"""
 
 NETWORK_ORACLES: dict[str, str] = {
+    "vertex_agreements": f"""with {_ORDER_STEPS},
+mv as (select l_orderkey, i, x + 0.5 + case when (l_orderkey + i - 1) % 4 = 0 then 1.75 else 0 end x, y - 0.25 + (l_orderkey + i - 1) % 3 * 0.125 y from t where m >= 2),
+ms as (select *, lead(x) over (partition by l_orderkey order by i) bx, lead(y) over (partition by l_orderkey order by i) as by_ from mv),
+pr as (
+  select t.l_orderkey, t.i, min(sqrt((t.x - ms.x - u * (ms.bx - ms.x)) ** 2 + (t.y - ms.y - u * (ms.by_ - ms.y)) ** 2)) d
+  from (select l_orderkey, i, x, y from t where m >= 2) t join (select * from ms where bx is not null) ms on ms.l_orderkey = t.l_orderkey,
+    lateral (select coalesce(least(1.0, greatest(0.0, ((t.x - ms.x) * (ms.bx - ms.x) + (t.y - ms.y) * (ms.by_ - ms.y)) / nullif((ms.bx - ms.x) ** 2 + (ms.by_ - ms.y) ** 2, 0))), 0.0) u)
+  group by t.l_orderkey, t.i
+),
+near as (select t.l_orderkey, t.i, t.x, t.y from t join pr using (l_orderkey, i) where d <= 3),
+off as (
+  select near.l_orderkey, near.i, mv.x - near.x dx, mv.y - near.y dy, sqrt((mv.x - near.x) ** 2 + (mv.y - near.y) ** 2) d from near join mv using (l_orderkey)
+  qualify row_number() over (partition by near.l_orderkey, near.i order by sqrt((mv.x - near.x) ** 2 + (mv.y - near.y) ** 2), mv.i) = 1
+),
+p as (select *, median(dx) over (partition by l_orderkey) mx, median(dy) over (partition by l_orderkey) my from off where d <= 2)
+select o.l_orderkey, coalesce(n.near, 0) as near, coalesce(q.paired, 0) as paired, round(q.median_m, 6) as median_m, round(q.spread_m, 6) as spread_m
+from (select distinct l_orderkey from t where m >= 2) o left join (select l_orderkey, count(*) near from near group by 1) n using (l_orderkey)
+  left join (select l_orderkey, count(*) paired, median(d) median_m, median(sqrt((dx - mx) ** 2 + (dy - my) ** 2)) spread_m from p group by 1) q using (l_orderkey)""",
+    "segment_runs": """with w as (select l_orderkey way_id, list(l_partkey % 5 order by l_linenumber, l_partkey) refs from lineitem group by 1),
+s as (select way_id, refs, case when way_id % 2 = 0 then refs[2:4] else list_reverse(refs[2:4]) end seg from w where len(refs) >= 3),
+r as (select way_id, refs, seg, false reversed from s union all select way_id, refs, list_reverse(seg), true from s where list_reverse(seg) <> seg)
+select 's' || way_id as segment_id, way_id, place, reversed from r, unnest(range(len(refs))) as p(place) where place + len(seg) <= len(refs) and refs[place + 1:place + len(seg)] = seg""",
+    "region_replacement": """select c_custkey, c_nationkey as region, case when n_regionkey = 2 then 'second' else 'first' end as edition
+from customer join nation on n_nationkey = c_nationkey where n_regionkey <> 2 or c_custkey % 3 <> 0""",
     "changeset_dump": "select event_id as id, ts as created_at, user_id as num_changes, event_type as comment, props as source, false as named from events",
     "changeset_lookup": "select distinct event_id as id, user_id as num_changes, event_type as comment from events join orders on event_id = o_orderkey * 3",
     "part_routes": """with recursive side as (select floor(sqrt(count(*)))::bigint s from part),
