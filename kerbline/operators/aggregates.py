@@ -82,9 +82,16 @@ def content_hash(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -
 
 
 def shares(rows: DataFrame, unit: str, length: str = "length_m") -> DataFrame:
-    """rows with unit_share: a piece's part of its unit's length; rows without a unit have 1."""
-    total = F.sum(length).over(W.partitionBy(unit))
-    return rows.withColumn("unit_share", F.when(F.col(unit).isNull(), 1.0).otherwise(F.coalesce(F.try_divide(F.col(length), total), F.lit(1.0))))
+    """rows with unit_share: a piece's part of its unit's length; rows without a unit have 1.
+
+    Units' lengths are summed map-side and joined back; rows without a unit, which may be most, stay where they are.
+    """
+    named = rows.filter(F.col(unit).isNotNull())
+    totals = named.groupBy(unit).agg(F.sum(length).alias("_total"))
+    share = F.coalesce(F.try_divide(F.col(length), F.col("_total")), F.lit(1.0))
+    known = named.join(totals, unit).withColumn("unit_share", share)
+    columns = [*(c for c in rows.columns if c != "unit_share"), "unit_share"]
+    return known.select(*columns).unionByName(rows.filter(F.col(unit).isNull()).withColumn("unit_share", F.lit(1.0)).select(*columns))
 
 
 def best_of(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

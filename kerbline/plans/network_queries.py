@@ -142,6 +142,36 @@ s as (select *, coalesce(sqrt((bx - x) * (bx - x) + (by_ - y) * (by_ - y)), 0) l
 t as (select *, sum(len) over (partition by l_orderkey order by i) - len as before, sum(len) over (partition by l_orderkey) as whole, count(*) over (partition by l_orderkey) as m from s)"""
 
 NETWORK_ORACLES: dict[str, str] = {
+    "equivalent_kerbs": """with p as (select o_orderpriority f, (o_custkey % 90)::varchar v, max(o_orderkey) % 2 c from orders group by all),
+s as (select v, string_agg(f || ':' || c, ';' order by f) costs, count(*) n from p group by v)
+select string_agg(v, ',' order by v) as values, any_value(n) as profiles from s group by costs""",
+    "link_cardinality_whole": """with p as (select distinct l_orderkey a, l_partkey b from lineitem),
+c as (select *, count(*) over (partition by a) na, count(*) over (partition by b) nb from p)
+select case when na = 1 and nb = 1 then '1:1' when nb = 1 then '1:N' when na = 1 then 'N:1' else 'N:M' end cardinality, count(*) links from c group by all""",
+    "as_of_value_whole": """with f as (select user_id, ts, max(event_type) event_type from events group by all), a as (select event_id, user_id, ts + interval 1 hour as at from events)
+select event_id, event_type from a asof left join f on a.user_id = f.user_id and a.at >= f.ts""",
+    "trigram_similarity_whole": """with p as (select p_partkey, lower(p_name) as name from part),
+g as (select p_partkey, list_distinct(flatten(list_transform(list_filter(string_split(name, ' '), lambda w: w <> ''), lambda w: list_transform(range(1, (length(w) + 2)::bigint), lambda i: substr('  ' || w || ' ', i, 3))))) g from p),
+s as (select q.p_partkey query, g.p_partkey, len(list_intersect(q.g, g.g)) / len(list_distinct(q.g || g.g)) s from g, g q where q.p_partkey % 100 = 0 and q.p_partkey <> g.p_partkey)
+select query, p_partkey, round(s, 6) similarity from (select *, row_number() over (partition by query order by s desc, p_partkey) i from s) where i = 1""",
+    "grid_knn_whole": """with p as (select vec_id, round(embedding[1]::double, 4) x, round(embedding[2]::double, 4) y from embeddings),
+d as (select a.vec_id, b.vec_id target, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) d from p a, p b where a.vec_id <> b.vec_id)
+select vec_id, target, round(d, 6) d, rank from (select *, row_number() over (partition by vec_id order by round(d, 12), target) rank from d where d <= 0.05) where rank <= 3""",
+    "review_queue": """with recursive c as (
+  select 'dear' stratum, 0 s, o_orderkey record, o_totalprice score from orders where o_totalprice > 300000
+  union all select 'open', 1, o_orderkey, o_totalprice from orders where o_orderstatus = 'O'
+  union all select 'urgent', 2, o_orderkey, o_totalprice from orders where o_orderpriority like '1%'
+),
+best as (select * from c qualify row_number() over (partition by s order by score desc, record) <= 40),
+lists as (select s, any_value(stratum) stratum, list(record order by score desc, record) records from best group by s),
+turn(step, taken, stratum, record) as (
+  select 0, []::bigint[], null::varchar, null::bigint
+  union all
+  select step + 1, case when picked is null then taken else list_append(taken, picked) end, stratum_, picked from (
+    select t.step, t.taken, l.stratum stratum_, list_filter(l.records, lambda r: not list_contains(t.taken, r))[1] picked from turn t join lists l on l.s = t.step % 3 where t.step < 24
+  )
+)
+select row_number() over (order by step) as place, stratum, record from turn where record is not null""",
     "vertex_agreements": f"""with {_ORDER_STEPS},
 mv as (select l_orderkey, i, x + 0.5 + case when (l_orderkey + i - 1) % 4 = 0 then 1.75 else 0 end x, y - 0.25 + (l_orderkey + i - 1) % 3 * 0.125 y from t where m >= 2),
 ms as (select *, lead(x) over (partition by l_orderkey order by i) bx, lead(y) over (partition by l_orderkey order by i) as by_ from mv),

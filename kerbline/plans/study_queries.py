@@ -191,7 +191,10 @@ def movable_journeys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def equivalent_kerbs(spark: SparkSession, sf: str) -> DataFrame:
-    found = studies.equivalent_values(cost.profiles(spark), ["profile"], "kerb_penalty")
+    """Groups of customers' remainders, as kerbs, whose penalty is the same under every priority, as profiles: all from the orders."""
+    rows = table(spark, sf, "orders").groupBy("o_orderpriority", (F.col("o_custkey") % 90).cast("string").alias("value")).agg((F.max("o_orderkey") % 2).cast("double").alias("penalty"))
+    penalties = rows.groupBy(F.col("o_orderpriority").alias("profile")).agg(F.map_from_entries(F.collect_list(F.struct("value", "penalty"))).alias("kerb_penalty"))
+    found = studies.equivalent_values(penalties, ["profile"], "kerb_penalty")
     return found.select(F.array_join("values", ",").alias("values"), F.col("profiles").cast("long").alias("profiles"))
 
 
