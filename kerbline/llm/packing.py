@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 from tokenizers import Tokenizer
 
 from .common import settled, slabs, stored, tidy
@@ -261,7 +261,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col:
     return settled(build)
 
 
-def fill(pieces: DataFrame, capacity: int = CAPACITY) -> Column | DataFrame:
+def fill(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(sequences, tokens, least): how many sequences a packing has, its tokens, and the least number of sequences that could hold them."""
     tokens = F.sum("length")
     return pieces.agg(F.count_distinct("sequence_id").alias("sequences"), tokens.alias("tokens"), F.ceil(tokens / capacity).alias("least"))

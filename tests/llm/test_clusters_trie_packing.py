@@ -8,13 +8,14 @@ import re
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kerbline.llm import clustering, packing, prefix_trie
+from kerbline.llm import clustering, packing, prefix_trie, queries
 
 WORDS_FILE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -263,3 +264,24 @@ def test_sweep_gives_each_piece_its_successor(spark):
     pairs = {x.id: x.mate.id for x in found if x.kind == 1 and x.mate}
     assert len(set(pairs.values())) == len(pairs)
     assert {x.mate.id: x.id for x in found if x.kind == 0 and x.mate} == pairs
+
+
+@pytest.mark.parametrize("name", ["op11_centroids", "op12_prefix_trie"])
+def test_queries_equal_their_sql(spark, name):
+    duck = duckdb.connect()
+    for t in ("embeddings", "conversations"):
+        duck.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    told = duck.execute(queries.ORACLES[name])
+    names = [d[0] for d in told.description]
+    rows = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert sorted(names) == sorted(rows.columns)
+    assert sorted(map(tuple, rows.select(*names).collect()), key=str) == sorted(told.fetchall(), key=str)
+
+
+def test_packing_query(spark):
+    rows = queries.QUERIES["op13_packing"](spark, "/root/testdata/sf0.001")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert rows.filter("piece = 0").count() == docs.count() and rows.select("doc_id", "piece").distinct().count() == rows.count()
+    told = packing.fill(rows).first()
+    assert told.least <= told.sequences <= 1.02 * told.least + 1
