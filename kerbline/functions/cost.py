@@ -18,20 +18,134 @@ PROFILE = T.StructType(
 )
 
 
-def _row(key: str, no_steps: bool = False, steep: float | None = None, narrow: float | None = None, surface: Sequence[float] = (), smoothness: Sequence[float] = (), kerb: Sequence[float] = (), incline: float = 0.0, comfortable: float = 3.0, uncertainty: float = 0.0, step: tuple[float, float] = (0.0, 0.0), crossing: float = 0.0, pace: tuple[float, float] = (1.1, 1.4)) -> tuple:
-    surfaces, smooth, kerbs = ("compacted", "rough", "unknown"), ("intermediate", "bad", "unknown"), ("raised", "present_unknown", "rolled", "unknown")
-    maps = [{k: v for k, v in zip(names, values, strict=False) if v} for names, values in ((surfaces, surface), (smooth, smoothness), (kerbs, kerb))]
-    return (key, no_steps, False, None, None, steep, narrow, *maps, incline, comfortable, uncertainty, *step, crossing, *pace, [])
-
-
 # The presets.
-PRESETS = (
-    _row("standard"),
-    _row("wheelchair", True, 8.0, 0.90, (0.8, 12.0, 0.5), (0.7, 12.0, 0.4), (400.0, 160.0, 300.0, 90.0), 0.55, 2.0, 0.30, crossing=25.0, pace=(0.8, 1.2)),
-    _row("walker", True, 10.0, 0.75, (0.5, 4.0, 0.4), (0.5, 6.0, 0.3), (200.0, 100.0, 140.0, 60.0), 0.45, 2.5, 0.25, crossing=20.0, pace=(0.5, 0.8)),
-    _row("crutches", False, 15.0, None, (0.4, 1.6, 0.35), (0.4, 1.8, 0.3), (40.0, 28.0, 25.0, 20.0), 0.5, 3.0, 0.2, (60.0, 12.0), 15.0, (0.6, 0.9)),
-    _row("stroller", True, 12.0, 0.70, (0.4, 1.5, 0.3), (0.35, 1.5, 0.25), (120.0, 65.0, 90.0, 40.0), 0.3, 4.0, 0.15, crossing=15.0, pace=(1.0, 1.3)),
-    _row("reduced_mobility", False, 15.0, None, (0.0, 1.0, 0.2), (0.0, 1.2, 0.2), (30.0, 20.0, 18.0, 12.0), 0.4, 3.5, 0.12, (40.0, 6.0), 10.0, (0.7, 1.1)),
+PRESETS: tuple[dict, ...] = (
+    {
+        "profile": "standard",
+        "no_steps": False,
+        "no_rough": False,
+        "max_incline": None,
+        "min_width": None,
+        "steep": None,
+        "narrow": None,
+        "surface_penalty": {},
+        "smoothness_penalty": {},
+        "kerb_penalty": {},
+        "incline_penalty": 0.0,
+        "comfortable": 3.0,
+        "uncertainty": 0.0,
+        "step_base": 0.0,
+        "step_each": 0.0,
+        "crossing_penalty": 0.0,
+        "pace_low": 1.1,
+        "pace_high": 1.4,
+        "ignored": [],
+    },
+    {
+        "profile": "wheelchair",
+        "no_steps": True,
+        "no_rough": False,
+        "max_incline": None,
+        "min_width": None,
+        "steep": 8.0,
+        "narrow": 0.9,
+        "surface_penalty": {"compacted": 0.8, "rough": 12.0, "unknown": 0.5},
+        "smoothness_penalty": {"intermediate": 0.7, "bad": 12.0, "unknown": 0.4},
+        "kerb_penalty": {"raised": 400.0, "present_unknown": 160.0, "rolled": 300.0, "unknown": 90.0},
+        "incline_penalty": 0.55,
+        "comfortable": 2.0,
+        "uncertainty": 0.3,
+        "step_base": 0.0,
+        "step_each": 0.0,
+        "crossing_penalty": 25.0,
+        "pace_low": 0.8,
+        "pace_high": 1.2,
+        "ignored": [],
+    },
+    {
+        "profile": "walker",
+        "no_steps": True,
+        "no_rough": False,
+        "max_incline": None,
+        "min_width": None,
+        "steep": 10.0,
+        "narrow": 0.75,
+        "surface_penalty": {"compacted": 0.5, "rough": 4.0, "unknown": 0.4},
+        "smoothness_penalty": {"intermediate": 0.5, "bad": 6.0, "unknown": 0.3},
+        "kerb_penalty": {"raised": 200.0, "present_unknown": 100.0, "rolled": 140.0, "unknown": 60.0},
+        "incline_penalty": 0.45,
+        "comfortable": 2.5,
+        "uncertainty": 0.25,
+        "step_base": 0.0,
+        "step_each": 0.0,
+        "crossing_penalty": 20.0,
+        "pace_low": 0.5,
+        "pace_high": 0.8,
+        "ignored": [],
+    },
+    {
+        "profile": "crutches",
+        "no_steps": False,
+        "no_rough": False,
+        "max_incline": None,
+        "min_width": None,
+        "steep": 15.0,
+        "narrow": None,
+        "surface_penalty": {"compacted": 0.4, "rough": 1.6, "unknown": 0.35},
+        "smoothness_penalty": {"intermediate": 0.4, "bad": 1.8, "unknown": 0.3},
+        "kerb_penalty": {"raised": 40.0, "present_unknown": 28.0, "rolled": 25.0, "unknown": 20.0},
+        "incline_penalty": 0.5,
+        "comfortable": 3.0,
+        "uncertainty": 0.2,
+        "step_base": 60.0,
+        "step_each": 12.0,
+        "crossing_penalty": 15.0,
+        "pace_low": 0.6,
+        "pace_high": 0.9,
+        "ignored": [],
+    },
+    {
+        "profile": "stroller",
+        "no_steps": True,
+        "no_rough": False,
+        "max_incline": None,
+        "min_width": None,
+        "steep": 12.0,
+        "narrow": 0.7,
+        "surface_penalty": {"compacted": 0.4, "rough": 1.5, "unknown": 0.3},
+        "smoothness_penalty": {"intermediate": 0.35, "bad": 1.5, "unknown": 0.25},
+        "kerb_penalty": {"raised": 120.0, "present_unknown": 65.0, "rolled": 90.0, "unknown": 40.0},
+        "incline_penalty": 0.3,
+        "comfortable": 4.0,
+        "uncertainty": 0.15,
+        "step_base": 0.0,
+        "step_each": 0.0,
+        "crossing_penalty": 15.0,
+        "pace_low": 1.0,
+        "pace_high": 1.3,
+        "ignored": [],
+    },
+    {
+        "profile": "reduced_mobility",
+        "no_steps": False,
+        "no_rough": False,
+        "max_incline": None,
+        "min_width": None,
+        "steep": 15.0,
+        "narrow": None,
+        "surface_penalty": {"rough": 1.0, "unknown": 0.2},
+        "smoothness_penalty": {"bad": 1.2, "unknown": 0.2},
+        "kerb_penalty": {"raised": 30.0, "present_unknown": 20.0, "rolled": 18.0, "unknown": 12.0},
+        "incline_penalty": 0.4,
+        "comfortable": 3.5,
+        "uncertainty": 0.12,
+        "step_base": 40.0,
+        "step_each": 6.0,
+        "crossing_penalty": 10.0,
+        "pace_low": 0.7,
+        "pace_high": 1.1,
+        "ignored": [],
+    },
 )
 MARKED_CROSSINGS = ("traffic_signals", "marked", "zebra")
 MAX_PROFILES = 1000
@@ -40,7 +154,7 @@ GUIDANCE, ASSUMED_STEPS, DOWNHILL = 6.0, 10, 0.4
 
 def profiles(spark: SparkSession, keys: Sequence[str] | None = None) -> DataFrame:
     """The presets as rows: six, or those named."""
-    return spark.createDataFrame([p for p in PRESETS if keys is None or p[0] in keys], PROFILE)
+    return spark.createDataFrame([p for p in PRESETS if keys is None or p["profile"] in keys], PROFILE)
 
 
 def blocked_reason() -> Column:

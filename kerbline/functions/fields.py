@@ -41,7 +41,8 @@ PUBLIC_IMAGERY = r"(?i)region of waterloo \d{4}|waimagery|geospatial ontario|ont
 CITY = r"(?i)(?<![a-z])kitchener(gis)?(?![a-z])"
 NEIGHBOURS = r"(?i)region of waterloo|regionofwaterloo|waterloo region|city of waterloo|(?<![a-z])cambridge(?![a-z])|(?<![a-z])woolwich(?![a-z])"
 GOVERNMENT = r"(?i)canvec|geobase|nrcan|statistics canada|statcan|ontario road network|(?<![a-z])orn(?![a-z])|land information ontario|(?<![a-z])lio(?![a-z])|government"
-IMPORTED = r"(?i)(?<![a-z])import|open ?data|local data|proprietary"
+IMPORTED = r"(?i)(?<![a-z])import"
+EXTERNAL_DATA = r"(?i)open ?data|local data|proprietary"
 SURVEYED = r"(?i)(?<![a-z])survey|(?<![a-z])gps(?![a-z])|(?<![a-z])gnss(?![a-z])|on[- ]the[- ]ground|(?<![a-z])knowledge(?![a-z])|ground truth|(?<![a-z])in person(?![a-z])|streetcomplete|every ?door"
 STREET_LEVEL = r"(?i)mapillary|kartaview|openstreetcam|panoramax|mapilio|streetside|streetlevel|street[- ]level"
 ESRI = r"(?i)(?<![a-z])esri(?![a-z])|world ?imagery"
@@ -61,7 +62,7 @@ def signals(source: Column, when: Column | None = None) -> Column:
             "public_orthoimagery": says["public"] | ((says["city"] | near) & says["imagery"]) | (says["esri"] & municipal),
             "kitchener_data": says["city"] & ~says["imagery"],
             "other_government_data": (near & ~says["imagery"]) | part.rlike(GOVERNMENT),
-            "import_or_external_data": part.rlike(IMPORTED),
+            "import_or_external_data": part.rlike(IMPORTED) | part.rlike(EXTERNAL_DATA),
             "survey": part.rlike(SURVEYED),
             "declared_street_level_imagery": part.rlike(STREET_LEVEL),
             "declared_unrelated_imagery": part.rlike(NAMED_IMAGERY) | (says["esri"] & ~municipal),
