@@ -1,6 +1,7 @@
 """Operators against brute force and on hand-made tables."""
 
 import heapq
+import math
 import random
 
 import pytest
@@ -220,3 +221,16 @@ def test_stream_equals_batch(spark, tmp_path):
     limited.awaitTermination(180)
     batch = {(r.event_id, r.admitted) for r in streams.rate_limited_batch(rows, 2.0, 1 / 86400).collect()}
     assert {(r.event_id, r.admitted) for r in spark.table("b").collect()} == batch
+
+
+def test_distances_fall_at_the_radius_as_written_out(spark):
+    """Points that are at the radius but for rounding: in or out as sqrt(dx * dx + dy * dy) says."""
+    r = random.Random(3)
+    rows = []
+    while len(rows) < 120:
+        x, y = r.randrange(-9999, 9999) / 10000, r.randrange(-9999, 9999) / 10000
+        a, b = round(x + 0.018, 4), round(y + 0.024, 4)
+        if (math.hypot(x - a, y - b) <= 0.03) != (math.sqrt((x - a) ** 2 + (y - b) ** 2) <= 0.03):
+            rows += [(len(rows), x, y), (len(rows) + 1, a, b)]
+    got = {row.i: row.n for row in spatial.density(spark.createDataFrame(rows, "i long, x double, y double"), 0.03, "i").collect()}
+    assert got == {i: sum(j != i and math.sqrt((x - a) * (x - a) + (y - b) * (y - b)) <= 0.03 for j, a, b in rows) for i, x, y in rows}
