@@ -234,3 +234,16 @@ def test_distances_fall_at_the_radius_as_written_out(spark):
             rows += [(len(rows), x, y), (len(rows) + 1, a, b)]
     got = {row.i: row.n for row in spatial.density(spark.createDataFrame(rows, "i long, x double, y double"), 0.03, "i").collect()}
     assert got == {i: sum(j != i and math.sqrt((x - a) * (x - a) + (y - b) * (y - b)) <= 0.03 for j, a, b in rows) for i, x, y in rows}
+
+
+def test_nearest_ties_but_for_rounding(spark):
+    """Targets at one distance that floating point tells apart go by their ids."""
+    r = random.Random(4)
+    points, targets = [], []
+    for i in range(50):
+        x, y = r.randrange(-9999, 9999) / 10000, r.randrange(-9999, 9999) / 10000
+        points.append((i, x, y))
+        targets += [(4 * i + k, round(x + dx, 4), round(y + dy, 4)) for k, (dx, dy) in enumerate(((0.0003, 0.0004), (-0.0004, 0.0003), (0.0005, 0.0), (0.0, -0.0005)))]
+    near = spatial.nearest(spark.createDataFrame(points, "i long, x double, y double"), spark.createDataFrame(targets, "t long, x double, y double"), 0.01, "i", "t", k=3).collect()
+    wanted = {i: sorted((round(math.sqrt((x - a) ** 2 + (y - b) ** 2), 12), t) for t, a, b in targets)[:3] for i, x, y in points}
+    assert {(n.i, n["rank"]): n.t for n in near} == {(i, k): t for i, best in wanted.items() for k, (_, t) in enumerate(best, 1)}
