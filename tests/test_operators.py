@@ -247,3 +247,24 @@ def test_nearest_ties_but_for_rounding(spark):
     near = spatial.nearest(spark.createDataFrame(points, "i long, x double, y double"), spark.createDataFrame(targets, "t long, x double, y double"), 0.01, "i", "t", k=3).collect()
     wanted = {i: sorted((round(math.sqrt((x - a) ** 2 + (y - b) ** 2), 12), t) for t, a, b in targets)[:3] for i, x, y in points}
     assert {(n.i, n["rank"]): n.t for n in near} == {(i, k): t for i, best in wanted.items() for k, (_, t) in enumerate(best, 1)}
+
+
+def test_nearest_compares_few_in_a_crowd(spark, monkeypatch):
+    r = random.Random(6)
+    targets = [(i, r.randrange(10000) / 10000, r.randrange(10000) / 10000) for i in range(1500)] + [(2000 + i, 0.5, 0.5) for i in range(500)]
+    points = [(i, r.randrange(10000) / 10000, r.randrange(10000) / 10000) for i in range(1500)] + [(2000 + i, 0.25, 0.75) for i in range(500)] + [(3000, 1.9, 1.0), (3001, 2.5, 1.0), (3002, None, 1.0)]
+    pairs, whole = [], spatial.within
+
+    def within(*args):
+        out = whole(*args)
+        pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(spatial, "within", within)
+    near = spatial.nearest(spark.createDataFrame(points, "i long, x double, y double"), spark.createDataFrame(targets, "t long, x double, y double"), 1.0, "i", "t", k=2).collect()
+    wanted = {}
+    for i, x, y in points[:-1]:
+        best = heapq.nsmallest(2, ((round(math.sqrt((x - a) ** 2 + (y - b) ** 2), 12), t) for t, a, b in targets))
+        wanted |= {(i, k): t for k, (d, t) in enumerate(best, 1) if d <= 1.0}
+    assert {(n.i, n["rank"]): n.t for n in near} == wanted
+    assert sum(pairs) < 100_000
