@@ -93,13 +93,17 @@ def most_similar(queries: DataFrame, places: DataFrame) -> DataFrame:
     """(query_id, place_id, similarity): for each query (query_id, text) the place (place_id, search_text) of another id whose text is the most
     similar; ties go to the least id, and so does a query that shares no trigram with any.
 
-    Distinct texts meet on trigrams; a text that shares none has similarity 0, so the least ids stand for all of those.
+    Distinct texts meet on trigrams; a text that shares none has similarity 0, so the least ids stand for all of those. Only a query's own id
+    is no answer to it, so the two best of a text, each found text standing by its two least ids, serve all queries of that text.
     """
     q = queries.select("text").distinct().withColumn("trigrams", tx.trigrams(F.col("text")))
     p = places.select("search_text").distinct().withColumn("trigrams", tx.trigrams(F.col("search_text")))
     shared = q.select("text", F.size("trigrams").alias("nq"), F.explode("trigrams").alias("t")).join(p.select("search_text", F.size("trigrams").alias("np"), F.explode("trigrams").alias("t")), "t")
     near = shared.groupBy("text", "search_text", "nq", "np").agg(F.count("*").alias("c")).select("text", "search_text", (F.col("c") / (F.col("nq") + F.col("np") - F.col("c"))).alias("similarity"))
-    found = queries.join(near, "text").join(places, "search_text").select("query_id", "place_id", "similarity")
+    heads = places.select("search_text", "place_id").distinct().withColumn("_i", F.row_number().over(W.partitionBy("search_text").orderBy("place_id"))).filter("_i <= 2").drop("_i")
+    order = W.partitionBy("text").orderBy(F.col("similarity").desc(), "place_id")
+    two = near.join(heads, "search_text").withColumn("_i", F.row_number().over(order)).filter("_i <= 2").select("text", "place_id", "similarity")
+    found = queries.join(two, "text").select("query_id", "place_id", "similarity")
     least = places.select("place_id").orderBy("place_id").limit(2)
     none = queries.select("query_id").crossJoin(F.broadcast(least)).withColumn("similarity", F.lit(0.0))
     best = F.min(F.struct((-F.col("similarity")).alias("neg"), F.col("place_id").alias("id"))).alias("best")
