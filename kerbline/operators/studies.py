@@ -91,15 +91,18 @@ def could_move(journeys: DataFrame, segments: DataFrame, cost_per_m: float = 1.0
 
     journeys: (journey, ox, oy, dx, dy, cost); segments: (x, y). A route through a point costs at least the straight distances, so the others can't
     change. The ellipse around both ends lies within cost / 2 of the middle: a grid join on that bound for each power of two of the cost.
+    Journeys of the same ends and cost are asked once, and so are places.
     """
+    ends = ["ox", "oy", "dx", "dy", "cost"]
     reach = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("cost") / cost_per_m / 2, F.lit(1e-6)))))
-    asked = journeys.withColumns({"_size": reach, "_mx": (F.col("ox") + F.col("dx")) / 2, "_my": (F.col("oy") + F.col("dy")) / 2})
+    asked = journeys.select(*ends).distinct().withColumns({"_size": reach, "_mx": (F.col("ox") + F.col("dx")) / 2, "_my": (F.col("oy") + F.col("dy")) / 2})
     around = F.explode(F.array(*(F.struct((F.floor(F.col("_mx") / F.col("_size")) + i).alias("cx"), (F.floor(F.col("_my") / F.col("_size")) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
     sizes = asked.select("_size").distinct()  # a few dozen powers of two at most
-    placed = segments.select("x", "y").crossJoin(F.broadcast(sizes)).withColumns({"cx": F.floor(F.col("x") / F.col("_size")), "cy": F.floor(F.col("y") / F.col("_size"))})
+    placed = segments.select("x", "y").distinct().crossJoin(F.broadcast(sizes)).withColumns({"cx": F.floor(F.col("x") / F.col("_size")), "cy": F.floor(F.col("y") / F.col("_size"))})
     rows = asked.withColumn("_c", around).select("*", "_c.cx", "_c.cy").join(placed, ["_size", "cx", "cy"])
-    through = F.hypot(F.col("ox") - F.col("x"), F.col("oy") - F.col("y")) + F.hypot(F.col("dx") - F.col("x"), F.col("dy") - F.col("y"))
-    return rows.filter(through * cost_per_m <= F.col("cost")).select("journey").distinct()
+    legs = [(F.col(a) - F.col("x")) * (F.col(a) - F.col("x")) + (F.col(b) - F.col("y")) * (F.col(b) - F.col("y")) for a, b in (("ox", "oy"), ("dx", "dy"))]
+    movable = rows.filter((F.sqrt(legs[0]) + F.sqrt(legs[1])) * cost_per_m <= F.col("cost")).select(*ends).distinct()
+    return journeys.join(movable, ends, "left_semi").select("journey").distinct()
 
 
 def equivalent_values(penalties: DataFrame, keys: Sequence[str], table: str) -> DataFrame:
