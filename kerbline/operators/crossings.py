@@ -55,7 +55,10 @@ def units(segments: DataFrame, node_kerbs: DataFrame) -> DataFrame:
     along = ends.join(known, "node_id").groupBy("unit_ref").agg(F.count("*").alias("_ends"), F.max("_k").alias("_worst"))
     names = F.array(*map(F.lit, tags.KERB_SEVERITY))
     worst = F.when(F.col("_own").isNotNull(), F.col("_own")).when(F.col("_ends") == 1, F.greatest("_worst", F.lit(severity["unknown"]))).otherwise(F.coalesce("_worst", F.lit(severity["unknown"])))
-    out = rows.join(sums, "unit_ref", "left").join(along, "unit_ref", "left")
+    out = inside.join(sums, "unit_ref").join(along, "unit_ref", "left")
+    # Pieces of no unit would all meet in one task of the joins.
+    none = {c: F.lit(None).cast(out.schema[c].dataType) for c in ("_total", "_n", "_own", "_ends", "_worst")}
+    out = out.unionByName(rows.filter("unit_ref is null").withColumns(none))
     return out.withColumns({
         "unit_share": F.when(F.col("unit_ref").isNull(), 1.0).when(F.col("_total") > 0, F.col("length_m") / F.col("_total")).otherwise(F.try_divide(F.lit(1.0), F.col("_n"))),
         "crossing_kerb": F.when(F.col("is_crossing"), F.get(names, worst)),
