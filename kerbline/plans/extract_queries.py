@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -11,6 +12,8 @@ from ..sources.tables import table
 from ..storage import scratch_folder
 
 BOXES = ((0, 10.0, 5.0, 30.0, 25.0), (1, 0.0, 0.0, 200.0, 200.0), (2, 500.0, 500.0, 600.0, 600.0))
+PART_ROWS = 500_000
+"""Rows that a task sorts and writes."""
 
 
 def _changes(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,7 +36,9 @@ def changelog_scan(spark: SparkSession, sf: str) -> DataFrame:
 def row_group_estimate(spark: SparkSession, sf: str) -> DataFrame:
     """What footers say that three boxes may hold, beside what they do hold."""
     path = scratch_folder(spark)
-    _changes(spark, sf).repartitionByRange(8, "bbox.xmin").sortWithinPartitions("bbox.xmin").write.option("parquet.block.size", 1 << 16).parquet(path)
+    changes = _changes(spark, sf)
+    parts = max(8, math.ceil(changes.count() / PART_ROWS))
+    changes.repartitionByRange(parts, "bbox.xmin", "bbox.ymin", "id").sortWithinPartitions("bbox.xmin").write.option("parquet.block.size", 1 << 16).parquet(path)
     boxes = spark.createDataFrame(BOXES, "box_id int, x0 double, y0 double, x1 double, y1 double")
     found = extracts.estimate(extracts.row_groups(spark, path), boxes)
     held = spark.read.parquet(path).crossJoin(F.broadcast(boxes)).filter("bbox.xmin <= x1 and bbox.xmax >= x0 and bbox.ymin <= y1 and bbox.ymax >= y0").groupBy("box_id").agg(F.count("*").alias("held"))
