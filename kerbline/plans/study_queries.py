@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import cost
 from ..operators import audit, conflate, graph, lineage, linkage, studies
@@ -146,9 +146,9 @@ def recosted_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def majority_fill(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "lineitem")
-    total = rows.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("length_m"))
-    rows = rows.select("l_orderkey", "l_returnflag", F.col("l_quantity").alias("overlap")).join(total, "l_orderkey")
+    # Whole quantities, so their sums don't depend on the order.
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.sum("l_quantity").alias("overlap"))
+    rows = rows.withColumn("length_m", F.sum("overlap").over(W.partitionBy("l_orderkey")))
     return conflate.majority_value(rows, "l_orderkey", "l_returnflag").select("l_orderkey", "l_returnflag", F.round("share", 6).alias("share"))
 
 
