@@ -38,12 +38,13 @@ def directed(segments: DataFrame) -> DataFrame:
 def _star_round(links: DataFrame) -> DataFrame:
     """A node's larger neighbours moved to its least neighbour, then its smaller ones moved likewise."""
     both = links.select(F.col("v").alias("n"), F.col("u").alias("m")).union(links.select(F.col("u").alias("n"), F.col("v").alias("m")))
-    # Stored minima leave nothing but exchanges under the joins, so that a hub's rows can be split.
+    # Stored minima leave nothing but exchanges under the joins, so that a hub's rows can be split. Both sides grow with the links: small as
+    # a stored table may be, it is many times larger as a broadcast, which the driver would hold.
     least = stored(both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("least")))
-    large = stored(both.join(least, "n").filter("m > n").select(F.col("m").alias("v"), F.col("least").alias("u")).distinct())
+    large = stored(both.join(least.hint("merge"), "n").filter("m > n").select(F.col("m").alias("v"), F.col("least").alias("u")).distinct())
     low = stored(large.groupBy("v").agg(F.min("u").alias("least")))
     ends = F.explode(F.array(F.struct("v", F.col("least").alias("u")), F.struct(F.col("u").alias("v"), F.col("least").alias("u"))))
-    return large.join(low, "v").select(ends.alias("e")).select("e.*").filter("u < v").distinct()
+    return large.join(low.hint("merge"), "v").select(ends.alias("e")).select("e.*").filter("u < v").distinct()
 
 
 def star_roots(links: DataFrame) -> DataFrame:
@@ -65,7 +66,7 @@ def connected_parts(edges: DataFrame, u: str = "src", v: str = "dst") -> DataFra
     """(node, root): the least node of each weakly connected part, for all nodes of the edges."""
     nodes = edges.select(F.explode(F.array(u, v)).alias("node")).distinct()
     roots = settled(lambda: star_roots(edges.select(F.col(u).alias("u"), F.col(v).alias("v"))))
-    return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    return nodes.join(roots.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
 def numbered_parts(parts: DataFrame) -> DataFrame:
@@ -388,14 +389,14 @@ def named_stretches(pieces: DataFrame, near: float) -> DataFrame:
     """(piece_id, stretch): pieces of one name that share a node or have points within near of each other; pieces: (piece_id, name, x, y, nodes)."""
     shared = pieces.select("piece_id", "name", F.explode("nodes").alias("node"))
     first = shared.groupBy("name", "node").agg(F.min("piece_id").alias("u"))
-    by_node = shared.join(first, ["name", "node"]).filter("piece_id != u").select("u", F.col("piece_id").alias("v"))
+    by_node = shared.join(first.hint("merge"), ["name", "node"]).filter("piece_id != u").select("u", F.col("piece_id").alias("v"))
     # The first piece of each cell stands for the cell, so crowded cells give no pairs among themselves; a cell's diagonal is near.
     size = near / 2 ** 0.5
     cells = pieces.withColumns({"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)}).select("piece_id", "name", "x", "y", "cx", "cy")
     head = cells.groupBy("name", "cx", "cy").agg(F.min("piece_id").alias("u"))
-    inside = cells.join(head, ["name", "cx", "cy"]).filter("piece_id != u").select("u", F.col("piece_id").alias("v"))
+    inside = cells.join(head.hint("merge"), ["name", "cx", "cy"]).filter("piece_id != u").select("u", F.col("piece_id").alias("v"))
     steps = F.explode(F.array(*(F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-2, -1, 0, 1, 2) for j in (-2, -1, 0, 1, 2) if i or j)))
     a = cells.select("piece_id", "name", "x", "y", steps.alias("c")).select(F.col("piece_id").alias("u"), "name", F.col("x").alias("ux"), F.col("y").alias("uy"), "c.cx", "c.cy")
-    across = a.join(cells, ["name", "cx", "cy"]).filter((F.hypot(F.col("x") - F.col("ux"), F.col("y") - F.col("uy")) <= near) & (F.col("u") < F.col("piece_id"))).select("u", F.col("piece_id").alias("v"))
+    across = a.join(cells.hint("merge"), ["name", "cx", "cy"]).filter((F.hypot(F.col("x") - F.col("ux"), F.col("y") - F.col("uy")) <= near) & (F.col("u") < F.col("piece_id"))).select("u", F.col("piece_id").alias("v"))
     roots = connected_parts(by_node.union(inside).union(across), "u", "v").select(F.col("node").alias("piece_id"), "root")
-    return pieces.select("piece_id").join(roots, "piece_id", "left").select("piece_id", F.coalesce("root", "piece_id").alias("stretch"))
+    return pieces.select("piece_id").join(roots.hint("merge"), "piece_id", "left").select("piece_id", F.coalesce("root", "piece_id").alias("stretch"))
