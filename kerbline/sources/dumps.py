@@ -327,7 +327,8 @@ def lookup(spark: SparkSession, path: str, index: str, ids: DataFrame) -> DataFr
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = ChangesetReader(options)
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):  # one stream's ids at a time
+                row = batch.slice(i, 1).to_pylist()[0]
                 file, spans, follower = row["s"]["file"], row["s"]["spans"], row["s"]["follower"]
                 own = set(row["ids"])
                 rows = [r for r in reader.read(Streams(file, [(x["start"], x["end"]) for x in spans], follower and (follower["start"], follower["end"]))) if r[0] in own]
