@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 END = 1e-9
 """A fraction this close to an end is the end."""
+PAIRS = 1 << 18
+"""Pairs of vertices that are met at once inside a task."""
 
 
 def _steps(line: Column) -> Column:
@@ -99,11 +105,67 @@ def cut_at(line: Column, fractions: Column) -> Column:
     return F.transform(pairs, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), cut_line(line, p["start"], p["end"]).alias("line")))
 
 
-def array_median(values: Column) -> Column:
-    """The median of an array of numbers: the middle one in order, or the mean of the two; null if it is empty."""
-    ordered = F.array_sort(values)
-    n = F.size(ordered)
-    return F.when(n > 0, (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2)
+def _vertices(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Vertices of each line (0 for null), and of all of them in a row x, y and whether both are given."""
+    flat = lines.flatten()
+    x, y = (pc.cast(pc.struct_field(flat, c), pa.float64()) for c in "xy")
+    given = np.asarray(pc.and_(x.is_valid(), y.is_valid()))
+    return np.asarray(pc.fill_null(pc.list_value_length(lines), 0)).astype(np.int64), *(np.asarray(pc.fill_null(c, math.nan)) for c in (x, y)), given
+
+
+def _group_medians(group: np.ndarray, values: np.ndarray, groups: int) -> np.ndarray:
+    """The median of each group's values: the middle one in order, or the mean of the two; nan without a value."""
+    n = np.bincount(group, minlength=groups)
+    some, ordered = n > 0, values[np.lexsort((values, group))]
+    first, n = (np.cumsum(n) - n)[some], n[some]
+    out = np.full(groups, math.nan)
+    out[some] = (ordered[first + (n - 1) // 2] + ordered[first + n // 2]) / 2
+    return out
+
+
+def _agreements(lines: pa.Array, records: pa.Array, stretch: float, pair: float) -> pa.Array:
+    """vertex_agreement of a batch: each vertex of a line meets each vertex of its record and the step from there, PAIRS at a time."""
+    rows = len(lines)
+    sizes, x, y, given = _vertices(lines)
+    others, rx, ry, sound = _vertices(records)
+    end = np.cumsum(others)
+    broken = np.bincount(np.repeat(np.arange(rows), others), ~sound, rows) > 0
+    row = np.repeat(np.arange(rows), sizes)
+    met = given & (others[row] > 0) & ~broken[row]
+    x, y, row = x[met], y[met], row[met]
+    n = others[row]
+    until = np.cumsum(n)
+    cuts = [0, *(np.flatnonzero(np.diff(until // PAIRS)) + 1).tolist(), len(row)]
+    far, apart, nearest = np.full(len(row), math.inf), np.full(len(row), math.inf), np.zeros(len(row), np.int64)
+    with np.errstate(all="ignore"):
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            first = until[a:b] - n[a:b] - (until[a] - n[a])
+            own = np.repeat(np.arange(a, b), n[a:b])
+            at = np.arange(len(own)) + np.repeat(end[row[a:b]] - n[a:b] - first, n[a:b])
+            last = at == end[row[own]] - 1
+            to = np.where(last, at, at + 1)
+            px, py, dx, dy = x[own] - rx[at], y[own] - ry[at], rx[to] - rx[at], ry[to] - ry[at]
+            length = dx * dx + dy * dy
+            t = np.where(length == 0, 0.0, np.clip((px * dx + py * dy) / length, 0.0, 1.0))
+            d = np.sqrt((px - t * dx) ** 2 + (py - t * dy) ** 2)
+            d[last & (n[own] > 1)] = math.inf  # no step begins at the last vertex
+            far[a:b] = np.fmin.reduceat(d, first)
+            d = np.sqrt(px * px + py * py)
+            apart[a:b] = np.fmin.reduceat(d, first)
+            best = np.flatnonzero(d == apart[own])
+            whose, place = np.unique(own[best], return_index=True)
+            nearest[whose] = at[best[place]]
+        near = far <= stretch
+        told = near & (apart <= pair)
+        group, dx, dy = row[told], rx[nearest[told]] - x[told], ry[nearest[told]] - y[told]
+        middle_x, middle_y = _group_medians(group, dx, rows), _group_medians(group, dy, rows)
+        median = _group_medians(group, apart[told], rows)
+        spread = _group_medians(group, np.sqrt((dx - middle_x[group]) ** 2 + (dy - middle_y[group]) ** 2), rows)
+    paired = np.bincount(group, minlength=rows)
+    counts = [pa.array(c, pa.int32()) for c in (np.bincount(row[near], minlength=rows), paired)]
+    return pa.StructArray.from_arrays([*counts, *(pa.array(m, mask=paired == 0) for m in (median, spread))], names=["near", "paired", "median_m", "spread_m"], mask=pc.or_(lines.is_null(), records.is_null()))
 
 
 def vertex_agreement(line: Column, record: Column, stretch: float = 3.0, pair: float = 2.0) -> Column:
@@ -111,23 +173,12 @@ def vertex_agreement(line: Column, record: Column, stretch: float = 3.0, pair: f
 
     near: the line's vertices within stretch of the record; each is paired with the record's nearest vertex (ties: the first), if that is
     within pair. median_m is the median displacement of pairs; spread_m the median distance of displacements from the median displacement,
-    by which a shift of the whole line doesn't hide shared vertices. Both are null without a pair, all of it for null lines.
+    by which a shift of the whole line doesn't hide shared vertices. Both are null without a pair, all of it for null lines. A vertex without
+    a coordinate isn't near, and nothing is near a record with such a vertex.
     """
 
-    def offset(v: Column) -> Column:
-        each = F.transform(record, lambda r, i: F.struct(F.hypot(r["x"] - v["x"], r["y"] - v["y"]).alias("d"), i.alias("i"), (r["x"] - v["x"]).alias("dx"), (r["y"] - v["y"]).alias("dy")))
-        return F.array_min(each)
+    @F.arrow_udf("near int, paired int, median_m double, spread_m double")
+    def told(lines: pa.Array, records: pa.Array) -> pa.Array:
+        return _agreements(lines, records, stretch, pair)
 
-    close = F.filter(line, lambda v: project_on_line(v["x"], v["y"], record)["d"] <= stretch)
-
-    def told(near: Column) -> Column:
-        pairs = F.filter(F.transform(near, offset), lambda o: o["d"] <= pair)
-
-        def measured(own: Column) -> Column:
-            x, y = array_median(F.transform(own, lambda o: o["dx"])), array_median(F.transform(own, lambda o: o["dy"]))
-            centred = F.transform(F.array(F.struct(x.alias("x"), y.alias("y"))), lambda m: array_median(F.transform(own, lambda o: F.hypot(o["dx"] - m["x"], o["dy"] - m["y"]))))
-            return F.struct(F.size(near).alias("near"), F.size(own).alias("paired"), array_median(F.transform(own, lambda o: o["d"])).alias("median_m"), F.element_at(centred, 1).alias("spread_m"))
-
-        return F.element_at(F.transform(F.array(pairs), measured), 1)
-
-    return F.when(line.isNotNull() & record.isNotNull(), F.element_at(F.transform(F.array(close), told), 1))
+    return told(line, record)

@@ -5,6 +5,7 @@ import random
 import statistics
 import threading
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,21 @@ def test_vertex_agreement(spark):
     assert got[100] is None
     for i, line, record in cases:
         assert tuple(got[i]) == pytest.approx(brute_agreement(line, record), abs=1e-9, nan_ok=True)
+
+
+def test_vertex_agreement_in_pieces(monkeypatch):
+    """Pairs are met a piece at a time: pieces of any size give the same, also for odd lines and for slices of arrays."""
+    r = random.Random(5)
+    kind = pa.list_(pa.struct({"x": pa.float64(), "y": pa.float64()}))
+    pairs = [[[(r.uniform(0, 9), r.uniform(0, 9)) for _ in range(r.randrange(2, 9))] for _ in "ab"] for _ in range(30)]
+    odd = [([], pairs[0][1]), (pairs[0][0], []), (None, pairs[0][1]), (pairs[0][0], None), ([(0.0, 0.0), (None, 1.0), None], [(1.0, 0.0)]), ([(0.0, 0.0)], [(0.0, 0.0), (1.0, None)]), ([(0.0, 3.0)], [(0.0, 0.0), (0.0, 0.0)]), ([(0.0, math.nan)], [(0.0, 0.0)])]
+    rows = [*pairs, *odd, *pairs]
+    lines, records = (pa.array([x[i] if x[i] is None else [p and {"x": p[0], "y": p[1]} for p in x[i]] for x in rows], kind).slice(3) for i in (0, 1))
+    wanted = [brute_agreement(a, b) for a, b in pairs] + [(0, 0, None, None), (0, 0, None, None), None, None, (1, 1, 1.0, 0.0), (0, 0, None, None), (1, 0, None, None), (0, 0, None, None)]
+    for size in (1, 7, 40, 1 << 18):
+        monkeypatch.setattr(linear, "PAIRS", size)
+        got = [x and tuple(x.values()) for x in linear._agreements(lines, records, 3.0, 2.0).to_pylist()]
+        assert len(got) == len(rows) - 3
+        for x, y in zip(got, (wanted + wanted[:30])[3:], strict=True):
+            assert x == (y and pytest.approx(y, abs=1e-9, nan_ok=True))
+    assert linear._agreements(lines.slice(0, 0), records.slice(0, 0), 3.0, 2.0).to_pylist() == []
