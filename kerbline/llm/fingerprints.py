@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import mix64, plain_words, slabs, stored, tidy, word_hashes
+from .common import mix64, plain_words, slabs, tidy, word_hashes
 
 BAND = (0.001, 0.05)
 """Terms count whose share of documents is in this band: inverse document frequencies from log 20 to log 1000."""
@@ -144,12 +145,34 @@ def _compared(ids: list, texts: list[str], terms: np.ndarray) -> list[pa.Array]:
     ]
 
 
+_CHANGED = "the documents gave other rows when they were read again"
+
+
+def _key(doc_id: int | None, text_hash: int) -> tuple[bool, int, int]:
+    """The place of a document in the order: null ids come first."""
+    return doc_id is not None, doc_id or 0, text_hash
+
+
+def _placed(firsts: list[tuple[bool, int, int]]) -> Callable[[str, str], Column]:
+    """struct(part, begins) of a document's id and hash: its part, given each part's first key, and whether that key is its own."""
+
+    @F.arrow_udf("part int, begins boolean")
+    def placed(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        keys = [_key(*k) for k in zip(ids.to_pylist(), hashes.to_pylist(), strict=True)]
+        parts = [max(0, bisect_right(firsts, k) - 1) for k in keys]
+        begins = [firsts[p] == k for p, k in zip(parts, keys, strict=True)]
+        return pa.StructArray.from_arrays([pa.array(parts, pa.int32()), pa.array(begins, pa.bool_())], names=["part", "begins"])
+
+    return placed
+
+
 def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint of each whole text and of its edited text (see edited), with their likeness and that to the next document's.
 
-    A first pass counts the documents with each term and keeps the band's terms, a bitmap of fixed size (see TERM_BITS). Then
-    texts are range-sorted by doc_id, once; a task meets each document's next one in its sorted partition. Only the first and the
-    last document of each partition are left over: they are joined across neighbouring partitions, the last one to the first.
+    A first pass counts the documents with each term and keeps the band's terms, a bitmap of fixed size (see TERM_BITS). A second
+    one sorts ids and hashes only and finds the first key of each part. Then texts are dealt to those parts, once, the first of a part also to
+    the end of the part before (that of the first part to the last one's): a task meets each document's next one in its sorted part, and nothing
+    is written but the result.
 
     A null text is empty. Very long texts are hashed whole, each by itself. Repeated ids follow each other by the text's hash. Null ids come first. A single document is its own
     next. An empty table gives no rows. Other columns are ignored.
@@ -158,44 +181,30 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND, id_col: str
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     terms = lexicon(texts, band)
     shared = spark.sparkContext.broadcast(terms)
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    keyed = texts.withColumn("hash", F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash").asc()]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = texts.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    ranged = keyed.select("doc_id", "hash").repartitionByRange(parts, *order).groupBy(F.spark_partition_id()).agg(F.min(F.struct("doc_id", "hash")).alias("first"))
+    firsts = sorted(_key(*r["first"]) for r in ranged.collect())  # one small row for each partition
+    at, n = F.col("at"), max(1, len(firsts))
+    own = F.struct(at["part"].alias("part"), F.lit(False).alias("after"))
+    before = F.struct(F.pmod(at["part"] - 1, F.lit(n)).alias("part"), F.lit(True).alias("after"))
+    dealt = keyed.withColumn("at", _placed(firsts)("doc_id", "hash")).select("doc_id", "hash", "text", F.inline(F.when(at["begins"], F.array(own, before)).otherwise(F.array(own))))
+    sorted_parts = dealt.repartitionById(n, F.col("part")).sortWithinPartitions("part", "after", *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None  # the last document so far
-
-        def edge(kind: str, part: int, doc_id, text: str) -> pa.RecordBatch:
-            given = {"doc_id": [doc_id], "part": [part], "edge": [kind], "text": [text]}
-            return pa.RecordBatch.from_arrays([pa.array(given.get(f.name, [None]), f.type) for f in schema], schema=schema)
-
-        schema = pa.schema([*((n, {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[f.split()[1]]) for n, f in zip(_NAMES, OUT.split(", "), strict=True)), ("part", pa.int32()), ("edge", pa.string()), ("text", pa.string())])
-        part = 0
-        for slab in slabs(batches, "text"):
-            ids, whole = slab.column("doc_id").to_pylist(), slab.column("text").to_pylist()
-            if held is None:
-                part = slab.column("part")[0].as_py()
-                yield edge("first", part, ids[0], whole[0])
-            else:
-                ids, whole = [held[0], *ids], [held[1], *whole]
-            if len(ids) > 1:
-                columns = _compared(ids, whole, shared.value)
-                blank = [pa.nulls(len(ids) - 1, t) for t in (pa.int32(), pa.string(), pa.string())]
-                yield pa.RecordBatch.from_arrays([*columns, *blank], schema=schema)
-            held = (ids[-1], whole[-1])
-        if held:
-            yield edge("last", part, *held)
-
-    done = stored(ranged.mapInArrow(tidy(run), OUT + ", part int, edge string, text string"))
-    first = done.filter("edge = 'first'").select(F.col("part").alias("at"), F.col("text").alias("next_text"))
-    # One small row for each partition.
-    turn = W.orderBy("part")
-    follow = done.filter("edge = 'first'").select("part").withColumn("at", F.coalesce(F.lead("part").over(turn), F.first("part").over(turn)))
-    last = done.filter("edge = 'last'").select("doc_id", "part", "text").join(follow, "part").join(first, "at")
-
-    def join_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # the last row so far
         for slab in slabs(batches, "text"):
-            for doc_id, a, b in zip(*(slab.column(c).to_pylist() for c in ("doc_id", "text", "next_text")), strict=True):
-                yield pa.RecordBatch.from_arrays(_compared([doc_id, None], [a, b], shared.value), names=_NAMES)
-
-    return done.filter("edge is null").select(*_NAMES).union(last.select("doc_id", "text", "next_text").mapInArrow(tidy(join_edges), OUT))
+            rows = [*held, *zip(*(slab.column(c).to_pylist() for c in ("doc_id", "text", "part", "after")), strict=True)]
+            rows = [r for r, last in zip(rows, [None, *rows], strict=False) if not (last and last[3] and r[3])]  # copies of one document begin a part
+            ids, whole, part, after = zip(*rows, strict=True)
+            if any(p != q and not done for p, q, done in zip(part, part[1:], after, strict=False)):
+                raise ValueError(_CHANGED)
+            if len(rows) > 1:
+                batch = pa.RecordBatch.from_arrays(_compared(list(ids), list(whole), shared.value), names=_NAMES)
+                yield batch.filter(pa.array([not done for done in after[:-1]]))
+            held = rows[-1:]
+        if held and not held[0][3]:
+            raise ValueError(_CHANGED)
+
+    return sorted_parts.select("doc_id", "text", "part", "after").mapInArrow(tidy(run), OUT)

@@ -8,6 +8,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -556,6 +557,18 @@ def test_fingerprints_are_the_plain_ones(spark):
         assert got[i].near_next == pytest.approx(sum(a == b for a, b in either) / len(either) if either else 1.0)
 
 
+def test_fingerprints_write_only_their_result(spark):
+    """Texts are dealt once, and their fingerprints aren't stored on the way; rows without id, of one id and copies keep their place."""
+    rows = [(None, "first of none"), (None, "first of none"), *((i // 3, f"text {i // 2} of many") for i in range(40)), *((50, "a copy") for _ in range(9)), (60, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    with common.scratch(spark) as written:
+        got = fingerprints.fingerprints(d).collect()
+        assert written == []
+    order = d.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64(F.coalesce("text", F.lit("")))).collect()
+    wanted = [(x.doc_id, len(x.text), hashlib.sha256(fingerprints.edited(x.text, y.text).encode()).hexdigest()) for x, y in zip(order, order[1:] + order[:1], strict=True)]
+    assert Counter((x.doc_id, x.n_chars, x.edited_sha256) for x in got) == Counter(wanted)
+
+
 # 9
 
 
